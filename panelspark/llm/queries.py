@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_store
+from . import bpe, packing, quality, token_store, toxicity
 from .common import shared_path
 
 
@@ -42,9 +43,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
+#: The least calibrated probability of good quality at which a document is kept.
+QUALITY_THRESHOLD = 0.2
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, QUALITY_THRESHOLD)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, _ = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1, window=2048)
+    return pieces
+
+
+#: The least score that counts as toxic.
+TOXIC_THRESHOLD = 0.7
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_packing": op6_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
