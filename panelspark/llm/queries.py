@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_store, toxicity
+from . import bpe, jaccard, packing, quality, token_store, toxicity
 from .common import shared_path
 
 
@@ -53,6 +53,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, QUALITY_THRESHOLD)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, _ = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1, window=2048)
     return pieces
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_packing": op6_packing,
     "op9_toxicity": op9_toxicity,
 }
