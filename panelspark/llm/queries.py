@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, token_store, toxicity
+from . import bpe, jaccard, licenses, packing, quality, token_store, toxicity, vectors
 from .common import shared_path
 
 
@@ -43,6 +43,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 #: The least calibrated probability of good quality at which a document is kept.
 QUALITY_THRESHOLD = 0.2
 
@@ -62,6 +66,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9, blocks=4)
+
+
 #: The least score that counts as toxic.
 TOXIC_THRESHOLD = 0.7
 
@@ -76,9 +84,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_packing": op6_packing,
+    "op7_vector_dedup": op7_vector_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
