@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end=2)
-    return token_store.checksums(token_store.read_tokens(spark, path))
+    return token_store.checksums(spark, path)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

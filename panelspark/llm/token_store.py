@@ -59,24 +59,33 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, row_grou
     )
 
 
+def starts(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """Puts start (ids of all documents before) in the place of part and local_start; `store` gives the lengths of all documents."""
+    sums = store.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    before = sums.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("part", "local_start", "before")
+
+
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, tokens of the documents with first <= doc_id <= last.
+    """doc_id, n_tokens, tokens, start (ids of all documents before it) of the documents with first <= doc_id <= last.
 
     Only the columns asked for are read; the bounds reach the scan, where page indexes leave out other pages. `start` needs the
     lengths of all documents, not their tokens: one sum a file, then a running sum over files.
     """
     store = spark.read.schema(SCHEMA).parquet(path)
-    sums = store.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = sums.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    rows = store
     if first is not None:
-        store = store.filter(F.col("doc_id") >= first)
+        rows = rows.filter(F.col("doc_id") >= first)
     if last is not None:
-        store = store.filter(F.col("doc_id") <= last)
-    return store.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+        rows = rows.filter(F.col("doc_id") <= last)
+    return starts(store, rows)
+
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32: unsigned crc32 of the ids read, as little-endian unsigned 32-bit integers.
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32: unsigned crc32 of the ids read, as little-endian unsigned 32-bit integers."""
+    The ids become checksums where they are read; only numbers go on to the join.
+    """
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +94,8 @@ def checksums(tokens: DataFrame) -> DataFrame:
             raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             view = memoryview(raw).cast("B")
             crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offs).astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "part", "local_start")), pa.array(np.diff(offs).astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    store = spark.read.schema(SCHEMA).parquet(path)
+    rows = store.drop("n_tokens").mapInArrow(crc, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    return starts(store, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
