@@ -105,13 +105,16 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, n long, set long, late array<long>, late_n array<int>")
 
 
-def least_overlap(n, percent: int):
-    """ceil(t n): what a set of n must share with any set that it is linked with."""
-    return (n * percent + 99) // 100
+def given(n, percent: int):
+    """n - ceil(t n) + 1: of two linked sets, each must share one of so many first shingles with the other."""
+    return n - (n * percent + 99) // 100 + 1
 
 
 def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFrame:
-    """token, set: the first shingles of each set in the common order. late: shingles that come last, in ascending order of frequency."""
+    """token, set, pos: the first shingles of each set in the common order, from place 0 on.
+
+    late: shingles that come last, in ascending order of frequency.
+    """
     sc = docs.sparkSession.sparkContext
     order = np.argsort(late)
     shared = sc.broadcast((late[order], order))  # LATE numbers at most
@@ -128,7 +131,7 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFr
                 if len(met) > 200_000:
                     met.clear()
                 met.add(fp)
-                need = len(s) - least_overlap(len(s), percent) + 1
+                need = given(len(s), percent)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     last = keys[at] == s
@@ -136,42 +139,39 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFr
                 tokens.append(s[:need])
                 owners.append(fp)
                 sizes.append(need)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64) if tokens else [], pa.int64()), pa.array(np.repeat(np.array(owners, np.int64), sizes), pa.int64())], names=["token", "set"])
+            pos = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0)
+            tokens = np.concatenate(tokens) if tokens else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), sizes)), pa.array(pos.astype(np.int32))], names=["token", "set", "pos"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "token long, set long")
+    return texts_of(docs).select("text").mapInArrow(run, "token long, set long, pos int")
 
 
 def holders(given: DataFrame) -> DataFrame:
-    """token, set, head (the first set that holds the token) where more than one set holds it. Rows come sorted, and stream through."""
+    """token, set, pos, head (the first set that holds the token) where more than one set holds it. Rows come sorted, and stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = head = last = None  # of the run that is open; shown: its head has been given out
-        shown = False
+        open_run, head, shown = None, None, False  # the last row so far, its run's head, and whether the run has been given out
         for batch in batches:
-            t, s = batch.column("token").to_numpy(), batch.column("set").to_numpy()
+            t, s, p = (batch.column(k).to_numpy() for k in ("token", "set", "pos"))
             if not len(t):
                 continue
-            if token is not None:
-                t, s = np.append(token, t), np.append(last, s)
+            if open_run is not None:
+                t, s, p = (np.append(x, y) for x, y in zip(open_run, (t, s, p)))
             new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
-            t, s = t[new], s[new]
+            t, s, p = t[new], s[new], p[new]
             at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             size = np.diff(np.append(at, len(t)))
             heads = s[at].copy()
             keep = np.repeat(size > 1, size)
-            if token is not None:
+            if open_run is not None:
                 heads[0] = head
-                if shown:
-                    keep[0] = False
+                keep[0] &= not shown
             owner = np.repeat(heads, size)
-            out = [t[keep], s[keep], owner[keep]]
-            if token is not None and not shown and last != head and size[0] > 1:
-                raise AssertionError("an open run has one set until its head is given out")
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "set", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, s, p.astype(np.int32), owner)], names=["token", "set", "pos", "head"])
             shown = bool(size[-1] > 1 or (len(at) == 1 and shown))
-            token, head, last = t[-1], heads[-1], s[-1]
+            open_run, head = (t[-1:], s[-1:], p[-1:]), heads[-1]
 
-    return given.repartition("token").sortWithinPartitions("token", "set").mapInArrow(run, "token long, set long, head long")
+    return given.repartition("token").sortWithinPartitions("token", "set").mapInArrow(run, "token long, set long, pos int, head long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -182,7 +182,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "n", "tokens"])
 
-    return texts_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "set long, n long, tokens array<long>")
+    return texts_of(docs).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "set long, n long, tokens array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,13 +193,18 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def similar_size(n_a: str, n_b: str, percent: int):
-    return (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
+def least_shared(n_a, n_b, percent: int):
+    """What two sets of these sizes share if they are linked."""
+    return F.ceil((n_a + n_b) * percent / (100 + percent))
+
+
+def kept_back(n, percent: int):
+    """How many shingles a set of n doesn't give out."""
+    return n - (n - F.ceil(n * percent / 100) + 1)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
-    spark = docs.sparkSession
     all_docs = stored(describe(docs, k), "near-docs")
     counted = all_docs.filter("late is not null").select(F.explode(F.arrays_zip("late", "late_n")).alias("x")).groupBy(F.col("x.late").alias("token")).agg(F.sum("x.late_n").alias("c"))
     late = counted.orderBy(F.desc("c"), "token").limit(LATE).toPandas()  # LATE rows at most
@@ -207,32 +212,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     known = all_docs.filter("n > 0 and doc_id is not null")
     sizes = known.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     held = stored(holders(given_out(docs.filter("doc_id is not null"), k, percent, late)), "near-holders")
-    size_of = held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n")
-    size_of = stored(size_of, "near-sizes")
+    size_of = stored(held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n"), "near-sizes")
     n_a, n_b = size_of.select(F.col("set").alias("a"), F.col("n").alias("n_a")), size_of.select(F.col("set").alias("b"), F.col("n").alias("n_b"))
-    fits = similar_size("n_a", "n_b", percent)
-    first = held.filter("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct().join(n_a, "a").join(n_b, "b").filter(fits).select("a", "b")
-    first = stored(first, "near-first")
-    sets = stored(sets_of(docs, size_of.select("doc_id"), k), "near-sets")
-    links = stored(linked(first, sets, percent), "near-links")
+    a, b, c = F.col("n_a"), F.col("n_b"), F.col("c")
+    # each set with the heads of its tokens where they share a good part of what it gives out: finds most links; which of them hold is checked exactly
+    tried = held.filter("set <> head").groupBy(F.col("set").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
+    tried = tried.filter((c * 4 >= a - kept_back(a, percent)) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)).select("a", "b")
+    tried = stored(tried, "near-tried")
+    needed = tried.select(F.col("a").alias("set")).union(tried.select("b")).distinct()
+    links = stored(linked(tried, stored(sets_of(docs, size_of.join(needed, "set").select("doc_id"), k), "near-sets"), percent), "near-links")
     groups = stored(components(links), "near-groups")
-    grouped = size_of.select("set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK))
+    grouped = size_of.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     per_group = grouped.groupBy("comp").agg(F.count("*").alias("members"))
-    grouped = stored(grouped.join(per_group, "comp").withColumn("block", F.xxhash64("comp", F.pmod(F.xxhash64("set"), blocks))).select("set", "n", "comp", "block"), "near-grouped")
-    # a set and a block of another group that share a token
-    by_token = held.select("token", "set").join(grouped, "set")
+    block = F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / F.lit(BLOCK))))
+    grouped = stored(grouped.join(per_group, "comp").select("set", "doc_id", "n", "comp", block.alias("block"), (F.col("members") == 1).alias("alone")), "near-grouped")
+    # a set and a block of another group: how many given-out shingles they share bounds what their members can share
+    by_token = held.select("token", "set", "pos").join(grouped.drop("doc_id"), "set")
     mixed = by_token.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     by_token = stored(by_token.join(mixed, "token", "left_semi"), "near-mixed")
-    per_block = by_token.groupBy("token", "block").agg(F.first("comp").alias("comp_b"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    near_sizes = (F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("least_n") * percent <= F.col("n") * 100)
-    query = by_token.select("token", "set", "n", "comp").join(per_block, "token").filter(F.col("comp") != F.col("comp_b")).filter(near_sizes).select("set", "block").distinct()
-    query = stored(query, "near-queries")
-    used = query.select("block").distinct()
-    union = grouped.join(used, "block", "left_semi").join(sets.select("set", "tokens"), "set").groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    per_block = by_token.groupBy("token", "block").agg(F.min("comp").alias("comp_b"), F.min("n").alias("n_b"), F.max("n").alias("most_b"), F.max("pos").alias("pos_b"), F.min("alone").alias("alone_b"))
+    met = by_token.select("token", "set", "pos", F.col("n").alias("n_a"), "comp").join(per_block, "token").filter((F.col("comp") != F.col("comp_b")) & (F.col("most_b") * 100 >= a * percent) & (b * percent <= a * 100))
+    met = met.groupBy(F.col("set").alias("a"), "block").agg(F.count("*").alias("c"), F.max("pos").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.max("most_b").alias("most_b"), F.min("alone_b").alias("alone_b"))
+    behind = F.when(F.col("alone_b"), F.least(a - 1 - F.col("pos_a"), b - 1 - F.col("pos_b"))).otherwise(a)
+    rest = F.least(behind, F.greatest(kept_back(a, percent), kept_back(F.col("most_b"), percent)))
+    query = stored(met.filter(c + rest >= least_shared(a, b, percent)).select("a", "block"), "near-queries")
+    members = grouped.join(query.select("block").distinct(), "block", "left_semi")
+    needed = members.select("set", "doc_id").union(grouped.join(query.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select("set", "doc_id")).distinct()
+    sets = stored(sets_of(docs, needed.select("doc_id"), k), "near-sets")
+    union = members.select("set", "block").join(sets.select("set", "tokens"), "set").groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    opened = query.join(sets, "set").join(union, "block").filter(bound).select(F.col("set").alias("a"), "block")
-    opened = opened.join(grouped.select(F.col("set").alias("b"), "block"), "block").select("a", "b").join(n_a, "a").join(n_b, "b").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    opened = query.join(sets.withColumnRenamed("set", "a"), "a").join(union, "block").filter(bound).select("a", "block")
+    opened = opened.join(members.select(F.col("set").alias("b"), "block"), "block").select("a", "b").join(n_a, "a").join(n_b, "b").filter(F.least(a, b) * 100 >= F.greatest(a, b) * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(linked(opened, sets, percent), "near-more")
     final = groups if more.isEmpty() else stored(components(links.unionAll(more)), "near-final")
     named = sizes.join(final.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
