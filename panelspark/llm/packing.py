@@ -253,7 +253,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
                     at = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=PIECES_ARROW)
 
-    rest = store.filter(F.col("rem") > 0).select("part", "row", "doc_id", "n_tokens", "rem", F.expr("slice(tokens, cast(n_tokens - rem + 1 as int), rem)").alias("tokens")).join(stream, ["part", "row"])
+    rest = store.filter(F.col("rem") > 0).select("part", "row", "doc_id", "n_tokens", "rem", F.expr("slice(tokens, cast(n_tokens - rem + 1 as int), rem)").alias("tokens")).join(stream.hint("merge"), ["part", "row"])  # alike at every size
     return pieces.unionByName(rest.mapInArrow(cut, PIECES)), store
 
 
