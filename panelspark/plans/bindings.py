@@ -91,10 +91,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIXELS = "pixels AS (SELECT l_suppkey AS zone, l_orderkey * 10 + l_linenumber AS cell, year(l_shipdate)::BIGINT AS year, l_returnflag = 'R' AS truth, l_quantity > 2 AS truth_valid, l_discount > 0.05 AS a, l_quantity > 4 AS a_valid, l_tax > 0.04 AS b, l_quantity < 49 AS b_valid FROM lineitem)"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many digits; whole numbers as bigint; for comparison with SQL."""
+def rounded(df: DataFrame, digits: int = 6, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles to so many digits; whole numbers as bigint; for comparison with SQL. `exact` columns stay as they are."""
     out = {}
     for c, t in df.dtypes:
+        if c in exact:
+            continue
         if t in ("double", "float") or t.startswith("decimal"):
             out[c] = F.round(F.col(c).cast("double"), digits)
         elif t in ("int", "smallint", "tinyint"):

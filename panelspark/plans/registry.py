@@ -20,11 +20,11 @@ GRID = sc.GRID
 WINDOW_ENDS = [5, 10, 15, 20, 25, 30]
 
 
-def query(sql: str | None = None, digits: int = 6):
+def query(sql: str | None = None, digits: int = 6, exact: tuple[str, ...] = ()):
     """Registers a query under its function's name, with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits, exact)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -105,16 +105,16 @@ def interpolate_clamped(spark, sf_dir):
 
 FEATURES = """, vals AS (SELECT unit, year, doy, filled AS v FROM filled), laid AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN v IS NOT NULL THEN doy END IGNORE NULLS) OVER p AS pd FROM vals WINDOW p AS (PARTITION BY unit, year ORDER BY doy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT unit, year, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(min(v), 6) AS min, round(stddev_pop(v), 5) AS std, round(max(CASE WHEN doy = 193 THEN v END), 6) AS last, CASE WHEN count(v) >= 2 THEN round(sum((v + pv) / 2 * (doy - pd)), 5) END AS auc,
-  CASE WHEN count(v) FILTER (WHERE doy BETWEEN 60 AND 120) >= 2 THEN round(regr_slope(v, doy) FILTER (WHERE doy BETWEEN 60 AND 120), 4) END AS greenup, round(avg(CASE WHEN doy <= 97 THEN v END), 6) AS early_mean,
+  CASE WHEN count(v) FILTER (WHERE doy BETWEEN 60 AND 120) >= 2 THEN round(regr_slope(v, doy) FILTER (WHERE doy BETWEEN 60 AND 120), 9) END AS greenup, round(avg(CASE WHEN doy <= 97 THEN v END), 6) AS early_mean,
   round((max(CASE WHEN doy = 193 THEN v END) - max(CASE WHEN doy = 177 THEN v END)) / 16, 6) AS last_slope, min(doy) FILTER (WHERE v = top)::BIGINT AS peak_doy
 FROM (SELECT *, max(v) OVER (PARTITION BY unit, year) AS top FROM laid) GROUP BY unit, year"""
 
 
-@query(f"WITH {FULL_SEASON.format(cut=193)}{FILLED}{FEATURES}")
+@query(f"WITH {FULL_SEASON.format(cut=193)}{FILLED}{FEATURES}", exact=("greenup",))
 def series_features(spark, sf_dir):
     filled = filled_at(193)(spark, sf_dir).select("unit", "year", "doy", F.col("filled").alias("value"))
     out = series.series_features(filled, ["unit", "year"], "value", [g for g in GRID if g <= 193])
-    return out.withColumns({"std": F.round("std", 5), "auc": F.round("auc", 5), "greenup": F.round("greenup", 4)})
+    return out.withColumns({"std": F.round("std", 5), "auc": F.round("auc", 5), "greenup": F.round("greenup", 9)})
 
 
 @query(f"WITH {SEASON} SELECT unit, year, " + ", ".join(f"round(avg(CASE WHEN doy = {g} THEN value END), 6) AS \"value_DOY_{g}\"" for g in GRID) + " FROM season GROUP BY unit, year")
