@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, M1, M2, M3, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
@@ -34,7 +34,7 @@ BLOCK = 16
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
 LATE = 1 << 17
 #: Shingles of one run of documents in which repetition is counted, and the least repetition that counts.
-RUN, REPEATED = 1_500_000, 3
+RUN, REPEATED = 3_000_000, 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -215,8 +215,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     size_of = stored(held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n"), "near-sizes")
     n_a, n_b = size_of.select(F.col("set").alias("a"), F.col("n").alias("n_a")), size_of.select(F.col("set").alias("b"), F.col("n").alias("n_b"))
     a, b, c = F.col("n_a"), F.col("n_b"), F.col("c")
-    # each set with the heads of its tokens where they share a good part of what it gives out: finds most links; which of them hold is checked exactly
-    tried = held.filter("set <> head").groupBy(F.col("set").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
+    # each set with the first holder of a token and with some just before it, where they share a good part of what it gives out: finds most links; which of them hold is checked exactly
+    ordered = Window.partitionBy("token").orderBy("set")
+    others = F.array_compact(F.array(F.when(F.col("head") != F.col("set"), F.col("head")), *[F.lag("set", i).over(ordered) for i in (1, 2, 3, 5)]))
+    tried = held.select(F.col("set").alias("a"), F.explode(F.array_distinct(others)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
     tried = tried.filter((c * 4 >= a - kept_back(a, percent)) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)).select("a", "b")
     tried = stored(tried, "near-tried")
     needed = tried.select(F.col("a").alias("set")).union(tried.select("b")).distinct()
