@@ -20,12 +20,12 @@ class EliasFano:
     def write(self, v: np.ndarray) -> None:
         n = len(v)
         most = int(v[-1]) if n else 0
-        bits = min(32, max(0, (most // max(n, 1)).bit_length() - 1))
+        bits = max(0, (most // max(n, 1)).bit_length() - 1)
         high = (v >> np.uint64(bits)).astype(np.int64)
         top = int(high[-1]) if n else 0
         unary = np.zeros((n + top + 1 + 63) // 64 * 64, np.uint8)
         unary[high + np.arange(n)] = 1  # then a zero ends each high value
-        kind = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+        kind = next(k for k, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if bits <= b)
         zeros = np.cumsum(64 - unary.reshape(-1, 64).sum(1, dtype=np.int64))
         for k, a in (("low", (v & np.uint64((1 << bits) - 1)).astype(kind)), ("high", np.packbits(unary)), ("zeros", np.concatenate([[0], zeros])), ("shape", np.array([n, bits, top]))):
             np.save(self.files[k], a)
