@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 800_000
 
 U = np.uint64
 #: Odd 64-bit multipliers for mixing.

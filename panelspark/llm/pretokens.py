@@ -95,7 +95,7 @@ class Memo:
 
     WIDTH = 24
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 21, most: int = 1_200_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 20, most: int = 600_000):
         self.encode, self.bits, self.most = encode, bits, most
         self.clear()
 
@@ -142,7 +142,7 @@ class Memo:
 
     def entries(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry number of each pre-token."""
-        if self.n - len(self.long) > self.most or len(self.long) > self.most // 3:
+        if self.n - len(self.long) > self.most or len(self.long) > self.most // 6:
             self.clear()
         out = np.full(len(begins), -1, np.int32)
         lens = ends - begins
