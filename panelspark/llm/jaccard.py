@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     # each set with the first holder of a token and with some just before it, where they share a good part of what it gives out: finds most links; which of them hold is checked exactly
     ordered = Window.partitionBy("token").orderBy("set")
     others = F.array_compact(F.array(F.when(F.col("head") != F.col("set"), F.col("head")), *[F.lag("set", i).over(ordered) for i in (1, 2, 3, 5)]))
-    tried = held.select(F.col("set").alias("a"), F.explode(F.array_distinct(others)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
+    tried = held.withColumn("others", others).select(F.col("set").alias("a"), F.explode(F.array_distinct("others")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
     tried = tried.filter((c * 4 >= a - kept_back(a, percent)) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)).select("a", "b")
     tried = stored(tried, "near-tried")
     needed = tried.select(F.col("a").alias("set")).union(tried.select("b")).distinct()
