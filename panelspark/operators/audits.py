@@ -48,7 +48,7 @@ def validate_results(metrics: DataFrame, predictions: DataFrame, keys: list[str]
     gone = missing_cells(expected_grid(*axes), metrics, keys).agg(F.count("*").alias("missing"))
     n = predictions.groupBy(*keys).agg(F.count("*").alias("__n"))
     off = metrics.join(n, keys, "left").agg(F.count_if(F.coalesce(F.col("__n"), F.lit(0)) != F.col("n")).alias("wrong_n"))
-    targets = predictions.groupBy(unit, "year").agg((F.max("actual") - F.min("actual")).alias("d")).agg(F.count_if("d > 1e-9").alias("unstable_targets"))
+    targets = predictions.groupBy(unit, "year").agg((F.max("actual") - F.min("actual")).alias("d")).agg(F.count_if(F.col("d") > 1e-9).alias("unstable_targets"))
     return reduce(lambda a, b: a.crossJoin(b), [dup, gone, off, targets])  # one row each
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from panelspark.plans import registry
+from panelspark.plans import more, registry  # noqa: F401  (more adds to the registry)
 
 SF = "/root/testdata/sf0.001"
 
