@@ -23,11 +23,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows that repeat a doc_id count as one document, and rows without a doc_id stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id; rows that repeat a doc_id count as one document, as do rows without one that have the same text."""
     found = jaccard.near_duplicates(docs, k=5, percent=75)
     dropped = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return kept.withColumn("__text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
