@@ -234,7 +234,9 @@ def rebuilt(page: list[Block], label: np.ndarray, rng: np.random.Generator, pool
 
 def train(pages: DataFrame, max_pages: int = 400, seed: int = 11) -> Labeller | None:
     """max_pages: the most pages of the table that the labeller learns from, in the order of a hash of url and page_id."""
-    rows = pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id", "url")).limit(max_pages).select("html").collect()
+    some = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"))
+    last = some.select("h").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]  # only hashes are sorted
+    rows = some.filter(F.col("h") <= last).select("html").limit(max_pages).collect() if last is not None else []
     seen = [blocks(r[0]) for r in rows]
     seen = [p[:300] for p in seen if p]
     if not seen:
