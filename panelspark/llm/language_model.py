@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, M1, M2, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
 from .elias_fano import Trie, dequantise
 
-BLOCK, K = 2_000_000, 10.0
+BLOCK, K = 2_800_000, 10.0
 END, START = 0x9D5C0F3B7A1E2468, 0x3141592653589793
 #: Words that make up at least this share of the training tokens of some run of documents may count as common; so many at most.
 COMMON_SHARE, COMMON = 0.002, 250
