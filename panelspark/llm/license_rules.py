@@ -1,7 +1,9 @@
 """Signature rules for licences, one a line: label | kind | keyword | regular expression.
 
-The expressions run on lower-case bytes; a space in one stands for white space and comment marks between words. A rule's
-keyword must occur in a text before its expression is tried. Kinds, from the surest: tag, notice, title, url, name, hint.
+The expressions run on lower-case bytes; a space in one stands for white space and comment marks between words, so notices may
+wrap anywhere. ~{a,b} stands for a gap: of a to b characters (a run of white space and marks is one), or of any length where no
+licence is named in it. A rule's keyword must occur in a text, runs of white space and marks taken as one space, before its
+expression is tried. Kinds, from the surest: tag, notice, title, url, name, hint.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ gpl-3.0 | notice | general public license | gnu general public license,? (?:as p
 gpl-3.0 | title | general public license | gnu general public license \(?(?:version |v\.? ?)?3(?:\.0)?\b
 gpl-3.0 | url | gnu.org | gnu\.org/licenses/gpl-3
 gpl-3.0 | name | gpl | \bgpl[ -]?(?:v|version )?\.? ?3(?:\.0)?\b
-gpl-3.0-or-later | notice | general public license | general public license.{0,80}version 3(?:\.0)?,? (?:of the license,? )?or \(?at your option\)? any later
+gpl-3.0-or-later | notice | general public license | general public license~{0,80}version 3(?:\.0)?,? (?:of the license,? )?or \(?at your option\)? any later
 gpl-3.0-or-later | tag | gpl | \bgpl-3\.0(?:-or-later|\+)
 gpl-3.0-only | tag | gpl | \bgpl-3\.0-only\b
 gpl-2.0 | notice | general public license | gnu general public license,? (?:as published by the free software foundation,? )?(?:either )?\(?version 2\b
 gpl-2.0 | title | general public license | gnu general public license \(?(?:version |v\.? ?)?2(?:\.0)?\b
 gpl-2.0 | url | gnu.org | gnu\.org/licenses/(?:old-licenses/)?gpl-2
 gpl-2.0 | name | gpl | \bgpl[ -]?(?:v|version )?\.? ?2(?:\.0)?\b
-gpl-2.0-or-later | notice | general public license | general public license.{0,80}version 2(?:\.0)?,? (?:of the license,? )?or \(?at your option\)? any later
+gpl-2.0-or-later | notice | general public license | general public license~{0,80}version 2(?:\.0)?,? (?:of the license,? )?or \(?at your option\)? any later
 gpl-2.0-or-later | tag | gpl | \bgpl-2\.0(?:-or-later|\+)
 gpl-2.0-only | tag | gpl | \bgpl-2\.0-only\b
-gpl-2.0-classpath | notice | classpath | general public license.{0,120}classpath exception
+gpl-2.0-classpath | notice | classpath | general public license~{0,120}classpath exception
 gpl-1.0 | title | general public license | gnu general public license,? \(?(?:version |v\.? ?)1(?:\.0)?\b
 gpl | hint | gpl | \b(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl\b
 gpl | url | gnu.org | gnu\.org/licenses/gpl\b
@@ -59,7 +61,7 @@ apache-2.0 | notice | apache license | (?:released|distributed|available|provide
 apache-2.0 | title | apache license | apache license,? \(?(?:version |v\.? ?)?2(?:\.0)?\b
 apache-2.0 | title | apache software license | apache software license,? \(?(?:version |v\.? ?)?2(?:\.0)?\b
 apache-2.0 | name | apache | \bapache[ -](?:license[ -])?(?:v|version )?\.? ?2(?:\.0)?\b
-apache-2.0 | name | asl 2 | \basl ?2\.0\b
+apache-2.0 | name | asl | \basl ?2\.0\b
 apache-2.0 | url | apache.org | apache\.org/licenses/license-2
 apache-1.1 | title | apache | apache (?:software )?license,? \(?(?:version |v\.? ?)?1\.1\b
 apache-1.1 | url | apache.org | apache\.org/licenses/license-1\.1
@@ -83,7 +85,7 @@ isc | url | opensource.org | opensource\.org/licenses/isc\b
 bsd-2-clause | name | bsd | \b(?:bsd[ -]2[ -]clause|(?:2|two)[ -]clause bsd|simplified bsd|freebsd licen[sc]e)\b
 bsd-2-clause | url | opensource.org | opensource\.org/licenses/bsd-2-clause
 bsd-3-clause | name | bsd | \b(?:bsd[ -]3[ -]clause|(?:3|three)[ -]clause bsd|(?:new|revised|modified) bsd)\b
-bsd-3-clause | notice | neither the name | neither the names? of .{1,120} may be used to endorse or promote products
+bsd-3-clause | notice | neither the name | neither the names? of ~{1,120} may be used to endorse or promote products
 bsd-3-clause | url | opensource.org | opensource\.org/licenses/bsd-3-clause
 bsd-3-clause-clear | name | bsd | \bclear bsd licen[sc]e\b
 bsd-4-clause | name | bsd | \b(?:bsd[ -]4[ -]clause|(?:4|four)[ -]clause bsd|original bsd|old bsd)\b
@@ -225,7 +227,7 @@ elastic-2.0 | name | elastic license | \belastic license(?: 2\.0)?\b
 bigscience-rail | name | openrail | \b(?:bigscience |creativeml )?openrail(?:-m|\+\+-m)?\b
 llama-community | name | llama | \bllama (?:\d(?:\.\d)? )?community license\b
 json | notice | good, not evil | shall be used for good, not evil
-beerware | name | beer-ware | \bbeer-?ware licen[sc]e\b
+beerware | name | beer | \bbeer-?ware licen[sc]e\b
 unicode-dfs | name | unicode license | \bunicode license agreement\b
 blueoak-1.0.0 | name | blue oak | \bblue oak model license\b
 mulan-psl-2.0 | name | mulan | \bmulan permissive software license\b
@@ -237,6 +239,12 @@ proprietary | hint | proprietary | \bproprietary and confidential\b
 """
 
 
+#: Bytes between words, and the expressions for a run of them and for one character of a gap; possessive, so that long runs aren't split in many ways.
+MARKS = rb"\s*#/;"
+BETWEEN = b"(?:[" + MARKS + b"]++)"
+ANY = b"(?:" + BETWEEN + b"|[^" + MARKS + b"])"
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -245,12 +253,17 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+def compiled(pattern: str) -> re.Pattern:
+    text = re.sub(r"\[ -\]", "(?:\x00|-)", pattern).replace(" ", "\x00").encode().replace(b"\x00", BETWEEN)
+    text = re.sub(rb"~\{(\d+),(\d+)\}", lambda m: b"(?:%b{%b,%b}|(?:(?!licen)%b){%b,}?)" % (ANY, *m.groups(), ANY, m[1]), text)
+    return re.compile(re.sub(rb"(?<!\\)\.\{", lambda m: ANY + b"{", text))
+
+
 def rules() -> list[Rule]:
     """All rules in their order; of two detections of one priority the earlier rule's stands."""
     out = []
     for line in TABLE.strip().splitlines():
         label, kind, keyword, pattern = (x.strip() for x in line.split(" | ", 3))
         priority, confidence = KINDS[kind]
-        text = re.sub(r"\[ -\]", "(?:\x00|-)", pattern).replace(" ", "\x00").encode().replace(b"\x00", rb"[\s*#/;]+")
-        out.append(Rule(label, priority, confidence, keyword.encode(), re.compile(text)))
+        out.append(Rule(label, priority, confidence, keyword.encode(), compiled(pattern)))
     return out

@@ -1,6 +1,7 @@
 """Licence scans: base phrases, and ordered signature rules whose overlapping detections suppress one another.
 
-The keyword prefilter looks for each keyword in a whole batch at once; only texts that hold it meet the rules behind it. A detection
+The keyword prefilter looks for each keyword in a copy of a whole batch in which white space and comment marks between words are one
+space; only texts that hold it meet the rules behind it. A detection
 that lies within the span of one of higher priority (of a longer one, or an earlier rule's, if priorities are equal) is suppressed.
 
 Null or empty texts have no words, no places and the score 0. Rows that repeat are scanned each. Further columns are ignored.
@@ -25,6 +26,9 @@ from .license_rules import Rule, rules
 LETTERS = np.zeros(256, bool)
 LETTERS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 LETTERS[128:] = True
+#: White space and comment marks, as in license_rules.MARKS.
+MARKS = np.zeros(256, bool)
+MARKS[list(b" \t\n\r\f\v*#/;")] = True
 #: Phrase and label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BREAK, IN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]", rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -56,6 +60,13 @@ def settle(found: list[Detection]) -> list[Detection]:
     return sorted(kept)
 
 
+def one_space(buf: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with each run of white space and comment marks as one space, and their offsets."""
+    marks = MARKS[buf]
+    again = np.flatnonzero(marks[1:] & marks[:-1]) + 1
+    return np.delete(np.where(marks, np.uint8(32), buf), again).tobytes(), offsets - np.searchsorted(again, offsets)
+
+
 def rows_with(raw: bytes, keyword: bytes, offsets: np.ndarray) -> list[int]:
     """Rows whose text holds the keyword; a hit that reaches over a text's end doesn't count."""
     out, at = [], raw.find(keyword)
@@ -81,8 +92,9 @@ def scan_batch(texts: pa.Array) -> list[dict]:
             a, b = int(offsets[row]), int(offsets[row + 1])
             text = raw[a:b]
             places[row] += [(int(np.searchsorted(starts[first[row] : first[row + 1]], a + m.start())), label) for m in pattern.finditer(text)]
+    spaced, spaced_offsets = one_space(buf[: offsets[-1]], offsets)
     for key, some in by_keyword.items():
-        for row in rows_with(raw, key, offsets):
+        for row in rows_with(spaced if b" " in key else raw, key, spaced_offsets if b" " in key else offsets):
             text = raw[int(offsets[row]) : int(offsets[row + 1])]
             for i, rule in some:
                 found[row] += [Detection(m.start(), m.end(), i, rule) for m in rule.pattern.finditer(text)]

@@ -35,6 +35,70 @@ def test_license_rules_suppress():
     assert "gpl-3.0-or-later" in row["labels"] and not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in spans for b in spans)
 
 
+def wrapped(parsed, most):
+    """A text that the parsed expression matches, with a break and a comment mark between all words; of what may be left out all (most) or nothing is there."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kinds = [str(o) for o, _ in arg]
+            out += "x" if "NEGATE" in kinds else "\n * " if (op, ord("*")) in [(op, a) for _, a in arg] else "1" if kinds[0] == "CATEGORY" else chr(arg[0][1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            out += wrapped(arg[2], most) * max(arg[0], int(most))
+        elif name == "SUBPATTERN":
+            out += wrapped(arg[3], most)
+        elif name == "BRANCH":
+            out += wrapped(next((b for b in arg[1] if "NEGATE" in str(b)), arg[1][-1 if most else 0]), most)  # gaps: a letter
+    return out
+
+
+@pytest.mark.parametrize("most", [False, True])
+def test_license_rules_on_wrapped_notices(monkeypatch, most):
+    import pyarrow as pa
+
+    from panelspark.llm.license_rules import rules
+
+    monkeypatch.setattr(licenses, "settle", sorted)
+    texts = [wrapped(re._parser.parse(r.pattern.pattern.decode()), most) for r in rules()]
+    rows = licenses.scan_batch(pa.array(texts))
+    assert [r.label for r, row in zip(rules(), rows) if r.label not in {d["label"] for d in row["detections"]}] == []
+    every = [(t.encode(), i) for i, t in enumerate(texts)]
+    missed = [(r.label, t) for r in rules() for t, i in every if r.pattern.search(t) and r.label not in {d["label"] for d in rows[i]["detections"]}]
+    assert missed == []
+
+
+def test_license_notices_wrap():
+    import pyarrow as pa
+
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public
+ * License as published by
+ *                                    the Free Software Foundation, either version %s of the License, or
+ * (at your option) any later version.
+ */"""
+    bsd = "# Neither the name of the University of California, Lawrence Berkeley National\n# Laboratory, U.S. Dept. of Energy, nor the names of its\n# contributors may be used to\n# endorse or promote products derived from this software"
+    texts = {
+        "# Licensed under the Apache\n# License, Version 2.0": "apache-2.0",
+        gpl % 3: "gpl-3.0-or-later",
+        gpl % 2: "gpl-2.0-or-later",
+        "// GNU General Public License, version 2,\n// with the Classpath\n// Exception": "gpl-2.0-classpath",
+        bsd: "bsd-3-clause",
+        "GPLv3": "gpl-3.0",
+        "Apache-2.0": "apache-2.0",
+        "ASL2.0": "apache-2.0",
+        "Beerware license": "beerware",
+    }
+    rows = licenses.scan_batch(pa.array(list(texts)))
+    assert [label for label, r in zip(texts.values(), rows) if label not in r["labels"].split(",")] == []
+    far = "general public license" + " word" * 40 + " license" + " word" * 40 + " version 3 or (at your option) any later"
+    assert "gpl-3.0-or-later" not in licenses.scan_batch(pa.array([far]))[0]["labels"]
+    apart = licenses.scan_batch(pa.array(["an apache", "license, version 2.0 ", "\n", " apache \n\n", "\tlicense 2.0"]))
+    assert [r["labels"] for r in apart] == [""] * 5
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, dup = WORDS(t), set(), 0
