@@ -23,11 +23,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows that repeat a doc_id count as one document, as do rows without one that have the same text."""
-    found = jaccard.near_duplicates(docs, k=5, percent=75)
-    dropped = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    return kept.withColumn("__text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """Of each group of near-duplicates the document with the smallest doc_id, and of its texts, if there are several, one; rows that repeat both doc_id and text (or have no doc_id and the same text) count as one document."""
+    found = jaccard.near_duplicates(docs, k=5, percent=75, by_text=True)
+    dropped = found.filter((F.col("component_id") != F.col("doc_id")) | (F.col("component_hash") != F.col("text_hash"))).select("doc_id", F.col("text_hash").alias("__text")).distinct()
+    kept = docs.withColumn("__text", jaccard.text_hash()).join(dropped.hint("merge"), ["doc_id", "__text"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

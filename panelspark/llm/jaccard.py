@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, M1, M2, M3, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
@@ -67,8 +67,14 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(both).astype(np.int64)[0]) if len(s) else 0
 
 
-def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), set (its fingerprint); late, late_n: shingles that recur in a run of documents, on one row of each run."""
+def text_hash() -> Column:
+    """64 bits that tell texts apart; no text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def describe(docs: DataFrame, k: int, by_text: bool = False) -> DataFrame:
+    """doc_id, n (size of the set), set (its fingerprint); late, late_n: shingles that recur in a run of documents, on one row of each run; by_text: text_hash."""
+    more = ["text_hash"] if by_text else []
 
     def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         s = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
@@ -80,10 +86,10 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         held, size, met, waiting = [], 0, set(), None
 
         def made(rows: tuple, late: tuple | None) -> pa.RecordBatch:
-            ids, n, fp = rows
+            ids, n, fp, *others = rows
             blank = [None] * len(n)
             a, b = (blank, blank) if late is None else ([late[0], *blank[1:]], [late[1], *blank[1:]])
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int32()))], names=["doc_id", "n", "set", "late", "late_n"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int32())), *others], names=["doc_id", "n", "set", "late", "late_n", *more])
 
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), k)
@@ -98,11 +104,11 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     met.add(fp)
                     held.append(s)
                     size += len(s)
-            waiting = (batch.column("doc_id"), [len(s) for s in sets], fps)
+            waiting = (batch.column("doc_id"), [len(s) for s in sets], fps, *(batch.column(c) for c in more))
         if waiting is not None:
             yield made(waiting, repeated(held))
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, set long, late array<long>, late_n array<int>")
+    return texts_of(docs, *(text_hash().alias(c) for c in more)).mapInArrow(run, "doc_id long, n long, set long, late array<long>, late_n array<int>" + "".join(f", {c} long" for c in more))
 
 
 def given(n, percent: int):
@@ -203,14 +209,20 @@ def kept_back(n, percent: int):
     return n - (n - F.ceil(n * percent / 100) + 1)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
-    all_docs = stored(describe(docs, k), "near-docs")
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document.
+
+    by_text: also text_hash and component_hash, the smallest text_hash that goes with component_id in the component. Where a doc_id
+    repeats with different texts, only both together name one document.
+    """
+    all_docs = stored(describe(docs, k, by_text), "near-docs")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first") if by_text else F.min("doc_id").alias("doc_id")
+    split = ["first.doc_id", "first.text_hash"] if by_text else ["doc_id"]
     counted = all_docs.filter("late is not null").select(F.explode(F.arrays_zip("late", "late_n")).alias("x")).groupBy(F.col("x.late").alias("token")).agg(F.sum("x.late_n").alias("c"))
     late = counted.orderBy(F.desc("c"), "token").limit(LATE).toPandas()  # LATE rows at most
     late = late.sort_values(["c", "token"])["token"].to_numpy(np.int64).astype(np.uint64)
     known = all_docs.filter("n > 0 and doc_id is not null")
-    sizes = known.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    sizes = known.groupBy("set").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")).select("set", *split, "n", "copies")
     held = stored(holders(given_out(docs.filter("doc_id is not null"), k, percent, late)), "near-holders")
     size_of = stored(held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n"), "near-sizes")
     n_a, n_b = size_of.select(F.col("set").alias("a"), F.col("n").alias("n_a")), size_of.select(F.col("set").alias("b"), F.col("n").alias("n_b"))
@@ -248,7 +260,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     more = stored(linked(opened, sets, percent), "near-more")
     final = groups if more.isEmpty() else stored(components(links.unionAll(more)), "near-final")
     named = sizes.join(final.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))
-    shared = stored(named.join(least.filter("size > 1"), "comp").select("set", "component_id"), "near-classes")
-    out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set")).join(shared, "set", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    least = named.groupBy("comp").agg(first, F.sum("copies").alias("size")).select("comp", *[F.col(c).alias(to) for c, to in zip(split, ("component_id", "component_hash"))], "size")
+    shared = stored(named.join(least.filter("size > 1"), "comp").select("set", *least.columns[1:-1]), "near-classes")
+    more = ["text_hash"] if by_text else []
+    out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"), *more).join(shared, "set", "left")
+    hashes = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_hash", "text_hash")).alias("component_hash")] if by_text else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *hashes)

@@ -79,3 +79,16 @@ def test_pipeline(spark):
     assert ids == {d for d, (_, c) in brute_classes(calm.collect()).items() if d == c}
     pieces = cp.packed(spark, single, SF).collect()
     assert {r.doc_id for r in pieces} == ids
+
+
+def test_pipeline_keeps_every_text_of_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, c), (7, c), (8, d), (8, d + " more"), (None, a), (None, a), (5, None), (5, c), (5, c)]
+    kept = cp.near_duplicates(spark, spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, text_hash string"), SF)
+    assert kept.columns == ["doc_id", "text", "text_hash"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    eight = [x for x in got if x[0] == 8]
+    assert len(eight) == 1 and eight[0][1] in (d, d + " more")
+    assert [x for x in got if x[0] != 8] == sorted([(3, a), (7, b), (5, c), (None, a), (5, None)], key=str)
