@@ -169,7 +169,7 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 250, decay: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | None:
-    """max_rows: the most labelled rows that the fit uses, half of each class, taken in the order of a hash of doc_id."""
+    """max_rows: the most labelled rows that the fit uses, half of each class, taken in the order of a hash of doc_id. Of the texts of a repeated doc_id the first in order counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = dict(known.groupBy("quality").count().collect())
     if len(counts) < 2:
@@ -183,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
             where = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([i.astype(np.int32) for i in where], pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, where)], pa.list_(pa.float32()))], names=["doc_id", "quality", "at", "value"])
 
-    rows = texts_of(docs).join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").toArrow()  # max_rows at most, but for repeated rows
+    once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = once.mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").toArrow()  # max_rows at most
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    order = order[np.unique(rows["doc_id"].to_numpy()[order], return_index=True)[1]]
     order = order[np.argsort(hash_ranges(np.frombuffer(rows["doc_id"].to_numpy()[order].astype("<i8").tobytes() + b"\0" * 32, np.uint8), 8 * np.arange(len(order)), np.full(len(order), 8)))]
     x, y = np.zeros((len(order), 3 * BUCKETS), np.float32), np.zeros(len(order), np.float32)
     at, value, label = rows["at"].combine_chunks(), rows["value"].combine_chunks(), rows["quality"].to_numpy()

@@ -122,6 +122,16 @@ def test_quality(request, labels, which):
     assert set(df.columns) - {"n_words", "probability", "kept"} <= set(kept.columns) and kept.count() == df.count()
 
 
+def test_quality_collects_repeated_ids_once(spark, monkeypatch):
+    collected, kind = [], type(spark.range(1))
+    real = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: collected.append(real(self)) or collected[-1])
+    rows = [(i, f"words of document {i} " * 5) for i in range(40)] + [(7, f"another text {i} " * 5) for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_rows=40) is not None
+    assert [t.num_rows for t in collected] == [40]
+
+
 def test_quality_tells_apart(spark):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(d, quality.train(d, y), 0.2).join(y, "doc_id").filter("not base_failed").select("kept", "quality").collect()
