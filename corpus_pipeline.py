@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of 2048 tokens."""
     pieces, _ = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end=1, window=2048)
-    return pieces
+    return pieces.drop("part", "row")
 
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("n-gram Jaccard join", near_duplicates), ("packing", packed)]

@@ -30,7 +30,7 @@ from .encoders import encoder
 
 STORE = "part int, row long, doc_id long, n_tokens long, n_full long, full_before long, rem int, rem_rank long, crcs array<long>, tokens array<int>"
 STORE_ARROW = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_full", pa.int64()), ("full_before", pa.int64()), ("rem", pa.int32()), ("rem_rank", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, row long"
 PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
@@ -178,7 +178,7 @@ def with_before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFr
 
 
 def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """The pieces (one row each) and the store of ids that they refer to."""
+    """The pieces (one row each) and the store of ids that they refer to by part and row: a doc_id may be null or repeat."""
     store = encode_store(docs, vocabulary, end, window)
     meta = store.drop("tokens")
     lengths = meta.groupBy("part", "rem").agg(F.count("*").alias("n"), F.sum("n_full").alias("full"))
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("n_tokens", "n_full", "full_before", "full_base", "rem", "rank")}
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("part", "row", "n_tokens", "n_full", "full_before", "full_base", "rem", "rank")}
             doc = batch.column("doc_id")
             crcs = batch.column("crcs").flatten().to_numpy()
             n_pieces = c["n_full"] + (c["rem"] > 0)
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
             keep = whole | left
             row, nth = row[keep], nth[keep]
             yield pa.RecordBatch.from_arrays(
-                [doc.take(pa.array(row)), pa.array(nth * window), pa.array(np.where(whole[keep], window, rem[keep]).astype(np.int64)), pa.array(crcs[keep]), pa.array(c["n_tokens"][row]), pa.array(seq[keep]), pa.array(off[keep])],
+                [doc.take(pa.array(row)), pa.array(nth * window), pa.array(np.where(whole[keep], window, rem[keep]).astype(np.int64)), pa.array(crcs[keep]), pa.array(c["n_tokens"][row]), pa.array(seq[keep]), pa.array(off[keep]), pa.array(c["part"][row].astype(np.int64)), pa.array(c["row"][row])],
                 schema=PIECES_ARROW,
             )
 
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, n, rem, pos, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_tokens", "rem", "pos")), batch.column("tokens")):
+            for part, row, doc, n, rem, pos, ids in zip(*(batch.column(k).to_pylist() for k in ("part", "row", "doc_id", "n_tokens", "rem", "pos")), batch.column("tokens")):
                 ids = ids.values.to_numpy().astype("<u4")
                 at = pos
                 while at < pos + rem:
@@ -249,9 +249,9 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
                         k = int(np.searchsorted(ends, at, side="right"))
                         seq, begin, stop = tail // window + k, ends[k - 1] if k else tail, ends[k]
                     stop = min(stop, pos + rem)
-                    rows.append((doc, n - rem + at - pos, stop - at, zlib.crc32(ids[at - pos : stop - pos].tobytes()), n, first_seq + seq, at - begin))
+                    rows.append((doc, n - rem + at - pos, stop - at, zlib.crc32(ids[at - pos : stop - pos].tobytes()), n, first_seq + seq, at - begin, part, row))
                     at = stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=PIECES_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(PIECES_ARROW))], schema=PIECES_ARROW)
 
     rest = store.filter(F.col("rem") > 0).select("part", "row", "doc_id", "n_tokens", "rem", F.expr("slice(tokens, cast(n_tokens - rem + 1 as int), rem)").alias("tokens")).join(stream.hint("merge"), ["part", "row"])  # alike at every size
     return pieces.unionByName(rest.mapInArrow(cut, PIECES)), store
@@ -259,6 +259,5 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
 
 def sequences(pieces: DataFrame, store: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves; each gathers one window of tokens at most."""
-    ids = store.select("doc_id", "n_tokens", "tokens").dropDuplicates(["doc_id"])
-    parts = pieces.join(ids, "doc_id").select("sequence_id", F.struct("offset", F.expr("slice(tokens, cast(start + 1 as int), cast(length as int))").alias("ids")).alias("piece"))
+    parts = pieces.join(store.select("part", "row", "tokens"), ["part", "row"]).select("sequence_id", F.struct("offset", F.expr("slice(tokens, cast(start + 1 as int), cast(length as int))").alias("ids")).alias("piece"))
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids"))

@@ -63,7 +63,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, _ = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1, window=2048)
-    return pieces
+    return pieces.drop("part", "row")
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

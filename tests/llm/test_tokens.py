@@ -100,6 +100,16 @@ def test_packing(request, which):
         assert {k: len(v) for k, v in made.items()} == {k: sum(n for _, n in v) for k, v in by_seq.items()}
 
 
+def test_packed_sequences_hold_null_and_repeated_ids(spark):
+    long = " ".join(f"word{i}" for i in range(300))
+    df = spark.createDataFrame([(None, "no id here"), (None, long), (1, "one text"), (1, "another text of the same id"), (1, long[::-1]), (2, "")], "doc_id long, text string")
+    pieces, store = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), end=1, window=256)
+    made = {r.sequence_id: np.array(r.ids, "<u4") for r in packing.sequences(pieces, store).collect()}
+    rows = pieces.collect()
+    assert sum(map(len, made.values())) == sum(r.length for r in rows)
+    assert all(zlib.crc32(made[r.sequence_id][r.offset : r.offset + r.length].tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_plan_stays_within_supply():
     h = np.zeros(2048, np.int64)
     h[[1500, 548, 274, 1024]] = [1000, 300, 500, 7]
