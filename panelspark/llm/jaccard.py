@@ -6,15 +6,20 @@ All links at or above the threshold count, and none below. Steps:
 2. Two sets can only be linked if they share one of the first n - ceil(t n) + 1 shingles of each in any common order. Each
    set gives these out; a shingle that only one set gives is dropped at once. The order puts shingles that recur often last. How often
    is counted over all documents, run by run; the order decides how much work is done, never the result.
-3. Within the holders of a shingle each is compared with the first of them alone. What is linked so far are the similar groups.
-4. Groups are dealt into blocks of few sets. The matrix holds for each block the union of its members' shingles. A set from another
-   group that shares a given-out shingle with a block is held against the union: if it has fewer than ceil(t n) of its
-   shingles there, no member can be linked with it. Only blocks that qualify are opened, and their members compared exactly.
-5. Components of all links are found by large-star and small-star steps.
-
-Sets are gathered from the text only for documents that share given-out shingles. Null texts and texts without words have an
+3. Each set goes to the group of the set (its leader) that comes first among the holders of most of its given-out shingles, or a good part of them,
+   so a crowd of similar sets is few groups, whether its members are linked or not. Large groups are cut into blocks.
+4. Blocks that share given-out shingles are counted, block by block, never set by set: with fewer shared ones than the sizes ask for, no
+   member of one can be linked with a member of the other.
+5. Sets are held against their leaders first; blocks that these links make one component are done with.
+6. The matrix holds the union of its members' shingles for each block left. A set of another block that may be linked
+   is held against the union: if it has fewer than ceil(t n) of its shingles there, the block stays closed. Blocks that qualify are
+   opened, and the members compared exactly. What leaves a task are spanning links, not pairs.
+7. Components of all links are found by large-star and small-star steps.
+
+Sets are gathered from the text only for documents that may be linked. Null texts and texts without words have an
 empty set and are linked with nothing; with fewer words than a shingle the whole sequence is the one shingle. Rows that
-repeat are copies of each other. A null doc_id is linked with nothing. Further columns are ignored.
+repeat are copies of each other. A null doc_id is linked with nothing. Very long texts are sets like others. Similarity of exactly the
+threshold is a link. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, M1, M2, M3, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
 from .components import components
 
-#: Sets of a block of a group, on average.
-BLOCK = 16
+#: Sets, and shingles, of a block of a group, on average; sets that are held against a block in one task, about.
+BLOCK, BLOCK_TOKENS, QUERIES = 128, 400_000, 1024
+#: Holders of a common shingle that are dealt out together, about.
+RUN_OF_HOLDERS = 4096
+#: A set follows a leader that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
+PART, MARKS = 6, 1 << 24
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
 LATE = 1 << 17
 #: Shingles of one run of documents in which repetition is counted, and the least repetition that counts.
@@ -112,24 +121,43 @@ def describe(docs: DataFrame, k: int, by_text: bool = False) -> DataFrame:
 
 
 def given(n, percent: int):
-    """n - ceil(t n) + 1: of two linked sets, each must share one of so many first shingles with the other."""
-    return n - (n * percent + 99) // 100 + 1
+    """n - ceil(t n) + 1, of a number or a column: of two linked sets, each must share one of so many first shingles with the other."""
+    return n - (F.ceil(n * percent / 100) if isinstance(n, Column) else (n * percent + 99) // 100) + 1
 
 
-def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFrame:
-    """token, set, pos: the first shingles of each set in the common order, from place 0 on.
+def late_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most repeated shingles in ascending order of their counts, LATE at most, and these counts.
 
-    late: shingles that come last, in ascending order of frequency.
+    A histogram of the counts (some hundred classes) gives the least count whose shingles still fit; only those come to the driver.
+    """
+    counted = described.filter("late is not null").select(F.explode(F.arrays_zip("late", "late_n")).alias("x")).groupBy(F.col("x.late").alias("token")).agg(F.sum("x.late_n").alias("c"))
+    counted = stored(counted.filter("c > 1").withColumn("level", F.floor(F.log2("c") * 16).cast("int")), "near-counts")
+    room, least = LATE, None
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    late = counted.filter(F.col("level") >= least).select("token", "c").toPandas().sort_values(["c", "token"])
+    return late["token"].to_numpy(np.int64).astype(np.uint64), late["c"].to_numpy(np.int64)
+
+
+def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """token, salt, set: the first shingles of each set in the common order.
+
+    late: shingles that come last, in ascending order of their counts. Holders of a very common shingle are dealt to salts from 1 on.
     """
     sc = docs.sparkSession.sparkContext
     order = np.argsort(late)
-    shared = sc.broadcast((late[order], order))  # LATE numbers at most
+    shared = sc.broadcast((late[order], order, -(-counts[order] // RUN_OF_HOLDERS)))  # LATE numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = shared.value
+        keys, ranks, parts = shared.value
         met: set[int] = set()
         for batch in chunks(batches):
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, salts = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 fp = fingerprint(s)
                 if not len(s) or fp in met:
@@ -138,57 +166,83 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFr
                     met.clear()
                 met.add(fp)
                 need = given(len(s), percent)
+                salt = np.zeros(len(s), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     last = keys[at] == s
-                    s = np.concatenate([s[~last], s[last][np.argsort(ranks[at[last]])]])
+                    at = at[last]
+                    at = at[np.argsort(ranks[at])]
+                    s = np.concatenate([s[~last], keys[at]])
+                    salt[len(s) - len(at) :] = np.where(parts[at] > 1, 1 + (fp >> 8) % parts[at], 0)
                 tokens.append(s[:need])
+                salts.append(salt[:need])
                 owners.append(fp)
                 sizes.append(need)
-            pos = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0)
-            tokens = np.concatenate(tokens) if tokens else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), sizes)), pa.array(pos.astype(np.int32))], names=["token", "set", "pos"])
+            tokens, salts = (np.concatenate(x) if x else np.zeros(0) for x in (tokens, salts))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(salts.astype(np.int32)), pa.array(np.repeat(np.array(owners, np.int64), sizes))], names=["token", "salt", "set"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "token long, set long, pos int")
+    return texts_of(docs).select("text").mapInArrow(run, "token long, salt int, set long")
 
 
 def holders(given: DataFrame) -> DataFrame:
-    """token, set, pos, head (the first set that holds the token) where more than one set holds it. Rows come sorted, and stream through."""
+    """token, salt, set, head (the first set of those that hold the token with this salt) where several sets hold it, or may do so. Rows come sorted, and stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run, head, shown = None, None, False  # the last row so far, its run's head, and whether the run has been given out
         for batch in batches:
-            t, s, p = (batch.column(k).to_numpy() for k in ("token", "set", "pos"))
+            t, x, s = (batch.column(k).to_numpy() for k in ("token", "salt", "set"))
             if not len(t):
                 continue
             if open_run is not None:
-                t, s, p = (np.append(x, y) for x, y in zip(open_run, (t, s, p)))
-            new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
-            t, s, p = t[new], s[new], p[new]
-            at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                t, x, s = (np.append(p, q) for p, q in zip(open_run, (t, x, s)))
+            other = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
+            new = np.append(True, other | (s[1:] != s[:-1]))
+            t, x, s = t[new], x[new], s[new]
+            at = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (x[1:] != x[:-1])))
             size = np.diff(np.append(at, len(t)))
             heads = s[at].copy()
-            keep = np.repeat(size > 1, size)
+            keep = np.repeat((size > 1) | (x[at] > 0), size)
             if open_run is not None:
                 heads[0] = head
                 keep[0] &= not shown
-            owner = np.repeat(heads, size)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, s, p.astype(np.int32), owner)], names=["token", "set", "pos", "head"])
-            shown = bool(size[-1] > 1 or (len(at) == 1 and shown))
-            open_run, head = (t[-1:], s[-1:], p[-1:]), heads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in (t, x, s, np.repeat(heads, size))], names=["token", "salt", "set", "head"])
+            shown = bool(size[-1] > 1 or x[-1] > 0 or (len(at) == 1 and shown))
+            open_run, head = (t[-1:], x[-1:], s[-1:]), heads[-1]
 
-    return given.repartition("token").sortWithinPartitions("token", "set").mapInArrow(run, "token long, set long, pos int, head long")
+    return given.repartition("token", "salt").sortWithinPartitions("token", "salt", "set").mapInArrow(run, "token long, salt int, set long, head long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """set, n, tokens of the documents wanted (doc_id)."""
+    """set, n, tokens of the documents wanted (doc_id); a set may come several times.
+
+    Hashes of the wanted ids are marked in a bitmap of fixed size, so most other texts stay where they are; a join by doc_id follows.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int")
+    marks = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()  # MARKS / 64 rows at most
+    bitmap = np.zeros(MARKS // 64, np.int64)
+    bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))).select(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in chunks(batches):
-            sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "n", "tokens"])
+            rows = []
+            for s in shingle_sets(batch.column("text"), k):
+                fp = fingerprint(s)
+                if fp not in met:
+                    if len(met) > 200_000:
+                        met.clear()
+                    met.add(fp)
+                    rows.append((fp, s))
+            yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.astype(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["set", "n", "tokens"])
 
-    return texts_of(docs).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "set long, n long, tokens array<long>")
+    near = texts_of(docs).filter("doc_id is not null").withColumn("slot", slot).mapInArrow(marked, "doc_id long, text string")
+    return near.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "set long, n long, tokens array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +260,161 @@ def least_shared(n_a, n_b, percent: int):
 
 def kept_back(n, percent: int):
     """How many shingles a set of n doesn't give out."""
-    return n - (n - F.ceil(n * percent / 100) + 1)
+    return n - given(n, percent)
+
+
+def in_blocks(held: DataFrame, size_of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """set, doc_id, n, block of all sets that share a given-out shingle; and a, b, c: sets to hold against each other first.
+
+    A set's leader is the head of most of its given-out shingles, if it heads a good part of them; leaders lead themselves.
+    """
+    votes = held.filter("set <> head").groupBy("set", "head").agg(F.count("*").alias("c"))
+    best = votes.groupBy("set").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("x")).select("set", (-F.col("x.head")).alias("leader"), F.col("x.c").alias("c"))
+    best = stored(best, "near-votes")
+    leads = best.join(size_of.select("set", "n"), "set").filter(F.col("c") * PART >= given(F.col("n"), percent)).select("set", "leader")
+    leaders = leads.select(F.col("leader").alias("set")).distinct().withColumn("leads", F.lit(True))
+    grouped = size_of.join(leads, "set", "left").join(leaders, "set", "left").withColumn("leader", F.when(F.col("leads"), F.col("set")).otherwise(F.coalesce("leader", "set"))).drop("leads")
+    per_group = grouped.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).alias("parts"))
+    block = F.xxhash64("leader", F.pmod(F.xxhash64("set"), F.col("parts")))
+    grouped = grouped.join(per_group, "leader").select("set", "doc_id", "n", block.alias("block"))
+    # the heads of a common shingle's salts with the least of them
+    salted = held.filter("salt > 0").select("token", "head").distinct()
+    heads = salted.join(salted.groupBy("token").agg(F.min("head").alias("b")), "token").filter("head <> b").groupBy(F.col("head").alias("a"), "b").agg(F.count("*").alias("c"))
+    return grouped, best.toDF("a", "b", "c").unionByName(heads)
+
+
+def may_link(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes (low_a to high_a, low_b to high_b) and count c of shared given-out shingles allow a link.
+
+    What two sets share beyond their given-out shingles is kept back by one of them.
+    """
+    rest = F.greatest(kept_back(F.col("high_a"), percent), kept_back(F.col("high_b"), percent))
+    sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    return pairs.filter(sizes & (F.col("c") + rest >= least_shared(F.col("low_a"), F.col("low_b"), percent)))
+
+
+def block_pairs(held: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """x, y: blocks, x < y, some members of which share so many given-out shingles that they may be linked."""
+    per_block = held.select("token", "set").join(grouped.select("set", "n", "block"), "set").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    per_block = stored(per_block, "near-tokens")
+    a, b = (per_block.select("token", F.col("block").alias(to), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for to, s in (("x", "a"), ("y", "b")))
+    met = a.join(b, "token").filter((F.col("x") < F.col("y")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent))
+    ranges = [f(c).alias(c) for f, c in ((F.min, "low_a"), (F.max, "high_a"), (F.min, "low_b"), (F.max, "high_b"))]
+    return may_link(met.groupBy("x", "y").agg(F.count("*").alias("c"), *ranges), percent).select("x", "y")
+
+
+def opened(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: spanning links found by opening blocks.
+
+    rows: block, part (tasks of a block's queries), kind (0: a member; 1: a member to be held against the others; 2: a set of another
+    block), set, n, tokens. A part's rows come with members first; queries stream through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, block = None, [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if members and block is None and any(kind == 1 for kind, *_ in members):
+                yield from made(Block(members, percent))
+            elif block is not None:
+                yield from made(block)
+
+        def made(done: Block) -> Iterator[pa.RecordBatch]:
+            a, b = done.links()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            blocks, parts, kinds, sets, sizes = (batch.column(c).to_pylist() for c in ("block", "part", "kind", "set", "n"))
+            tokens = batch.column("tokens")
+            offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+            for i in range(batch.num_rows):
+                if (blocks[i], parts[i]) != key:
+                    yield from close()
+                    key, members, block = (blocks[i], parts[i]), [], None
+                row = (kinds[i], sets[i], sizes[i], np.sort(values[offsets[i] : offsets[i + 1]]))
+                if kinds[i] < 2:
+                    members.append(row)
+                else:
+                    if block is None:
+                        block = Block(members, percent)
+                    block.ask(*row[1:])
+        yield from close()
+
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(run, "a long, b long")
+
+
+class Block:
+    """A row of the token-group matrix: the union of the members' shingles, and which members hold each."""
+
+    def __init__(self, members: list[tuple], percent: int):
+        self.percent = percent
+        self.sets = [m[1] for m in members]
+        self.sizes = np.array([m[2] for m in members], np.int64)
+        every = np.concatenate([m[3] for m in members]) if members else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        self.owner = np.repeat(np.arange(len(members)), [len(m[3]) for m in members])[order]
+        at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        self.union, self.at = every[at], np.append(at, len(every))
+        self.label = list(range(len(members)))
+        self.outside: list[tuple[int, int]] = []
+        for i, m in enumerate(members):
+            if m[0] == 1:
+                self.join(self.linked(m[2], m[3]) + [i])
+
+    def linked(self, n: int, tokens: np.ndarray) -> list[int]:
+        """The members linked with a set."""
+        if not len(self.union):
+            return []
+        place = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        place = place[self.union[place] == tokens]
+        if 100 * len(place) < self.percent * n:  # what the union has of it bounds what any member has
+            return []
+        size = self.at[place + 1] - self.at[place]
+        begin = np.repeat(self.at[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(self.owner[begin], minlength=len(self.sets))
+        return np.flatnonzero(100 * both >= self.percent * (n + self.sizes - both)).tolist()
+
+    def find(self, i: int) -> int:
+        while self.label[i] != i:
+            self.label[i] = i = self.label[self.label[i]]
+        return i
+
+    def join(self, found: list[int]) -> None:
+        root = self.find(found[0])
+        for j in found[1:]:
+            self.label[self.find(j)] = root
+
+    def ask(self, query: int, n: int, tokens: np.ndarray) -> None:
+        found = self.linked(n, tokens)
+        if found:
+            self.join(found)
+            self.outside.append((query, self.sets[found[0]]))
+
+    def links(self) -> tuple[list[int], list[int]]:
+        both = self.outside + [(s, self.sets[self.find(i)]) for i, s in enumerate(self.sets) if self.find(i) != i]
+        return [a for a, _ in both], [b for _, b in both]
+
+
+def to_open(pairs: DataFrame, grouped: DataFrame, groups: DataFrame) -> DataFrame:
+    """block, part, kind, set: what is to be held against what, as `opened` wants it, where the links known (groups) leave it open."""
+    at = grouped.join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "block", F.coalesce("comp", "set").alias("comp"))
+    at = stored(at, "near-placed")
+    blocks = stored(at.groupBy("block").agg(F.count("*").alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")), "near-blocks")
+    first, second = (blocks.select(F.col("block").alias(b), *[F.col(c).alias(f"{c}_{b}") for c in ("members", "least", "most")]) for b in ("x", "y"))
+    done = (F.col("least_x") == F.col("most_x")) & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y"))
+    larger = F.col("members_x") > F.col("members_y")
+    left = pairs.join(first, "x").join(second, "y").filter(~done)
+    left = left.select(F.when(larger, F.col("y")).otherwise(F.col("x")).alias("block"), F.when(larger, F.col("x")).otherwise(F.col("y")).alias("to"))
+    asked = left.join(at, "block").select(F.col("to").alias("block"), "set", "comp")
+    asked = stored(asked.join(blocks.filter("least = most").select("block", F.col("least").alias("comp")), ["block", "comp"], "left_anti").select("block", "set"), "near-asked")
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("parts"))
+    queries = asked.join(parts, "block").select("block", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.lit(2).alias("kind"), "set")
+    mixed = blocks.select("block", (F.col("least") != F.col("most")).alias("mixed")).join(parts, "block", "left").filter("mixed or parts is not null")
+    part = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    members = at.join(mixed, "block").select("block", part, "mixed", "set").select("block", "part", F.when(F.col("mixed") & (F.col("part") == 0), 1).otherwise(0).alias("kind"), "set")
+    return stored(members.unionByName(queries), "near-matrix")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: bool = False) -> DataFrame:
@@ -215,54 +423,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: boo
     by_text: also text_hash and component_hash, the smallest text_hash that goes with component_id in the component. Where a doc_id
     repeats with different texts, only both together name one document.
     """
-    all_docs = stored(describe(docs, k, by_text), "near-docs")
+    described = stored(describe(docs, k, by_text), "near-docs")
+    late, counts = late_shingles(described)
     first = F.min(F.struct("doc_id", "text_hash")).alias("first") if by_text else F.min("doc_id").alias("doc_id")
     split = ["first.doc_id", "first.text_hash"] if by_text else ["doc_id"]
-    counted = all_docs.filter("late is not null").select(F.explode(F.arrays_zip("late", "late_n")).alias("x")).groupBy(F.col("x.late").alias("token")).agg(F.sum("x.late_n").alias("c"))
-    late = counted.orderBy(F.desc("c"), "token").limit(LATE).toPandas()  # LATE rows at most
-    late = late.sort_values(["c", "token"])["token"].to_numpy(np.int64).astype(np.uint64)
-    known = all_docs.filter("n > 0 and doc_id is not null")
-    sizes = known.groupBy("set").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")).select("set", *split, "n", "copies")
-    held = stored(holders(given_out(docs.filter("doc_id is not null"), k, percent, late)), "near-holders")
+    sizes = described.filter("n > 0 and doc_id is not null").groupBy("set").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")).select("set", *split, "n", "copies")
+    held = stored(holders(given_out(docs.filter("doc_id is not null"), k, percent, late, counts)), "near-holders")
     size_of = stored(held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n"), "near-sizes")
-    n_a, n_b = size_of.select(F.col("set").alias("a"), F.col("n").alias("n_a")), size_of.select(F.col("set").alias("b"), F.col("n").alias("n_b"))
-    a, b, c = F.col("n_a"), F.col("n_b"), F.col("c")
-    # each set with the first holder of a token and with some just before it, where they share a good part of what it gives out: finds most links; which of them hold is checked exactly
-    ordered = Window.partitionBy("token").orderBy("set")
-    others = F.array_compact(F.array(F.when(F.col("head") != F.col("set"), F.col("head")), *[F.lag("set", i).over(ordered) for i in (1, 2, 3, 5)]))
-    tried = held.withColumn("others", others).select(F.col("set").alias("a"), F.explode(F.array_distinct("others")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")).join(n_a, "a").join(n_b, "b")
-    tried = tried.filter((c * 4 >= a - kept_back(a, percent)) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)).select("a", "b")
-    tried = stored(tried, "near-tried")
-    needed = tried.select(F.col("a").alias("set")).union(tried.select("b")).distinct()
-    links = stored(linked(tried, stored(sets_of(docs, size_of.join(needed, "set").select("doc_id"), k), "near-sets"), percent), "near-links")
-    groups = stored(components(links), "near-groups")
-    grouped = size_of.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    per_group = grouped.groupBy("comp").agg(F.count("*").alias("members"))
-    block = F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / F.lit(BLOCK))))
-    grouped = stored(grouped.join(per_group, "comp").select("set", "doc_id", "n", "comp", block.alias("block"), (F.col("members") == 1).alias("alone")), "near-grouped")
-    # a set and a block of another group: how many given-out shingles they share bounds what their members can share
-    by_token = held.select("token", "set", "pos").join(grouped.drop("doc_id"), "set")
-    mixed = by_token.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    by_token = stored(by_token.join(mixed, "token", "left_semi"), "near-mixed")
-    per_block = by_token.groupBy("token", "block").agg(F.min("comp").alias("comp_b"), F.min("n").alias("n_b"), F.max("n").alias("most_b"), F.max("pos").alias("pos_b"), F.min("alone").alias("alone_b"))
-    met = by_token.select("token", "set", "pos", F.col("n").alias("n_a"), "comp").join(per_block, "token").filter((F.col("comp") != F.col("comp_b")) & (F.col("most_b") * 100 >= a * percent) & (b * percent <= a * 100))
-    met = met.groupBy(F.col("set").alias("a"), "block").agg(F.count("*").alias("c"), F.max("pos").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.max("most_b").alias("most_b"), F.min("alone_b").alias("alone_b"))
-    behind = F.when(F.col("alone_b"), F.least(a - 1 - F.col("pos_a"), b - 1 - F.col("pos_b"))).otherwise(a)
-    rest = F.least(behind, F.greatest(kept_back(a, percent), kept_back(F.col("most_b"), percent)))
-    query = stored(met.filter(c + rest >= least_shared(a, b, percent)).select("a", "block"), "near-queries")
-    members = grouped.join(query.select("block").distinct(), "block", "left_semi")
-    needed = members.select("set", "doc_id").union(grouped.join(query.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select("set", "doc_id")).distinct()
-    sets = stored(sets_of(docs, needed.select("doc_id"), k), "near-sets")
-    union = members.select("set", "block").join(sets.select("set", "tokens"), "set").groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    opened = query.join(sets.withColumnRenamed("set", "a"), "a").join(union, "block").filter(bound).select("a", "block")
-    opened = opened.join(members.select(F.col("set").alias("b"), "block"), "block").select("a", "b").join(n_a, "a").join(n_b, "b").filter(F.least(a, b) * 100 >= F.greatest(a, b) * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(linked(opened, sets, percent), "near-more")
-    final = groups if more.isEmpty() else stored(components(links.unionAll(more)), "near-final")
-    named = sizes.join(final.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    grouped, tries = in_blocks(held, size_of, percent)
+    grouped = stored(grouped, "near-grouped")
+    pairs = stored(block_pairs(held, grouped, percent), "near-pairs")
+    a, b = (size_of.select(F.col("set").alias(s), F.col("n").alias(f"low_{s}"), F.col("n").alias(f"high_{s}")) for s in ("a", "b"))
+    tries = stored(may_link(tries.join(a, "a").join(b, "b"), percent).select("a", "b"), "near-tries")
+    several = grouped.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1").select("block")
+    blocks = several.unionAll(pairs.select("x")).unionAll(pairs.select("y")).distinct()
+    tried = tries.select(F.col("a").alias("set")).unionAll(tries.select("b")).distinct()
+    wanted = grouped.join(blocks, "block", "left_semi").select("doc_id").unionAll(grouped.join(tried, "set", "left_semi").select("doc_id"))
+    sets = stored(sets_of(docs, wanted.distinct(), k), "near-sets")
+    links = stored(linked(tries, sets, percent), "near-links")
+    more = stored(opened(to_open(pairs, grouped, components(links)).join(sets, "set"), percent), "near-more")
+    classes = stored(components(links.unionAll(more)), "near-classes")
+    named = sizes.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.groupBy("comp").agg(first, F.sum("copies").alias("size")).select("comp", *[F.col(c).alias(to) for c, to in zip(split, ("component_id", "component_hash"))], "size")
-    shared = stored(named.join(least.filter("size > 1"), "comp").select("set", *least.columns[1:-1]), "near-classes")
+    shared = stored(named.join(least.filter("size > 1"), "comp").select("set", *least.columns[1:-1]), "near-names")
     more = ["text_hash"] if by_text else []
-    out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"), *more).join(shared, "set", "left")
+    out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"), *more).join(shared, "set", "left")
     hashes = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_hash", "text_hash")).alias("component_hash")] if by_text else []
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *hashes)
