@@ -103,9 +103,11 @@ def check_ranges(df: DataFrame, bounds: dict[str, tuple[float | None, float | No
 
 def autoscale(df: DataFrame, c: str, limit: float = 2.0, factor: float = 1e-4) -> DataFrame:
     """If the 95th percentile of |c| is over the limit all values are scaled; then what is outside [-1, 1] is NULL."""
-    q = df.agg(F.expr(f"percentile(abs({c}), 0.95)").alias("__q"))
-    x = F.when(F.col("__q") > limit, F.col(c) * factor).otherwise(F.col(c))
-    return df.crossJoin(F.broadcast(q)).withColumn(c, x).withColumn(c, F.when(F.col(c).between(-1, 1), F.col(c))).drop("__q")  # one row
+    from panelspark.operators.quantiles import exact_quantiles
+
+    q = exact_quantiles(df.select(F.lit("q").alias("k"), F.abs(c).alias("v")), "k", "v", [0.95]).get("q", [0.0])[0]
+    x = F.col(c) * factor if q > limit else F.col(c)
+    return df.withColumn(c, x).withColumn(c, F.when(F.col(c).between(-1, 1), F.col(c)))
 
 
 def drop_bad_fips(df: DataFrame, c: str, name: str = "bad_ids") -> DataFrame:
@@ -120,9 +122,14 @@ def require_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def survey_rows(df: DataFrame, program: str = "Program") -> DataFrame:
-    """SURVEY rows where a program column exists, else all."""
+    """SURVEY rows where a program column exists, else all; a program column without any SURVEY row is an error."""
     name = next((c for c in df.columns if c.strip().lower() == program.lower()), None)
-    return df.filter(F.upper(F.trim(F.col(name))) == "SURVEY") if name else df
+    if not name:
+        return df
+    rows = df.filter(F.upper(F.trim(F.col(name))) == "SURVEY")
+    if rows.isEmpty():
+        raise ValueError(f"no row of {name} is SURVEY")
+    return rows
 
 
 def yield_filter(df: DataFrame) -> DataFrame:
@@ -145,6 +152,30 @@ def feature_cols(df: DataFrame, leak: tuple[str, ...]) -> list[str]:
     return [c for c, t in df.dtypes if c not in leak and (t in kinds or t.startswith("decimal"))]
 
 
+def eligible_rows(panel: DataFrame, obs: DataFrame, weather: DataFrame, keys: list[str], doy: int, indices: list[str], conditions: list[str], needed: list[str]) -> DataFrame:
+    """Rows of the panel that a model may use at a checkpoint.
+
+    They have all of `needed` (yield, trend, anomaly), some finite index up to the day, and some finite weather value at the day, by the same keys.
+    """
+    some = lambda cols: reduce(Column.__or__, [finite(c).isNotNull() for c in cols])
+    seen = obs.filter((F.col("doy") <= doy) & some(indices)).select(*keys).distinct()
+    felt = weather.filter((F.col("doy") == doy) & some(conditions)).select(*keys).distinct()
+    rows = panel.filter(reduce(Column.__and__, [finite(c).isNotNull() for c in needed]))
+    return rows.join(seen, keys, "left_semi").join(felt, keys, "left_semi")
+
+
+def known_scenarios(df: DataFrame, labels: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """Rows of the scenarios that the table of labels names, with their labels; strict: any other scenario is an error."""
+    if strict and not df.select(*keys).distinct().join(labels, keys, "left_anti").isEmpty():
+        raise ValueError("a scenario isn't among the labels")
+    return df.join(labels, keys)
+
+
+def scenario(df: DataFrame, train: str, test: str, train_col: str = "train_mask", test_col: str = "test_mask") -> DataFrame:
+    """The slice of one pair of training and test mask."""
+    return df.filter((F.col(train_col) == train) & (F.col(test_col) == test))
+
+
 def filter_model_rows(df: DataFrame, target: str, baseline: str) -> DataFrame:
     return df.filter(F.col(target).isNotNull() & F.col(baseline).isNotNull())
 

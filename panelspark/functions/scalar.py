@@ -177,6 +177,14 @@ def better(a: Column | str, b: Column | str, metric: str, name_a: str = "A", nam
     return F.when(x > y, name_a).when(x < y, name_b).when(x == y, "tie")
 
 
+def yield_anomaly(actual: Column | str, baseline: Column | str) -> Column:
+    return as_col(actual) - as_col(baseline)
+
+
+def yield_from_anomaly(anomaly: Column | str, baseline: Column | str) -> Column:
+    return as_col(anomaly) + as_col(baseline)
+
+
 def band(mean: str, sd: str) -> dict[str, Column]:
     s = F.coalesce(F.col(sd), F.lit(0.0))
     return {"low": F.col(mean) - s, "high": F.col(mean) + s}

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
-    """A join that fails where the declared side repeats a key: one_to_one, one_to_many or many_to_one."""
-    sides = [s for s, n in ((left, "one_to"), (right, "to_one")) if (validate.startswith(n) if n == "one_to" else validate.endswith(n))]
-    for side in sides:
-        if not side.groupBy(*on).count().filter("count > 1").isEmpty():
-            raise ValueError(f"join on {on} isn't {validate}")
+    """A join that fails where the declared side repeats a key: one_to_one, one_to_many or many_to_one.
+
+    The check is part of the plan: a count over the join's own keys, which needs no shuffle beyond the join's, and an error where it passes 1.
+    """
+
+    def once(side: DataFrame) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(*on))
+        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+        error = F.raise_error(F.lit(f"join on {on} isn't {validate}")).cast("boolean")
+        return side.withColumn("__n", n).filter(F.when(named & (F.col("__n") > 1), error).otherwise(F.lit(True))).drop("__n")
+
+    left = once(left) if validate.startswith("one_to") else left
+    right = once(right) if validate.endswith("to_one") else right
     return left.join(right, on, how)
 
 
@@ -102,6 +110,12 @@ def contained_periods(outer: DataFrame, inner: DataFrame, days: int = 8) -> Data
     return out.withColumn("complete", F.col("n_found") == F.col("n_expected"))
 
 
+def align_history(test: DataFrame, means: DataFrame, keys: list[str], values: str, prior: str, to: str = "anomaly") -> DataFrame:
+    """Arrays of a season beside the unit's arrays of prior means, and their difference, place by place; NULL where either is."""
+    rows = test.join(means.select(*keys, prior), keys, "left")
+    return rows.withColumn(to, F.when(F.col(prior).isNotNull(), F.zip_with(values, prior, lambda a, b: a - b)))
+
+
 def lag_mask(imagery: DataFrame, masks: DataFrame, on: list[str]) -> DataFrame:
     """Imagery of a year with the map of the year before."""
     return imagery.join(masks.withColumn("year", F.col("mask_year") + 1), [*on, "year"])

@@ -76,6 +76,15 @@ def monthly_area(scores: DataFrame, by: list[str], mask: str = "name") -> DataFr
     return mapped.unionByName(reference)
 
 
+def reconcile_area(monthly: DataFrame, scores: DataFrame, by: list[str], mask: str = "name", tolerance: float = 1e-9) -> DataFrame:
+    """By period: whether the reference is one and the same for every mask, is there once, and no mapped area is negative or missing."""
+    sums = scores.groupBy(*by, mask).agg(F.sum("reference_km2").alias("r"))
+    same = sums.groupBy(*by).agg((F.max("r") - F.min("r") <= tolerance).alias("reference_agrees"), F.max("r").alias("__r"))
+    rows = monthly.groupBy(*by).agg(F.count_if(F.col(mask) == "REFERENCE").alias("n_reference"), F.count_if(F.coalesce(F.col("area_km2") < 0, F.lit(True))).alias("n_bad_area"), F.max(F.when(F.col(mask) == "REFERENCE", F.col("area_km2"))).alias("__m"))
+    out = rows.join(same, by, "left")
+    return out.withColumn("reconciled", (F.col("n_reference") == 1) & (F.col("n_bad_area") == 0) & F.coalesce(F.col("reference_agrees"), F.lit(False)) & (F.abs(F.col("__m") - F.col("__r")) <= tolerance)).drop("__m", "__r")
+
+
 def mosaic(pix: DataFrame, keys: list[str], rank: str, value: str, valid: Column, policy: str = "first") -> DataFrame:
     """One value a cell: of the first (or last) source in order that has one."""
     pick = F.min_by if policy == "first" else F.max_by

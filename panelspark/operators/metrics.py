@@ -70,7 +70,7 @@ def importance_summary(imp: DataFrame, by: list[str], share: str = "share") -> D
 
 
 def importance_mean(imp: DataFrame, fits: list[str], by: list[str], share: str = "share") -> DataFrame:
-    """Mean share over all fits of a group; a feature that a fit doesn't use counts as 0 there. No zero rows are built."""
+    """Mean share over all fits of a group (by feature, or summed by feature group); what a fit doesn't use counts as 0 there. No zero rows are built."""
     group = [k for k in by if k in fits]
     n = imp.select(*dict.fromkeys([*group, *fits])).distinct().groupBy(*group).agg(F.count("*").alias("__n"))
     sums = imp.groupBy(*by).agg(F.sum(share).alias("__s"))
@@ -108,10 +108,29 @@ def map_table(ens: DataFrame, by: list[str]) -> DataFrame:
     return ens.groupBy(*by).agg(F.avg("predicted").alias("predicted"), F.avg("actual").alias("actual"), F.avg(F.col("predicted") - F.col("actual")).alias("difference"))
 
 
+def colour_limits(maps: DataFrame, by: list[str], value: str = "difference") -> DataFrame:
+    """low and high of the shown value, and a limit that is symmetric around 0."""
+    return maps.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.abs(value)).alias("limit"))
+
+
+def class_counts(labels: DataFrame, by: list[str], label: str, sampled: DataFrame | None = None) -> DataFrame:
+    """Rows of each class; with a sample, also how many of them it took."""
+    out = labels.groupBy(*by, label).agg(F.count("*").alias("n"))
+    if sampled is None:
+        return out
+    took = sampled.groupBy(*by, label).agg(F.count("*").alias("n_sampled"))
+    return out.join(took, [*by, label], "left").withColumn("n_sampled", F.coalesce("n_sampled", F.lit(0)))
+
+
 def dashboard_kpis(rec: DataFrame, by: list[str], unit: str) -> DataFrame:
-    e = F.col("predicted") - F.col("actual")
-    q = F.percentile(e, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rec.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(unit).alias("n_units"), F.avg("actual").alias("mean_actual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), q.alias("__q")).select(*by, "n", "n_units", "mean_actual", "mae", "rmse", *[F.col("__q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    """Counts, errors and exact quartiles of the error by report group (few, each of any size)."""
+    from .quantiles import exact_quantiles
+
+    e, key = F.col("predicted") - F.col("actual"), F.to_json(F.struct(*by))
+    found = exact_quantiles(rec.select(key.alias("k"), e.alias("e")), "k", "e", [0.25, 0.5, 0.75])
+    quartiles = rec.sparkSession.createDataFrame([(k, *q) for k, q in found.items()], "__k string, q25 double, q50 double, q75 double")
+    out = rec.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(unit).alias("n_units"), F.avg("actual").alias("mean_actual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return out.withColumn("__k", key).join(F.broadcast(quartiles), "__k", "left").drop("__k")  # a row a report group
 
 
 def tree_curve(m: DataFrame, trees: str, value: str) -> DataFrame:
@@ -165,14 +184,22 @@ def coverage(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def training_audit(train: DataFrame, by: list[str], year: str = "year", least_years: int = 3, least_rows: int = 20) -> DataFrame:
+def training_audit(train: DataFrame, by: list[str], year: str = "year", least_years: int = 3, least_rows: int = 20, features: list[str] | None = None) -> DataFrame:
+    """Rows, years, first and last year, whether they are enough; with `features`: how many of them have any value."""
+    if features:
+        some = [F.max(F.col(c).isNotNull().cast("int")).alias(f"__{i}") for i, c in enumerate(features)]
+        used = train.groupBy(*by).agg(*some).select(*by, sum((F.col(f"__{i}") for i in range(len(features))), F.lit(0)).cast("bigint").alias("n_features"))
+        return training_audit(train, by, year, least_years, least_rows).join(used, by)
     out = train.groupBy(*by).agg(F.count("*").alias("n_train"), F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
     return out.withColumn("enough", (F.col("n_years") >= least_years) & (F.col("n_train") >= least_rows))
 
 
 def train_medians(train: DataFrame, cols: list[str]) -> DataFrame:
     """One row: exact medians; columns without any value are NULL."""
-    return train.agg(*[F.median(c).alias(c) for c in cols])
+    from .quantiles import exact_quantiles
+
+    found = exact_quantiles(train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "k", "v"), "k", "v", [0.5])
+    return train.sparkSession.createDataFrame([tuple(found.get(c, [None])[0] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
 
 
 def cell_coverage(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -34,6 +34,15 @@ def design(df: DataFrame, cols: list[str], to: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=to, handleInvalid="error").transform(df)
 
 
+def feature_matrix(features: DataFrame, env: DataFrame, static: DataFrame, trends: DataFrame, keys: list[str], unit: str, doy: int) -> tuple[DataFrame, list[str]]:
+    """Season features, weather at the checkpoint, static attributes, trend and year of every unit and year; and the columns' names in order."""
+    from .joins import attach_at, checked_join
+
+    rows = attach_at(features, env, keys, doy)
+    rows = checked_join(checked_join(rows, static, [unit]), trends, keys)
+    return rows, [c for c in rows.columns if c not in keys] + [k for k in keys if k != unit]
+
+
 def fit_gbt(train: DataFrame, cols: list[str], label: str, **params):
     return GBTRegressor(featuresCol="features", labelCol=label, **(CANONICAL | params)).fit(design(train, cols))
 
@@ -48,20 +57,24 @@ def importance(spark, model, cols: list[str]) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())], "feature string, share double")
 
 
-def backtest(panel: DataFrame, years: list[int], doys: list[int], cols: list[str], unit: str, actual: str, trend: str, scenario: str | None = None, least: int = 20, **params) -> DataFrame:
+def backtest(panel: DataFrame, years: list[int], doys: list[int], cols: list[str], unit: str, actual: str, trend: str, scenario: str | None = None, least: int = 20, least_years: int = 3, train_scenario: str | None = None, **params) -> DataFrame:
     """For each year and checkpoint: one fit on the years before, predictions for every scenario on the units that all have.
 
-    The driver loops over cells (a few dozen), never over rows; each fit is a distributed job. Cells with too little training data
-    are left out.
+    The driver loops over cells (a few dozen), never over rows; each fit is a distributed job. One grouped audit tells which cells have
+    training data of `least` rows and `least_years` years; the others are left out, and without any cell the result has no rows.
+    With scenarios the fit uses the rows of `train_scenario` (all where that is None).
     """
     out = []
+    known = panel.filter(F.col(actual).isNotNull() & F.col(trend).isNotNull())
+    learn = known.filter(F.col(scenario) == train_scenario) if scenario and train_scenario is not None else known
+    sizes = {(r["year"], r["doy"]): r["count"] for r in learn.groupBy("year", "doy").count().collect()}  # a row a cell
     for year in years:
         for doy in doys:
-            cell = panel.filter(F.col("doy") == doy)
-            train = cell.filter((F.col("year") < year) & F.col(actual).isNotNull() & F.col(trend).isNotNull())
-            test = cell.filter((F.col("year") == year) & F.col(actual).isNotNull() & F.col(trend).isNotNull())
-            if train.limit(least).count() < least:
+            earlier = [n for (y, d), n in sizes.items() if y < year and d == doy]
+            if sum(earlier) < least or len(earlier) < least_years:
                 continue
+            train = learn.filter((F.col("doy") == doy) & (F.col("year") < year))
+            test = known.filter((F.col("doy") == doy) & (F.col("year") == year))
             if scenario:
                 test = restrict(test, common_cohort(test, [unit], scenario), [unit])
             medians = medians_of(train, cols)
@@ -70,6 +83,10 @@ def backtest(panel: DataFrame, years: list[int], doys: list[int], cols: list[str
             model = fit_gbt(train, used, "__y", **params)
             pred = predict_yield(model, impute(test, medians), used, trend)
             out.append(pred.select(unit, "year", "doy", *([scenario] if scenario else []), F.col(actual).alias("actual"), F.col(trend).alias("trend"), "predicted"))
+    if not out:
+        kinds = {f.name: f.dataType for f in panel.schema}
+        keys = [F.lit(None).cast(kinds[c]).alias(c) for c in (unit, "year", "doy", *([scenario] if scenario else []))]
+        return panel.limit(0).select(*keys, *[F.lit(None).cast("double").alias(c) for c in ("actual", "trend", "predicted")])
     return union_all(*out)
 
 

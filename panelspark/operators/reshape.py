@@ -108,6 +108,17 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, keys, "full").agg(F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b"))
 
 
+def sort_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A fixed order for output: by the keys, then by the other columns that can be ordered."""
+    rest = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+    return df.orderBy(*keys, *rest)
+
+
+def largest_first(df: DataFrame, size: str, ties: list[str]) -> DataFrame:
+    """The order in which work is handed out: largest first, equal ones by `ties`."""
+    return df.orderBy(F.desc(size), *ties)
+
+
 def order_by_rank(df: DataFrame, c: str, order: list[str]) -> DataFrame:
     return df.orderBy(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(c)))
 

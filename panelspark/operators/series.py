@@ -69,6 +69,17 @@ def build_features(obs: DataFrame, keys: list[str], variable: str, names: list[s
 
 def fill_cube(pix: DataFrame, cell: list[str], band: str, value: str) -> DataFrame:
     """Missing values from the cell's median over time in that band, else the band's median, else 0."""
+    from .quantiles import exact_quantiles
+
     own = F.median(value).over(Window.partitionBy(*cell, band))
-    overall = pix.groupBy(band).agg(F.median(value).alias("__m"))
-    return pix.withColumn("__own", own).join(F.broadcast(overall), band).withColumn(value, F.coalesce(value, "__own", "__m", F.lit(0.0))).drop("__own", "__m")  # a row a band
+    found = {k: v[0] for k, v in exact_quantiles(pix, band, value, [0.5]).items()}
+    overall = F.try_element_at(F.create_map(*[F.lit(x) for kv in found.items() for x in kv]), F.col(band).cast("string")) if found else F.lit(None).cast("double")  # an entry a band
+    return pix.withColumn("__own", own).withColumn(value, F.coalesce(value, "__own", overall, F.lit(0.0))).drop("__own")
+
+
+def anomaly_features(df: DataFrame, keys: list[str], value: str, days: list[int], doy: str = "doy", to: str = "anom") -> DataFrame:
+    """mean, max, min, last and last_slope of the anomaly series, gaps filled by lines; `days` are the grid days up to the cut."""
+    full = interpolate(df.filter(F.col(doy) <= days[-1]), keys, value, doy, to="__a")
+    last, prior = (F.max(F.when(F.col(doy) == d, F.col("__a"))) for d in (days[-1], days[-2] if len(days) > 1 else days[-1]))
+    slope = (last - prior) / (days[-1] - days[-2]) if len(days) > 1 else F.lit(None).cast("double")
+    return full.groupBy(*keys).agg(F.avg("__a").alias(f"{to}_mean"), F.max("__a").alias(f"{to}_max"), F.min("__a").alias(f"{to}_min"), last.alias(f"{to}_last"), slope.alias(f"{to}_last_slope"))

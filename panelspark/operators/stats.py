@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,26 +50,54 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([None if z_ is None or math.isnan(z_) else math.erfc(abs(z_) / math.sqrt(2)) for z_ in z], dtype="float64")
 
 
+def signed_rank_two_sided(w: float, n: int) -> float:
+    """The exact two-sided p of the smaller rank sum w of n differences without ties: of the 2^n sign patterns those at least as far out."""
+    ways = np.ones(1)
+    for rank in range(1, n + 1):
+        ways = np.convolve(ways, np.eye(1, rank + 1)[0] + np.eye(1, rank + 1, rank)[0]) / 2
+    return min(1.0, 2 * float(ways[: math.floor(w) + 1].sum()))
+
+
+def signed_rank_pvalue(w: Column | str, n: Column | str, z: Column | str, tied: Column | str, exact_upto: int = 50) -> Column:
+    """Two-sided p of a signed-rank test: exact for few differences without ties, else from the normal z."""
+
+    @F.pandas_udf(DoubleType())
+    def p(w: pd.Series, n: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
+        out = []
+        for w_, n_, z_, t_ in zip(w, n, z, tied):
+            if w_ is None or math.isnan(w_) or not n_:
+                out.append(None)
+            elif n_ <= exact_upto and not t_:
+                out.append(signed_rank_two_sided(w_, int(n_)))
+            else:
+                out.append(None if z_ is None or math.isnan(z_) else math.erfc(abs(z_) / math.sqrt(2)))
+        return pd.Series(out, dtype="float64")
+
+    return p(w, n, z, tied)
+
+
 def paired_t(pairs: DataFrame, by: list[str], a: str, b: str, least: int = 3) -> DataFrame:
-    """mean_a, mean_b, mean_diff, sd_diff, n, t: if all differences are 0, t is 0; if they are equal but not 0, NULL."""
+    """mean_a, mean_b, mean_diff, sd_diff, n, t, p: if all differences are 0, t is 0 and p 1; if they are equal but not 0, NULL."""
     d = F.col(a) - F.col(b)
     out = pairs.filter(d.isNotNull()).groupBy(*by).agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"), F.count("*").alias("n"), F.max(F.abs(d)).alias("__m"))
     t = F.when(F.col("__m") == 0, F.lit(0.0)).when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") / F.sqrt("n")))
-    return out.withColumn("t", F.when(F.col("n") >= least, t)).drop("__m")
+    out = out.withColumn("t", F.when(F.col("n") >= least, t)).drop("__m")
+    return out.withColumn("p", t_pvalue(F.col("t"), F.col("n").cast("double") - 1))
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Signed ranks of the differences that aren't 0: w_plus, w_minus, w, n, z (normal, with tie correction)."""
+    """Signed ranks of the differences that aren't 0: w_plus, w_minus, w, n, z (normal, with tie correction), p (exact for few rows without ties)."""
     d = pairs.withColumn("__d", F.col(a) - F.col(b)).filter("__d <> 0")
     d = avg_rank(d, by, F.abs("__d"), "__r").withColumn("__t", F.count("*").over(Window.partitionBy(*by, F.abs("__d"))))
     out = d.groupBy(*by).agg(F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48
-    return out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(var))).drop("__ties")
+    out = out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(var)))
+    return out.withColumn("p", signed_rank_pvalue("w", "n", "z", F.col("__ties") > 0)).drop("__ties")
 
 
 def dm_test(pairs: DataFrame, by: list[str], actual: str, a: str, b: str, loss: str = "squared", ddof: int = 0, least: int = 8, order: str | None = None, h: int = 1) -> DataFrame:
-    """Diebold-Mariano with the small-sample factor: mean_loss_diff, var, n, dm. For h > 1 autocovariances over `order` are added."""
+    """Diebold-Mariano with the small-sample factor: mean_loss_diff, var, n, dm, p (t with n - 1 degrees), verdict. For h > 1 autocovariances over `order` are added."""
     ea, eb = F.col(actual) - F.col(a), F.col(actual) - F.col(b)
     d = ea * ea - eb * eb if loss == "squared" else F.abs(ea) - F.abs(eb)
     rows = pairs.withColumn("__d", d).filter("__d is not null")
@@ -86,11 +115,14 @@ def dm_test(pairs: DataFrame, by: list[str], actual: str, a: str, b: str, loss:
         var = var + 2 * (1 - k / h) * F.col(f"__g{k}") / n
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     dm = F.when((n >= least) & (var > 1e-300), F.try_divide(F.col("mean_loss_diff"), F.sqrt(var / n)) * factor)
-    return out.withColumn("dm", dm).drop(*[f"__g{k}" for k in range(1, h)])
+    out = out.withColumn("dm", dm).drop(*[f"__g{k}" for k in range(1, h)]).withColumn("p", t_pvalue(F.col("dm"), n - 1))
+    few, same = F.col("n") < least, F.col("var") < 1e-12
+    text = F.when(few, "too few rows").when(same, "identical").when(F.col("p") >= 0.05, "no difference").when(F.col("dm") < 0, "A better").when(F.col("dm") > 0, "B better")
+    return out.withColumn("verdict", text)
 
 
 def j_test(pairs: DataFrame, by: list[str], actual: str, a: str, b: str, least: int = 5) -> DataFrame:
-    """The regression actual ~ 1 + a + b in closed form: both coefficients and their t values; one fit serves both directions."""
+    """The regression actual ~ 1 + a + b in closed form: both coefficients, their t values and p; one fit serves both directions."""
     y, x, z = F.col(actual), F.col(a), F.col(b)
     ok = y.isNotNull() & x.isNotNull() & z.isNotNull()
     m = pairs.filter(ok).groupBy(*by).agg(F.count("*").alias("n"), F.var_pop(x).alias("__xx"), F.var_pop(z).alias("__zz"), F.var_pop(y).alias("__yy"), F.covar_pop(x, z).alias("__xz"), F.covar_pop(x, y).alias("__xy"), F.covar_pop(z, y).alias("__zy"))
@@ -100,26 +132,33 @@ def j_test(pairs: DataFrame, by: list[str], actual: str, a: str, b: str, least:
     s2 = (yy - ba * xy - bb * zy) * n / (n - 3)
     ta, tb = ba / F.sqrt(s2 * zz / (det * n)), bb / F.sqrt(s2 * xx / (det * n))
     good = (n >= least) & (det > 1e-12 * xx * zz)
-    return m.select(*by, "n", F.when(good, ba).alias("coef_a"), F.when(good, bb).alias("coef_b"), F.when(good & (s2 > 0), ta).alias("t_a"), F.when(good & (s2 > 0), tb).alias("t_b"))
+    out = m.select(*by, "n", F.when(good, ba).alias("coef_a"), F.when(good, bb).alias("coef_b"), F.when(good & (s2 > 0), ta).alias("t_a"), F.when(good & (s2 > 0), tb).alias("t_b"))
+    return out.withColumns({f"p_{k}": t_pvalue(F.col(f"t_{k}"), F.col("n").cast("double") - 3) for k in "ab"})
 
 
-def cluster_bootstrap(pairs: DataFrame, by: list[str], cluster: str, actual: str, a: str, b: str, n_boot: int, seed: int) -> DataFrame:
-    """Point, 2.5 % and 97.5 % of the RMSE gap a - b when whole clusters are drawn with replacement.
+def cluster_bootstrap(pairs: DataFrame, by: list[str], cluster: str, actual: str, a: str, b: str, n_boot: int = 2000, seed: int = 42, trend: str = "trend") -> DataFrame:
+    """statistic, point, low and high (2.5 % and 97.5 %) when whole clusters are drawn with replacement, n_clusters.
 
-    Rows become sums by cluster once; draws then work on the sums. Draws are the same in any engine (see portable_draw).
+    Statistics: rmse_gap and mae_gap (a - b), skill_a and skill_b (against the trend). Rows become sums by cluster once; draws then
+    work on the sums. Draws are the same in any engine (see portable_draw). Bounds of fewer than two clusters are NULL.
     """
-    ea, eb = F.col(actual) - F.col(a), F.col(actual) - F.col(b)
-    sums = pairs.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(ea * ea).alias("sa"), F.sum(eb * eb).alias("sb"))
+    y = F.col(actual)
+    ea, eb, et = y - F.col(a), y - F.col(b), y - F.col(trend)
+    parts = {"__n": F.count("*"), "__sa": F.sum(ea * ea), "__sb": F.sum(eb * eb), "__aa": F.sum(F.abs(ea)), "__ab": F.sum(F.abs(eb)), "__st": F.sum(et * et)}
+    sums = pairs.groupBy(*by, cluster).agg(*[v.alias(k) for k, v in parts.items()])
     sums = sums.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1)
-    gap = (F.sqrt(F.sum("sa") / F.sum("n")) - F.sqrt(F.sum("sb") / F.sum("n"))).alias("gap")
-    cells = sums.groupBy(*by).agg(gap, F.count("*").alias("k"))
-    slots = cells.select(*by, "k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    drawn = portable_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), F.col("slot").cast("string")) % F.col("k")
-    draws = slots.withColumn("__i", drawn).join(sums, [*by, "__i"]).groupBy(*by, "draw").agg(gap)
-    q = F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975)))
-    out = cells.join(draws.groupBy(*by).agg(q.alias("q")), by)
-    few = F.col("k") < 2
-    return out.select(*by, F.col("gap").alias("point"), F.when(~few, F.col("q")[0]).alias("low"), F.when(~few, F.col("q")[1]).alias("high"), F.col("k").alias("n_clusters"))
+    n, sa, sb, aa, ab, st = (F.sum(k) for k in parts)
+    values = {"rmse_gap": F.sqrt(sa / n) - F.sqrt(sb / n), "mae_gap": aa / n - ab / n, "skill_a": 1 - F.try_divide(sa, st), "skill_b": 1 - F.try_divide(sb, st)}
+    stats = [v.alias(k) for k, v in values.items()]
+    cells = sums.groupBy(*by).agg(*stats, F.count("*").alias("n_clusters"))
+    slots = cells.select(*by, "n_clusters", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n_clusters").cast("int"))))
+    drawn = portable_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), F.col("slot").cast("string")) % F.col("n_clusters")
+    draws = slots.withColumn("__i", drawn).join(sums, [*by, "__i"]).groupBy(*by, "draw").agg(*stats)
+    bounds = draws.groupBy(*by).agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(f"__q_{k}") for k in values])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(k).alias("point"), F.col(f"__q_{k}").alias("q")) for k in values])).alias("x")
+    few = F.col("n_clusters") < 2
+    out = cells.join(bounds, by).select(*by, "n_clusters", rows)
+    return out.select(*by, "x.statistic", "x.point", F.when(~few, F.col("x.q")[0]).alias("low"), F.when(~few, F.col("x.q")[1]).alias("high"), "n_clusters")
 
 
 def skill_bias(pairs: DataFrame, by: list[str], actual: str, trend: str, *preds: str) -> DataFrame:
@@ -135,6 +174,14 @@ def verdict(low: Column, high: Column, p: Column, alpha: float = 0.05) -> Column
     return F.when((low > 0) & (p < alpha), "B better").when((high < 0) & (p < alpha), "A better").when((low > 0) | (high < 0) | (p < alpha), "mixed").otherwise("no difference")
 
 
+def verdicts(cells: DataFrame, by: list[str], low: str = "low", high: str = "high", p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """Over cells: how many there are, how many intervals exclude 0 on either side, how many p are small, and each verdict's count."""
+    what = verdict(F.col(low), F.col(high), F.col(p), alpha)
+    names = {"a_better": "A better", "b_better": "B better", "mixed": "mixed", "no_difference": "no difference"}
+    counts = [F.count_if(what == v).alias(k) for k, v in names.items()]
+    return cells.groupBy(*by).agg(F.count("*").alias("n_cells"), F.count_if((F.col(low) > 0) | (F.col(high) < 0)).alias("n_excludes_zero"), F.count_if(F.col(p) < alpha).alias("n_significant"), *counts)
+
+
 def paired_overall(pairs: DataFrame, cell: list[str], run: str, a: str, b: str) -> DataFrame:
     """Per run means over the cells that are there in all runs, ready for paired_t or wilcoxon."""
     good = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

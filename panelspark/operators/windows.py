@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by(keys: list[str], order: str):
-    return Window.partitionBy(*keys).orderBy(order)
+def by(keys: list[str], *order: Column | str):
+    return Window.partitionBy(*keys).orderBy(*order)
 
 
 def prior_mean(df: DataFrame, keys: list[str], order: str, value: str, to: str, least: int = 3) -> DataFrame:

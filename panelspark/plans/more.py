@@ -283,7 +283,7 @@ def training_gate(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, d AS (SELECT year, abs(actual - pa) - abs(actual - pb) AS d FROM pairs) SELECT year, round(avg(d), 4) AS mean_loss_diff, round(var_samp(d), 2) AS var, count(*) AS n, round(avg(d) / sqrt(var_samp(d) / count(*)) * sqrt((count(*) - 1.0) / count(*)), 4) AS dm FROM d GROUP BY year", digits=4)
 def dm_absolute(spark, sf_dir):
-    return stats.dm_test(pairs(spark, sf_dir), ["year"], "actual", "pa", "pb", loss="absolute", ddof=1, least=5).withColumn("var", F.round("var", 2))
+    return stats.dm_test(pairs(spark, sf_dir), ["year"], "actual", "pa", "pb", loss="absolute", ddof=1, least=5).withColumn("var", F.round("var", 2)).drop("p", "verdict")
 
 
 @query(f"WITH {CELLS}, p AS (SELECT a.year, b.seed, a.rmse AS x, b.rmse AS y FROM cells a JOIN cells b USING (year) WHERE a.seed = 1 AND b.seed > 1) SELECT seed, round(avg(x), 5) AS x, round(avg(y), 5) AS y FROM p GROUP BY seed", digits=5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.cleaning import num
+from panelspark.functions.cleaning import clean_fips, fips_from_parts, num, num_us, survey_rows, yield_filter
 from panelspark.operators.reshape import union_all
 
 
@@ -16,10 +16,15 @@ def read_text_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_obs(spark: SparkSession, paths: list[str], keys: list[str], values: list[str]) -> DataFrame:
-    """Files that have the keys, their needed columns, values as numbers; columns that a file lacks are NULL."""
+    """Files that have the keys, their needed columns, values as numbers; columns that a file lacks are NULL.
+
+    One Spark job reads all headers; files with equal headers are read together.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    heads = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "i").alias("head"))  # the first line of each file
     frames = []
-    for p in paths:
-        df = read_text_csv(spark, [p])
+    for row in heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect():  # a row a header
+        df = read_text_csv(spark, row["paths"])
         if set(keys) <= set(df.columns):
             frames.append(df.select(*keys, *[num(c).alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in values]))
     if not frames:
@@ -27,8 +32,36 @@ def read_obs(spark: SparkSession, paths: list[str], keys: list[str], values: lis
     return union_all(*frames)
 
 
+def read_static(spark: SparkSession, path: str, key: str, values: list[str]) -> DataFrame:
+    """A static attribute table: the cleaned key and exactly the declared columns as numbers; other columns or a repeated key are errors."""
+    df = read_text_csv(spark, [path])
+    found = [c for c in df.columns if c != key]
+    if sorted(found) != sorted(values):
+        raise ValueError(f"{path} must have exactly these columns besides {key}: {values}")
+    rows = df.select(clean_fips(key).alias(key), *[num(c).alias(c) for c in values])
+    repeated = rows.groupBy(key).count().filter("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"{path} repeats a {key}")
+    return rows
+
+
+def read_yield(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """fips, year, yield from survey tables: county grain yields of whole years, SURVEY rows, duplicates averaged."""
+    rows = yield_filter(survey_rows(read_text_csv(spark, paths)))
+    rows = rows.select(fips_from_parts("`State ANSI`", "`County ANSI`").alias("fips"), F.col("Year").try_cast("int").alias("year"), num_us("Value").alias("yield"))
+    return rows.filter("fips is not null and year is not null and yield is not null").groupBy("fips", "year").agg(F.avg("yield").alias("yield"))
+
+
+def read_counts(spark: SparkSession, path: str, ids: list[str], counts: list[str]) -> DataFrame:
+    """Count tables: ids stay text, counts are whole numbers; what isn't one is NULL."""
+    df = read_text_csv(spark, [path])
+    whole = lambda c: F.when(num(c) % 1 == 0, num(c).cast("bigint"))
+    return df.select(*ids, *[whole(c).alias(c) for c in counts])
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*", exclude: str | None = None) -> DataFrame:
-    """path, name, modificationTime, length of files below a root; contents aren't read."""
+    """path, name, modificationTime, length of files below a root, letters of the pattern in any case; contents aren't read."""
+    pattern = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "modificationTime", "length")
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
     return files.filter(~F.col("path").contains(exclude)) if exclude else files

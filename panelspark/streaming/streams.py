@@ -10,7 +10,8 @@ def stream_trailing(df: DataFrame, unit: str, ts: str, length: str, lateness: st
     """Aggregates of each unit's readings by window; readings later than the lateness are left out. Works on tables too."""
     timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
-    return timed.groupBy(unit, w).agg(*aggs).select(unit, F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in timed.groupBy(unit, w).agg(*aggs).columns if c not in (unit, "window")])
+    out = timed.groupBy(unit, w).agg(*aggs)
+    return out.select(unit, F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in out.columns if c not in (unit, "window")])
 
 
 def stream_dedupe(df: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
@@ -20,6 +21,11 @@ def stream_dedupe(df: DataFrame, keys: list[str], ts: str, lateness: str) -> Dat
 
 
 def stream_complete_periods(df: DataFrame, unit: str, ts: str, length: str, lag: str, expected: int) -> DataFrame:
-    """Windows that have all their readings; the watermark is the release lag, so nothing comes out before it has passed."""
-    out = stream_trailing(df, unit, ts, length, lag, [F.approx_count_distinct(F.to_date(ts), 0.01).alias("n_days")])
+    """Windows that have all their days; the watermark is the release lag, so nothing comes out before it has passed.
+
+    Days are counted exactly: as the bits of their numbers within a window (`length` of 60 days at most).
+    """
+    day = F.pmod(F.unix_date(F.to_date(ts)), F.lit(60)).cast("int")
+    days = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), day))).cast("bigint")
+    out = stream_trailing(df, unit, ts, length, lag, [days.alias("n_days")])
     return out.filter(F.col("n_days") >= expected)

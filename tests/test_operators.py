@@ -82,6 +82,103 @@ def test_paired_tests(spark):
     assert p[0].p == pytest.approx(0.0733880, abs=1e-6) and p[1].p == pytest.approx(1)
 
 
+def test_signed_rank(spark):
+    assert stats.signed_rank_two_sided(0, 5) == pytest.approx(0.0625) and stats.signed_rank_two_sided(8, 10) == pytest.approx(0.048828125)
+    rows = spark.createDataFrame([(1, float(i), 0.0) for i in (1, 2, 3, 4, 5)] + [(2, float(i % 3 - 1) * (1 + i % 2), 0.0) for i in range(60)], "g int, a double, b double")
+    got = {r.g: r for r in stats.wilcoxon(rows, ["g"], "a", "b").collect()}
+    assert got[1].p == pytest.approx(0.0625) and got[2].p == pytest.approx(1.0, abs=0.4)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from panelspark.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    data = {"normal": rng.normal(size=3000), "one": np.array([7.0]), "ties": np.repeat([1.0, 2.0, 9.0], [5, 1, 6]), "wide": np.concatenate([rng.random(500), [1e300, -1e300]])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("normal", None), ("none", None)], "k string, v double")
+    got = exact_quantiles(rows, "k", "v", [0.0, 0.25, 0.5, 0.95, 1.0])
+    assert set(got) == set(data)
+    for k, x in data.items():
+        assert got[k] == pytest.approx(np.quantile(x, [0.0, 0.25, 0.5, 0.95, 1.0]).tolist())
+
+
+def backtest(panel, **more):
+    from panelspark.operators import models
+
+    return models.backtest(panel, list(range(1995, 2003)), [113, 193], ["prior", "trend"], "unit", "y", "trend", scenario="scenario", train_scenario="own", maxIter=3, maxDepth=2, **({"least": 5, "least_years": 1} | more))
+
+
+def test_backtest(spark):
+    """Predictions of a year don't change with what comes after it; all scenarios have the same units; a second run gives the same rows."""
+    from panelspark.plans import registry
+
+    panel = registry.backtest_panel(spark, "/root/testdata/sf0.001").cache()
+    got = backtest(panel).toPandas()
+    assert got.year.nunique() > 1 and set(got.doy) == {113, 193}
+    cells = got.groupby(["year", "doy", "scenario"]).unit.apply(frozenset).reset_index().groupby(["year", "doy"]).unit
+    assert (cells.nunique() == 1).all()
+    first = got.year.min()
+    later = panel.withColumn("y", F.when(F.col("year") > int(first), F.col("y") * 100).otherwise(F.col("y")))
+    key = ["year", "doy", "scenario", "unit"]
+    at = lambda df: df[df.year == first].sort_values(key).predicted.round(9).tolist()
+    assert at(backtest(later).toPandas()) == at(got)
+    assert backtest(panel, least=10**9).count() == 0
+
+
+def test_sweep_keeps_what_is_there(spark, tmp_path):
+    from panelspark.operators import models
+
+    done = []
+    job = lambda run: done.append(run) or spark.range(run)
+    path = str(tmp_path / "sweep")
+    models.sweep(job, [1, 2], path, spark)
+    assert models.sweep(job, [1, 2, 3], path, spark).groupBy("run").count().count() == 3 and done == [1, 2, 3]
+
+
+def test_static_and_survey_files_fail_loudly(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("GEOID,AWC\n01001,0.5\n1001,0.7\n")
+    with pytest.raises(ValueError, match="repeats"):
+        tables.read_static(spark, str(tmp_path / "s.csv"), "GEOID", ["AWC"])
+    with pytest.raises(ValueError, match="exactly"):
+        tables.read_static(spark, str(tmp_path / "s.csv"), "GEOID", ["AWC", "CEC"])
+    from panelspark.functions import cleaning
+
+    with pytest.raises(ValueError, match="SURVEY"):
+        cleaning.survey_rows(spark.createDataFrame([("census",)], "program string"))
+
+
+def streamed(spark, folder, df, job, name, mode):
+    df.repartition(3).write.parquet(str(folder))
+    q = job(spark.readStream.schema(df.schema).parquet(str(folder))).writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_stream_dedupe(spark, tmp_path):
+    from panelspark.streaming import streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    job = lambda df: streams.stream_dedupe(df, ["user_id", "event_type", "ts"], "ts", "400 days")
+    got = streamed(spark, tmp_path / "in", events.unionAll(events), job, "deduped", "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.distinct().collect()))
+
+
+def test_stream_complete_periods(spark, tmp_path):
+    """Only windows with all their days come out, and only when the release lag has passed."""
+    from panelspark.streaming import streams
+
+    days = [("a", f"2020-01-0{d} 12:00:00") for d in range(1, 6)] + [("a", "2020-01-02 13:00:00"), ("b", "2020-01-01 01:00:00"), ("b", "2020-01-02 01:00:00"), ("b", "2020-03-01 01:00:00")]
+    df = spark.createDataFrame(days, "unit string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    job = lambda x: streams.stream_complete_periods(x, "unit", "ts", "5 days", "3 days", 5)
+    want = [(r.unit, r.n_days) for r in job(df).collect()]
+    df = df.withColumn("ts", F.col("ts") - F.expr("interval 1 day"))  # epoch days are cut in fives from 1970-01-01
+    whole = [(r.unit, r.n_days) for r in job(df).collect()]
+    got = [(r.unit, r.n_days) for r in streamed(spark, tmp_path / "in", df, job, "complete", "append").collect()]
+    assert all(n == 5 for _, n in want + whole) and set(got) <= set(whole)
+
+
 def test_metrics_edges(spark):
     rows = spark.createDataFrame([(1, 5.0, 4.0, 5.0), (2, 3.0, 3.0, 3.0), (2, 3.0, 2.0, 3.0)], "g int, actual double, predicted double, trend double")
     assert {r.g: r.r2 for r in metrics.forecast_metrics(rows, ["g"]).collect()} == {1: None, 2: None}
@@ -89,8 +186,9 @@ def test_metrics_edges(spark):
 
 def test_joins(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, a string")
-    with pytest.raises(ValueError):
-        joins.checked_join(a, a.withColumnRenamed("a", "b"), ["k"], validate="many_to_one")
+    with pytest.raises(Exception, match="isn't many_to_one"):
+        joins.checked_join(a, a.withColumnRenamed("a", "b"), ["k"], validate="many_to_one").collect()
+    assert joins.checked_join(a, a.limit(1).select("k"), ["k"]).count() == 2
     left = spark.createDataFrame([(1, "2020-03-10"), (1, "2020-01-01"), (2, "2020-05-01")], "k int, d string").withColumn("d", F.col("d").cast("date"))
     right = spark.createDataFrame([(1, "2020-03-01", "a"), (1, "2020-03-10", "b"), (2, "2020-01-01", "c")], "k int, w string, v string").withColumn("w", F.col("w").cast("date"))
     got = {(r.k, str(r.d)): r.v for r in joins.asof(left, right, "d", "w", ["k"], ["v"], within=64).collect()}

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from panelspark.plans import more, registry  # noqa: F401  (more adds to the registry)
+from panelspark.plans import further, more, registry  # noqa: F401  (both add to the registry)
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,9 +41,14 @@ def test_against_sql(spark, con, name):
     assert len(differing) <= len(got) // 500, differing[:3]  # digits at the edge of rounding
 
 
-def test_backtest_predicts(spark):
-    rows = registry.QUERIES["gbt_backtest"](spark, SF).toPandas()
-    assert len(rows) and rows.predicted.notna().all()
+def test_models_give_whole_results(spark):
+    share = registry.QUERIES["gbt_importance"](spark, SF).toPandas()
+    assert len(share) == 3 and share.share.sum() == pytest.approx(1)
+    pixels = registry.QUERIES["classified_pixels"](spark, SF).toPandas()
+    assert len(pixels) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and pixels.confidence.between(0, 1).all() and 0 < pixels.is_class.mean() < 1
+    assert set(registry.QUERIES["swept_runs"](spark, SF).toPandas().seed) == {1, 2, 3}
+    p = registry.QUERIES["test_pvalues"](spark, SF).toPandas()
+    assert all(p[c].dropna().between(0, 1).all() for c in ("p_t", "p_dm", "p_ja", "p_jb", "p_w"))
 
 
 def test_entry(spark):
