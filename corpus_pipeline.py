@@ -11,27 +11,40 @@ from panelspark.llm.queries import QUALITY_THRESHOLD, TOXIC_THRESHOLD, table, to
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the classifier rejects."""
+    """Documents that neither the base rules nor the classifier rejects, with their own columns.
+
+    Null and empty texts are rejected (no words); a probability of exactly the threshold is kept; rows that repeat are judged alike. The
+    classifier learns from the labelled rows of the whole table `documents`. Without labels the base rules decide alone.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, QUALITY_THRESHOLD, keep_columns=True).filter("kept").select(docs.columns)
+    return quality.keep(docs, model, QUALITY_THRESHOLD)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't count as toxic."""
+    """Documents that don't count as toxic, with their own columns.
+
+    Null and empty texts stay; a score of exactly the threshold is toxic; rows that repeat are judged alike. Without labels all stay.
+    """
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep_columns=True).filter(F.col("score") < TOXIC_THRESHOLD).select(docs.columns)
+    return toxicity.keep(docs, model, TOXIC_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id, and of its texts, if there are several, one; rows that repeat both doc_id and text (or have no doc_id and the same text) count as one document."""
+    """Of each group of near-duplicates the document with the smallest doc_id, and of its texts, if there are several, one.
+
+    Rows that repeat both doc_id and text (or have no doc_id and the same text) count as one document: the one whose other columns come first
+    as JSON stays. Null and empty texts are linked with nothing. Columns keep their names and values.
+    """
     found = jaccard.near_duplicates(docs, k=5, percent=75, by_text=True)
-    dropped = found.filter((F.col("component_id") != F.col("doc_id")) | (F.col("component_hash") != F.col("text_hash"))).select("doc_id", F.col("text_hash").alias("__text")).distinct()
-    kept = docs.withColumn("__text", jaccard.text_hash()).join(dropped.hint("merge"), ["doc_id", "__text"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    dropped = found.filter((F.col("component_id") != F.col("doc_id")) | (F.col("component_hash") != F.col("text_hash"))).select("doc_id", "text_hash").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", jaccard.text_hash().alias("text_hash"), F.struct("*").alias("row"), F.to_json(F.struct(F.lit(0).alias("_"), *others)).alias("order"))
+    kept = rows.join(dropped.hint("merge"), ["doc_id", "text_hash"], "left_anti")
+    return kept.groupBy("doc_id", "text_hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 2048 tokens."""
+    """Where each piece of each document goes in sequences of 2048 tokens. Null and empty texts are their end id alone; rows that repeat are packed each."""
     pieces, _ = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end=1, window=2048)
     return pieces.drop("part", "row")
 

@@ -23,9 +23,11 @@ KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local folder where that is unset, as in tests."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local folder where that is unset and the master is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -58,6 +60,12 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, column: s
             at = upto
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a task, where these are a bounded sample; None if there are none."""
+    some = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(some) if some else None
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as bytes and offsets; the bytes are followed by 32 zeros, so windows may reach over the end."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")

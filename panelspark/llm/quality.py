@@ -1,12 +1,13 @@
 """Quality rules: counts of words, symbols, repeated lines and repeated passages, and a calibrated classifier.
 
-The classifier is a logistic regression on hashed word, 3-byte and 4-byte n-grams of the whole text. It is trained on labelled rows (a
-sample bounded by `max_rows`, the classes in equal parts), its probability is calibrated on a fold kept apart, with weights that restore the
-classes' shares, and documents are scored in Arrow batches against fixed thresholds.
+The classifier is a logistic regression on hashed n-grams of the whole text: one and two words, three and four characters. It is trained
+on labelled rows (a sample bounded by `max_rows`, the classes in equal parts) in one task, its probability is calibrated on a fold kept
+apart, with weights that restore the classes' shares, and documents are scored in Arrow batches against fixed thresholds.
 
 Null or empty texts have no words and fail the base rule. Documents without a label are scored like others; labels without a document,
 with a null or repeated label are left out of training or count once each. Without labels of both classes every document that passes the
-base rule is kept. Rows that repeat are scored each. Further columns are ignored.
+base rule is kept. A probability of exactly the threshold keeps a document. Rows that repeat are scored each. Very long texts are counted
+and scored as a whole. An empty table gives no rows. Further columns are ignored by `score`, and returned as they are by `keep`.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP, M1, M2, M3, SPACE, U, WORD, chunks, flat, hash_ranges, mix, texts_of, windows8, word_ranges
+from .common import M1, M2, M3, U, WORD, chunks, flat, gathered, hash_ranges, mix, texts_of, word_ranges
 
-#: Hash buckets of each of the three families of n-grams.
-BUCKETS = 1 << 12
+#: Hash buckets of each of the four families of n-grams.
+BUCKETS, FAMILIES = 1 << 12, 4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -86,18 +87,34 @@ def measures(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out | {"hashes": h, "first": first}
 
 
-def families(buf: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket, row bounds of each family: words, then 3-byte and 4-byte n-grams; n-grams that reach over a text's end are left out by row."""
-    size = int(offsets[-1])
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all rows, and each row's first one (one more at the end)."""
+    raw = buf[: int(offsets[-1])]
+    lead = (raw & 0xC0) != 0x80
+    if lead.all():
+        return raw.astype(np.uint64), offsets
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(lead, out=before[1:])
+    return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64), before[offsets]
+
+
+def families(buf: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets of one family after another, its row bounds, and the places of n-grams that would reach over a text's end."""
     shift = U(64 - BUCKETS.bit_length() + 1)
-    out = [((hashes * M1 >> shift).astype(np.int64), first, None)]
-    win = windows8(buf)[:size]
-    for n in (3, 4):
-        grams = (win & KEEP[n]) * M1
-        bucket = ((grams ^ (grams >> U(29))) * M2 >> shift).astype(np.int64)
-        bad = np.unique(np.concatenate([offsets[1:] - k for k in range(1, n)]))
-        out.append((bucket, offsets, bad[bad >= 0]))
-    return out
+
+    def over(bounds: np.ndarray, n: int) -> np.ndarray:
+        bad = np.unique(np.concatenate([bounds[1:] - k for k in range(1, n)]))
+        return bad[bad >= 0]
+
+    yield (hashes * M1 >> shift).astype(np.int64), first, np.zeros(0, np.int64)
+    after = np.append(hashes[1:], U(0))[: len(hashes)]
+    yield (mix(hashes * M3 ^ after) * M1 >> shift).astype(np.int64), first, over(first, 2)
+    chars, bounds = characters(buf, offsets)
+    padded = np.append(chars, np.zeros(3, np.uint64))
+    n = len(chars)
+    three = chars | padded[1 : n + 1] << U(21) | padded[2 : n + 2] << U(42)  # 21 bits hold a code point
+    for size, grams in ((3, three * M1), (4, (three * M3 ^ padded[3 : n + 3]) * M1)):
+        yield ((grams ^ (grams >> U(29))) * M2 >> shift).astype(np.int64), bounds, over(bounds, size)
 
 
 @dataclass
@@ -114,8 +131,7 @@ class Model:
         for f, (bucket, bounds, bad) in enumerate(families(buf, offsets, hashes, first)):
             w = self.weights[f][bucket]
             n = np.diff(bounds).astype(float)
-            if bad is not None:
-                w[bad] = 0
+            w[bad] = 0
             total = np.zeros(len(w) + 1)
             np.cumsum(w, out=total[1:])
             logit += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
@@ -126,56 +142,65 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Dense rows: shares of each bucket, the families side by side."""
     m = measures(buf, offsets)
     rows = len(offsets) - 1
-    out = np.zeros((rows, 3 * BUCKETS), np.float32)
+    out = np.zeros((rows, FAMILIES * BUCKETS), np.float32)
     for f, (bucket, bounds, bad) in enumerate(families(buf, offsets, m["hashes"], m["first"])):
         weight = np.ones(len(bucket))
-        if bad is not None:
-            weight[bad] = 0
+        weight[bad] = 0
         n = np.maximum(np.diff(bounds), 1)
         key = row_of(bounds, len(bucket)) * BUCKETS + bucket
         out[:, f * BUCKETS : (f + 1) * BUCKETS] = (np.bincount(key, weights=weight, minlength=rows * BUCKETS).reshape(rows, BUCKETS) / n[:, None]).astype(np.float32)
     return out
 
 
+def calibrated(z: np.ndarray, t: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope (never negative: a higher margin is never a lower probability) and shift that make margins probabilities; share: of label 1 in use."""
+    odds = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
+    z0, z1 = 1.0, 0.0
+    for _ in range(300):  # Newton steps, damped
+        p = 1 / (1 + np.exp(-np.clip(z0 * z + z1, -30, 30)))
+        r, s = odds * (p - t), odds * p * (1 - p) + 1e-6
+        grad = np.array([(r * z).mean() + 1e-3 * (z0 - 1), r.mean()])
+        hess = np.array([[(s * z * z).mean() + 1e-3, (s * z).mean()], [(s * z).mean(), s.mean()]])
+        step = np.linalg.solve(hess + 1e-4 * np.eye(2), grad)
+        z0, z1 = max(z0 - 0.5 * step[0], 1e-3), z1 - 0.5 * step[1]
+    return float(z0), float(z1)
+
+
 def fit(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 250, decay: float = 1e-5) -> Model:
     """Logistic regression by accelerated gradient, then calibration on every fifth row, which the fit doesn't see.
 
     share: of rows with label 1 where the model is to be used.
     """
     apart = np.arange(len(y)) % 5 == 4
-    scale = 1 / (x[~apart].std(0) + 2e-4)  # common buckets don't drown rare ones
-    a, b = x[~apart] * scale, y[~apart]
+    a, b = x[~apart], y[~apart]
+    scale = 1 / (a.std(0) + 2e-4)  # common buckets don't drown rare ones
+    a *= scale
     w = v = np.zeros(a.shape[1], np.float32)
     c = u = 0.0
-    rate = 4.0 / float((a * a).sum(1).mean())
+    rate = 4.0 / float(np.einsum("ij,ij->i", a, a).mean())
     for k in range(1, rounds + 1):
-        g = (1 / (1 + np.exp(-np.clip(a @ v + u, -30, 30))) - b) / len(b)
-        new, new_c = v - (rate * (a.T @ g + decay * v)).astype(np.float32), u - rate * g.sum()
+        g = ((1 / (1 + np.exp(-np.clip(a @ v + u, -30, 30))) - b) / len(b)).astype(np.float32)
+        new, new_c = v - (rate * (g @ a + decay * v)).astype(np.float32), u - rate * g.sum()
         m = (k - 1) / (k + 2)
-        v, u = new + m * (new - w), new_c + m * (new_c - c)
+        v, u = (new + m * (new - w)).astype(np.float32), new_c + m * (new_c - c)
         w, c = new, new_c
-    weights = (w * scale).astype(np.float64)
-    z, t = x[apart] @ weights + c, y[apart]
-    odds = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
-    z0, z1 = 1.0, 0.0
-    for _ in range(300):  # Newton steps, damped
-        p = 1 / (1 + np.exp(-np.clip(z0 * z + z1, -30, 30)))
-        r, s = odds * (p - t), odds * p * (1 - p) + 1e-6
-        grad = np.array([(r * z).mean() + 1e-3 * (z0 - 1), r.mean()])
-        hess = np.array([[(s * z * z).mean() + 1e-3, (s * z).mean()], [(s * z).mean(), s.mean()]])
-        step = np.linalg.solve(hess + 1e-4 * np.eye(2), grad)
-        z0, z1 = z0 - 0.5 * step[0], z1 - 0.5 * step[1]
-    return Model(weights.reshape(3, BUCKETS), float(c), float(z0), float(z1))
+    weights = (w * scale).astype(np.float32)
+    slope, shift = calibrated((x[apart] @ weights + c).astype(np.float64), y[apart], share)
+    return Model(weights.astype(np.float64).reshape(FAMILIES, BUCKETS), float(c), slope, shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | None:
-    """max_rows: the most labelled rows that the fit uses, half of each class, taken in the order of a hash of doc_id. Of the texts of a repeated doc_id the first in order counts."""
+    """max_rows: the most labelled rows that the fit uses, half of each class, taken in the order of a hash of doc_id. Of the texts of a repeated doc_id the first in order counts.
+
+    The rows' vectors (bounded by max_rows) meet in one task, which fits the model; the driver gets weights alone.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = dict(known.groupBy("quality").count().collect())
     if len(counts) < 2:
         return None
     by_hash = F.xxhash64("doc_id")
     sample = known.filter("quality = 0").orderBy(by_hash).limit(max_rows // 2).unionAll(known.filter("quality = 1").orderBy(by_hash).limit(max_rows // 2))
+    share = counts.get(1, 0) / (counts.get(0, 0) + counts.get(1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 300_000):
@@ -183,50 +208,58 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
             where = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([i.astype(np.int32) for i in where], pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, where)], pa.list_(pa.float32()))], names=["doc_id", "quality", "at", "value"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        if rows is None or len(set(rows["quality"].to_pylist())) < 2:
+            return
+        ids = np.sort(rows["doc_id"].to_numpy())
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(hash_ranges(np.frombuffer(ids.astype("<i8").tobytes() + b"\0" * 32, np.uint8), 8 * np.arange(len(ids)), np.full(len(ids), 8)))] = np.arange(len(ids))
+        x, y = np.zeros((len(ids), FAMILIES * BUCKETS), np.float32), np.zeros(len(ids), np.float32)
+        for batch in rows.to_batches():
+            for doc, label, at, value in zip(batch["doc_id"].to_pylist(), batch["quality"].to_pylist(), batch["at"], batch["value"]):
+                i = place[np.searchsorted(ids, doc)]
+                x[i, at.values.to_numpy()], y[i] = value.values.to_numpy(), label
+        model = fit(x, y, share)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.ravel()], pa.list_(pa.float64())), *(pa.array([v], pa.float64()) for v in (model.bias, model.slope, model.shift))], names=["weights", "bias", "slope", "shift"])
+
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = once.mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").toArrow()  # max_rows at most
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    order = order[np.argsort(hash_ranges(np.frombuffer(rows["doc_id"].to_numpy()[order].astype("<i8").tobytes() + b"\0" * 32, np.uint8), 8 * np.arange(len(order)), np.full(len(order), 8)))]
-    x, y = np.zeros((len(order), 3 * BUCKETS), np.float32), np.zeros(len(order), np.float32)
-    at, value, label = rows["at"].combine_chunks(), rows["value"].combine_chunks(), rows["quality"].to_numpy()
-    for i, j in enumerate(order.tolist()):
-        x[i, at[j].values.to_numpy()] = value[j].values.to_numpy()
-        y[i] = label[j]
-    if len(set(y.tolist())) < 2:
-        return None
-    return fit(x, y, counts.get(1, 0) / (counts.get(0, 0) + counts.get(1, 0)))
+    rows = once.mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").repartition(1)  # max_rows at most
+    found = rows.mapInArrow(learn, "weights array<double>, bias double, slope double, shift double").collect()
+    return Model(np.array(found[0]["weights"]).reshape(FAMILIES, BUCKETS), *found[0][1:]) if found else None
 
 
 OUT = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long")]
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float, keep_columns: bool = False) -> DataFrame:
+def judged(batch: pa.RecordBatch, model: Model | None, threshold: float) -> list[np.ndarray]:
+    """Counts, base_failed, probability and kept of a batch of texts."""
+    buf, offsets = flat(batch.column("text"))
+    m = measures(buf, offsets)
+    p = np.ones(batch.num_rows) if model is None else model.probability(buf, offsets, m["hashes"], m["first"])
+    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    return [*(m[k].astype(np.int64) for k, _ in OUT), failed, p, ~failed & (p >= threshold)]
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
     """The counts, base_failed, the calibrated probability of good quality and the verdict of every document.
 
-    threshold: the least probability at which a document is kept. keep_columns: the table's own columns go before these.
+    threshold: the least probability at which a document is kept.
     """
+    names = ["doc_id", *(k for k, _ in OUT), "base_failed", "probability", "kept"]
 
-    def verdict(batch: pa.RecordBatch) -> list[pa.Array]:
-        buf, offsets = flat(batch.column("text"))
-        m = measures(buf, offsets)
-        p = np.ones(batch.num_rows) if model is None else model.probability(buf, offsets, m["hashes"], m["first"])
-        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-        return [*(pa.array(m[k].astype(np.int64)) for k, _ in OUT), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, judged(batch, model, threshold))], names=names)
 
-    more = [k for k, _ in OUT] + ["base_failed", "probability", "kept"]
-    types = ", ".join(f"{k} {t}" for k, t in OUT) + ", base_failed boolean, probability double, kept boolean"
-    if keep_columns:
-        source = docs.select(*[c for c in docs.columns if c not in more])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", " + types
+    return texts_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in OUT) + ", base_failed boolean, probability double, kept boolean")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *verdict(batch)], names=[*batch.schema.names, *more])
 
-        return source.mapInArrow(run, schema)
+def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The documents that `score` keeps, with the table's own columns, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *verdict(batch)], names=["doc_id", *more])
+            yield batch.filter(pa.array(judged(batch, model, threshold)[-1]))
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, " + types)
+    return docs.mapInArrow(run, docs.schema)

@@ -5,9 +5,10 @@ seen shares most of its word's vectors. A bag is a run of `BAG` words; its mean
 document is as toxic as its most toxic bag: few insults in a long text count as in a short one. Vectors and softmax are trained
 together, each document teaching through its leading bags. The margin is calibrated on a fold kept apart.
 
-Learning uses a sample of labelled rows bounded by `max_rows`; labels, language, source and doc_id are no inputs. Null or empty texts
-get the score of a text without words, the lowest. Labels that are null or have no document are left out; without labels of
-both classes all scores are 0. Rows that repeat are scored each. Further columns are ignored.
+Learning uses a sample of labelled rows bounded by `max_rows`, in one task; labels, language, source and doc_id are no inputs. Null or
+empty texts get the score of a text without words, the lowest. Labels that are null or have no document are left out; without labels of
+both classes all scores are 0. Rows that repeat are scored each. Very long texts are scored as a whole. A score of exactly the
+threshold counts as toxic. An empty table gives no rows. Further columns are ignored by `score`, and returned as they are by `keep`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP, LOWER, M1, M2, U, chunks, flat, texts_of, windows8
+from .common import KEEP, LOWER, M1, M2, U, chunks, flat, gathered, texts_of, windows8
 
 BITS, ORDERS, BAG, DIM = 17, (3, 4, 5), 3, 12
 #: The share of toxic documents at which scores are calibrated: above the corpus's own, as a miss costs more than a false alarm.
@@ -173,7 +174,7 @@ def fit(texts: pa.Array, y: np.ndarray, share: float, rounds: int = 160, rate: f
         grad = np.array([(r * z).mean() + 1e-4 * a, r.mean()])
         hess = np.array([[(s_ * z * z).mean() + 1e-4, (s_ * z).mean()], [(s_ * z).mean(), s_.mean()]])
         step = np.linalg.solve(hess + 1e-4 * np.eye(2), grad)
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
+        a, b = max(a - 0.5 * step[0], 1e-3), b - 0.5 * step[1]  # a higher margin is never a lower score
     return Model(scalar, float(a / spread), float(b - a * centre / spread))
 
 
@@ -183,30 +184,47 @@ def held_out(doc_id: str | None) -> bool:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | None:
     """Learns from rows whose crc32(doc_id as text) mod 3 isn't 1. max_rows: the most rows that the fit uses, half of each class, in the order of a hash of doc_id."""
+    # the rows of the sample, max_rows at most, meet in one task, which fits the model; the driver gets the n-grams' numbers alone
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1) and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) != 1").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
     if len(counts) < 2:
         return None
     by_hash = F.xxhash64("doc_id")
     sample = known.filter("toxic = 0").orderBy(by_hash).limit(max_rows // 2).unionAll(known.filter("toxic = 1").orderBy(by_hash).limit(max_rows // 2))
-    rows = texts_of(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # max_rows at most
-    order = np.argsort([zlib.crc32(b"%d" % i) for i in rows["doc_id"].to_pylist()], kind="stable")
-    y = rows["toxic"].to_numpy()[order].astype(np.float32)
-    if len(set(y.tolist())) < 2 or len(y) < 20:
-        return None
-    return fit(rows["text"].combine_chunks().take(pa.array(order)), y, PRIOR)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        if rows is None:
+            return
+        ids = rows["doc_id"].to_numpy()
+        order = np.lexsort((ids, [zlib.crc32(b"%d" % i) for i in ids.tolist()]))
+        y = rows["toxic"].to_numpy()[order].astype(np.float32)
+        if len(set(y.tolist())) < 2 or len(y) < 20:
+            return
+        model = fit(rows["text"].combine_chunks().take(pa.array(order)), y, PRIOR)
+        yield pa.RecordBatch.from_arrays([pa.array([model.scalar], pa.list_(pa.float64())), pa.array([model.slope]), pa.array([model.shift])], names=["scalar", "slope", "shift"])
+
+    once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = once.repartition(1).mapInArrow(learn, "scalar array<double>, slope double, shift double").collect()
+    return Model(np.array(found[0]["scalar"]), found[0]["slope"], found[0]["shift"]) if found else None
 
 
-def score(docs: DataFrame, model: Model | None, keep_columns: bool = False) -> DataFrame:
-    """The score (0 to 1) of every document; keep_columns: after the table's own columns, else after doc_id."""
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and score (0 to 1) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             s = np.zeros(batch.num_rows) if model is None else model.scores(batch.column("text"))
-            keep = batch.schema.names if keep_columns else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(s)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The documents that score below the threshold, with the table's own columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield batch if model is None else batch.filter(pa.array(model.scores(batch.column("text")) < threshold))
 
-    if not keep_columns:
-        return texts_of(docs).mapInArrow(run, "doc_id long, score double")
-    source = docs.select(*[c for c in docs.columns if c != "score"])
-    return source.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", score double")
+    return docs.mapInArrow(run, docs.schema)

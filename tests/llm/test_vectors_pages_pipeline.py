@@ -37,6 +37,28 @@ def test_vectors(spark, monkeypatch, leaf):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_in_64_dimensions(spark, monkeypatch):
+    """Planted copies at cosines around the bound: every link is found, none below it."""
+    monkeypatch.setattr(vectors, "LEAF", 60)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 64))
+    near = [base[i % 400] + rng.normal(0, s, 64) for s in (0.1, 0.3, 0.48, 0.5) for i in range(150)]
+    crowd = base[7] + rng.normal(0, 0.3, (200, 64))
+    x = np.concatenate([base, near, crowd])
+    n, comp = brute_links(range(len(x)), x, 0.9)
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert n.sum() > 1000
+    assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == comp.tolist()
+
+
+def test_vectors_of_extreme_doubles_and_repeated_ids(spark):
+    a = [1.0, 2.0, -3.0, 0.5]
+    scaled = [(0, a), (1, [v * 1e-50 for v in a]), (2, [v * 1e39 for v in a]), (3, [v * 1e200 for v in a]), (4, [-v for v in a]), (5, [v * 1e-300 for v in a])]
+    df = spark.createDataFrame(scaled + [(5, [v * 1e-300 for v in a]), (None, a)], "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("links", "weight", "key", "n_links", "block")})
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in vectors.near_duplicates(df).collect())
+    assert got == [("0", 5, "0"), ("1", 5, "0"), ("2", 5, "0"), ("3", 5, "0"), ("4", 0, "4"), ("5", 5, "0"), ("5", 5, "0"), ("None", 0, "None")]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 60), (60, 80), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(links).collect()}
@@ -46,6 +68,31 @@ def test_components(spark):
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><header><div class=logo>Site</div></header><nav><ul><li><a href=/>Home</a></ul></nav><script>var t='</p>';</script><article><h1>A &amp; B</h1><p><b>First   text of the\n story goes on here.<br><p>Second text, quite long, of the same story.</article><div class=ad>Buy now</div><section id=comments><p>Nice one.</p></section><footer>&copy; 2020</footer>"
 
 
+#: Pages and their main text, labelled by hand.
+LABELLED = [
+    (
+        "<body><div id='header'><a href='/'>My site</a></div><div class='menu'><ul><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul></div><div class='content'><h1>On bread</h1><p class='meta'>By Jo Baker, 3 May</p><p>Flour, water and salt make a loaf, and time does the rest of the work.</p><ul><li>Mix the dough in the evening.</li><li>Bake it in the morning.</li></ul><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as they say.</p></div><div class='sidebar'><div class='widget'><a href='/x'>Related: cakes</a></div></div><div id='comments'><div class='comment'>Lovely loaf, thanks for that!</div></div><div id='footer'>All rights reserved</div></body>",
+        "On bread\nBy Jo Baker, 3 May\nFlour, water and salt make a loaf, and time does the rest of the work.\nMix the dough in the evening.\nBake it in the morning.\nEnergy is E=mc2 as they say.",
+    ),
+    (
+        "<html><body><div class=cookie-notice>We use cookies on this site. <button>Fine</button></div><main><article><header><h1>River &lt;floods&gt; again</h1></header><p title=\"never closed>The river rose by two metres in the night, and the bridge was shut.</p><aside class=promo>Subscribe now for more stories!</aside><blockquote>It was the worst in thirty years, the mayor said.</blockquote><table><tr><td>Monday</td><td>2.1 m</td></tr></table><form><input name=q><label>Search this site</label></form></article></main><nav><a href=/p2>Next page</a></nav></body></html>",
+        "River <floods> again\nThe river rose by two metres in the night, and the bridge was shut.\nIt was the worst in thirty years, the mayor said.\nMonday\n2.1 m",
+    ),
+]
+
+
+def test_pages_labelled_by_hand(spark):
+    net = extract.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a very long page, which goes on.</p>" for i in range(3000)) + "</article><footer>The end of it, copyright</footer>"
+    rows = [(i, "u", h) for i, (h, _) in enumerate(LABELLED)] + [(None, None, long)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "n_chars", "h")}), net).collect()}
+    for i, (_, want) in enumerate(LABELLED):
+        lines, right = got[i].split("\n"), want.split("\n")
+        assert len(set(lines) & set(right)) >= 0.8 * len(right) and len(set(lines) - set(right)) <= 1, lines
+    lines = got[None].split("\n")
+    assert len(lines) >= 2990 and "copyright" not in lines[-1]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     net = extract.train(pages, max_pages=60)
@@ -81,6 +128,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == ids
 
 
+def test_stages_take_odd_rows(spark, odd_docs, no_docs):
+    """Null, empty, long, repeated rows and clashing columns: each stage keeps the table's own columns and values."""
+    import corpus_pipeline as cp
+
+    clashing = odd_docs.withColumns({c: F.lit("mine") for c in ("base_failed", "__text", "text_hash", "component_id", "row", "order")})
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, clashing, SF)
+        assert kept.columns == clashing.columns, name
+        rows = kept.collect()
+        assert {(r.score, r.probability, r.text_hash) for r in rows} == {("clash", "clash", "mine")}, name
+        assert stage(spark, no_docs, SF).count() == 0
+        texts = [r.text for r in rows]
+        if name == "quality rules":
+            assert None not in texts and "" not in texts
+        elif name == "toxicity":
+            assert len([t for t in texts if not t]) == 2
+        else:
+            assert len([t for t in texts if not t]) == 2 and len([r for r in rows if r.doc_id == 8]) == 1
+    pieces = cp.packed(spark, clashing, SF).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in odd_docs.select("doc_id").collect()} and not cp.packed(spark, no_docs, SF).count()
+
+
 def test_pipeline_keeps_every_text_of_repeated_ids(spark):
     import corpus_pipeline as cp
 
