@@ -10,7 +10,7 @@ All links at or above the threshold count, and none below. Steps:
    so a crowd of similar sets is few groups, whether its members are linked or not. Large groups are cut into blocks.
 4. Blocks that share given-out shingles are counted, block by block, never set by set: with fewer shared ones than the sizes ask for, no
    member of one can be linked with a member of the other.
-5. Sets are held against their leaders first; blocks that these links make one component are done with.
+5. Sets are held against their leaders first; blocks whose members these links tie together are done with.
 6. The matrix holds the union of its members' shingles for each block left. A set of another block that may be linked
    is held against the union: if it has fewer than ceil(t n) of its shingles there, the block stays closed. Blocks that qualify are
    opened, and the members compared exactly. What leaves a task are spanning links, not pairs.
@@ -41,7 +41,7 @@ RUN_OF_HOLDERS = 4096
 #: A set follows a leader that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
 PART, MARKS = 6, 1 << 24
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
-LATE = 1 << 17
+LATE = 1 << 19
 #: Shingles of one run of documents in which repetition is counted, and the least repetition that counts.
 RUN, REPEATED = 3_000_000, 2
 
@@ -140,8 +140,10 @@ def late_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = level
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    late = counted.filter(F.col("level") >= least).select("token", "c").toPandas().sort_values(["c", "token"])
-    return late["token"].to_numpy(np.int64).astype(np.uint64), late["c"].to_numpy(np.int64)
+    late = counted.filter(F.col("level") >= least).select("token", "c").toArrow()
+    tokens, counts = late["token"].to_numpy(), late["c"].to_numpy()
+    order = np.lexsort((tokens, counts))
+    return tokens[order].astype(np.uint64), counts[order]
 
 
 def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -151,7 +153,7 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray, counts: n
     """
     sc = docs.sparkSession.sparkContext
     order = np.argsort(late)
-    shared = sc.broadcast((late[order], order, -(-counts[order] // RUN_OF_HOLDERS)))  # LATE numbers at most
+    shared = sc.broadcast((late[order], order.astype(np.int32), (-(-counts[order] // RUN_OF_HOLDERS)).astype(np.int32)))  # LATE numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks, parts = shared.value
@@ -173,7 +175,7 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray, counts: n
                     at = at[last]
                     at = at[np.argsort(ranks[at])]
                     s = np.concatenate([s[~last], keys[at]])
-                    salt[len(s) - len(at) :] = np.where(parts[at] > 1, 1 + (fp >> 8) % parts[at], 0)
+                    salt[len(s) - len(at) :] = np.where(parts[at] > 1, 1 + (fp >> 8) % parts[at].astype(np.int64), 0)
                 tokens.append(s[:need])
                 salts.append(salt[:need])
                 owners.append(fp)
@@ -397,8 +399,17 @@ class Block:
         return [a for a, _ in both], [b for _, b in both]
 
 
+def roots(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """node, comp: for each set a set that it reaches by some of its links. Sets that get the same one are in one component; the reverse is left to `components`."""
+    known = stored(links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "near-roots")
+    for _ in range(jumps):
+        further = known.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        known = stored(known.join(further, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "near-roots")
+    return known
+
+
 def to_open(pairs: DataFrame, grouped: DataFrame, groups: DataFrame) -> DataFrame:
-    """block, part, kind, set: what is to be held against what, as `opened` wants it, where the links known (groups) leave it open."""
+    """block, part, kind, set: what is to be held against what, as `opened` wants it, where the links known (groups: node, comp) leave it open."""
     at = grouped.join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "block", F.coalesce("comp", "set").alias("comp"))
     at = stored(at, "near-placed")
     blocks = stored(at.groupBy("block").agg(F.count("*").alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")), "near-blocks")
@@ -441,7 +452,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: boo
     wanted = grouped.join(blocks, "block", "left_semi").select("doc_id").unionAll(grouped.join(tried, "set", "left_semi").select("doc_id"))
     sets = stored(sets_of(docs, wanted.distinct(), k), "near-sets")
     links = stored(linked(tries, sets, percent), "near-links")
-    more = stored(opened(to_open(pairs, grouped, components(links)).join(sets, "set"), percent), "near-more")
+    more = stored(opened(to_open(pairs, grouped, roots(links)).join(sets, "set"), percent), "near-more")
     classes = stored(components(links.unionAll(more)), "near-classes")
     named = sizes.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.groupBy("comp").agg(first, F.sum("copies").alias("size")).select("comp", *[F.col(c).alias(to) for c, to in zip(split, ("component_id", "component_hash"))], "size")
