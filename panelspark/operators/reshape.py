@@ -31,14 +31,20 @@ def unpivot_weather(df: DataFrame, keys: list[str], variables: list[str]) -> Dat
 def complete_panel(df: DataFrame, unit: str, year: str = "year") -> DataFrame:
     """Every unit in every year from the panel's first to its last; what wasn't there is NULL."""
     span = df.agg(F.min(year).alias("__a"), F.max(year).alias("__b"))
-    years = span.filter("__a is not null").select(F.explode(F.sequence("__a", "__b")).alias(year))  # as many rows as years
-    return df.select(unit).distinct().crossJoin(F.broadcast(years)).join(df, [unit, year], "left")
+    cells = df.select(unit).distinct().crossJoin(F.broadcast(span.filter("__a is not null")))  # one row
+    return cells.select(unit, F.explode(F.sequence("__a", "__b")).alias(year)).join(df, [unit, year], "left")
 
 
 def on_grid(df: DataFrame, keys: list[str], grid: list[int], doy: str = "doy") -> DataFrame:
-    """Every key at every day of the grid; absent cells are NULL."""
-    days = df.select(*keys).distinct().withColumn(doy, F.explode(F.array(*[F.lit(d) for d in grid])))
-    return days.join(df, [*keys, doy], "left")
+    """Every key at every day of the grid; absent cells are NULL, days off the grid are left out.
+
+    One shuffle by the keys: a key's rows (a season's, so few) are laid out on the grid where they meet, and stay there for what follows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("__rows"))
+    days = rows.withColumn("__d", F.explode(F.array(*[F.lit(d) for d in grid])))
+    cells = days.select(*keys, "__d", F.explode_outer(F.filter("__rows", lambda x: x[doy] == F.col("__d"))).alias("__x"))
+    return cells.select(*keys, F.col("__d").alias(doy), *[F.col(f"__x.{c}").alias(c) for c in rest if c != doy])
 
 
 canonical_grid = pad_checkpoints = on_grid

@@ -14,8 +14,8 @@ from panelspark.operators import audits, joins, maps, metrics, models, reshape,
 from panelspark.sources import tables as src
 from panelspark.streaming import streams
 
-from .bindings import PANEL, PIXELS, RUNS, SEASON, SPARSE, TRENDED, panel, pixels, runs, season, sparse, table, trended
-from .registry import BOOTSTRAP, CELLS, GRID, PAIRS, SCORES, cells, pairs, query, scored, shares
+from .bindings import RUNS, SEASON, TRENDED, runs, season, table, trended
+from .registry import BOOTSTRAP, CELLS, GAINS, GRID, PAIRS, SCORES, cells, pairs, query, scored, shares
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -358,6 +358,12 @@ def training_features(spark, sf_dir):
     return metrics.training_audit(trended(spark, sf_dir), ["unit"], least_rows=5, features=["y", "trend"])
 
 
+@query(f"WITH {GAINS} SELECT substr(feature, 1, 7) AS grp, round(sum(share) / (SELECT count(DISTINCT fit) FROM shares), 6) AS mean_share FROM shares GROUP BY 1")
+def importance_groups(spark, sf_dir):
+    """Shares summed by group of features, over all fits."""
+    return metrics.importance_mean(shares(spark, sf_dir).withColumn("grp", F.substring("feature", 1, 7)), ["fit"], ["grp"])
+
+
 @query(f"WITH {SCORES}, c AS (SELECT * FROM scores WHERE name LIKE 'common%') SELECT year, 1::BIGINT AS n_reference, count(*) FILTER (WHERE area_km2 < 0) AS n_bad_area, max(reference_km2) - min(reference_km2) <= 1e-9 AS reference_agrees, max(reference_km2) - min(reference_km2) <= 1e-9 AND count(*) FILTER (WHERE area_km2 < 0) = 0 AS reconciled FROM c GROUP BY year")
 def reconciled_area(spark, sf_dir):
     s = scored(spark, sf_dir).filter(F.col("name").startswith("common"))
