@@ -42,8 +42,9 @@ class EliasFano:
             out[low : low + (1 << 16)] = w * 64 + (np.cumsum(free, axis=1, dtype=np.int16) == nth[:, None]).argmax(1)
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first element that is >= x (n if there is none): successor search."""
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """The place of the first element that is >= x among those from place `first` up to `last` (`last` if there is none): successor search."""
+        last = self.n if last is None else last
         if not self.n:
             return np.zeros(len(x), np.int64)
         x = x.astype(np.uint64)
@@ -52,6 +53,8 @@ class EliasFano:
         high = np.minimum(high, self.top)
         begin = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
         stop = self.zero(high) - high
+        begin, stop = np.where(over, self.n, begin), np.where(over, self.n, stop)
+        begin, stop = np.clip(begin, first, last), np.clip(stop, first, last)
         want = x & np.uint64((1 << self.bits) - 1)
         while True:  # binary search among those of the same high bits
             live = np.flatnonzero(begin < stop)
@@ -61,7 +64,7 @@ class EliasFano:
             less = self.low[mid] < want[live]
             begin[live] = np.where(less, mid + 1, begin[live])
             stop[live] = np.where(less, stop[live], mid)
-        return np.where(over, self.n, begin)
+        return begin
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements by place."""
@@ -94,33 +97,37 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
 class Trie:
     """Contexts, pointers to their successors, successors, and the successors' quantised probabilities.
 
-    Successors are made one monotone sequence by adding the context's number above their own bits; so a context's successors are a
-    range of it, and a pair is found by successor search from its context on.
+    A context's successors are a range of one monotone sequence, each raised by the value at the end of the range before. A pair is found by
+    successor search inside its context's range, from the pointer on, relative to that value.
     """
 
     def __init__(self, folder: str, contexts: np.ndarray, owner: np.ndarray, successor: np.ndarray, p: np.ndarray):
-        """contexts: ascending; owner, successor: pairs in ascending order, by the context's place and the successor's 32 bits."""
+        """contexts: ascending; owner, successor: pairs in ascending order, by the context's place and the successor."""
         self.contexts = EliasFano(folder, "contexts", contexts)
-        self.pointers = EliasFano(folder, "pointers", np.searchsorted(owner, np.arange(len(contexts) + 1)))
-        self.successors = EliasFano(folder, "successors", owner.astype(np.uint64) << np.uint64(32) | successor.astype(np.uint64))
+        begin = np.searchsorted(owner, np.arange(len(contexts) + 1))
+        self.pointers = EliasFano(folder, "pointers", begin)
+        ends = begin[1:][begin[1:] > begin[:-1]]  # of contexts that have successors
+        before = np.zeros(len(contexts) + 1, np.uint64)
+        before[1:][begin[1:] > begin[:-1]] = successor[ends - 1]
+        self.successors = EliasFano(folder, "successors", successor.astype(np.uint64) + np.cumsum(before, dtype=np.uint64)[:-1][owner])
         np.save(os.path.join(folder, "codes.npy"), quantise(p))
         self.codes = np.load(os.path.join(folder, "codes.npy"), mmap_mode="r")
 
     def query(self, contexts: np.ndarray, lengths: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of pairs: `lengths` successors for each context, one after another."""
-        if not self.contexts.n or not len(successor):
+        if not self.contexts.n or not self.successors.n or not len(successor):
             return np.zeros(len(successor), np.uint16)
         place = self.contexts.find(contexts)
-        known = place < self.contexts.n
         safe = np.minimum(place, self.contexts.n - 1)
-        known &= self.contexts.get(safe) == contexts.astype(np.uint64)
-        stop = self.pointers.get(safe + 1).astype(np.int64)
-        owner, known, stop = np.repeat(safe, lengths), np.repeat(known, lengths), np.repeat(stop, lengths)
-        want = owner.astype(np.uint64) << np.uint64(32) | successor.astype(np.uint64)
-        at = self.successors.find(want)
-        inside = known & (at < stop)
+        known = (place < self.contexts.n) & (self.contexts.get(safe) == contexts.astype(np.uint64))
+        begin, stop = self.pointers.get(safe).astype(np.int64), self.pointers.get(safe + 1).astype(np.int64)
+        stop = np.where(known, stop, begin)
+        raised = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)), np.uint64(0))
+        begin, stop, raised = (np.repeat(x, lengths) for x in (begin, stop, raised))
+        want = successor.astype(np.uint64) + raised
+        at = self.successors.find(want, begin, stop)
         out = np.zeros(len(successor), np.uint16)
-        hit = np.flatnonzero(inside)
+        hit = np.flatnonzero(at < stop)
         hit = hit[self.successors.get(at[hit]) == want[hit]]
         out[hit] = self.codes[at[hit]]
         return out

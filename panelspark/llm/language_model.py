@@ -9,8 +9,9 @@ are distinct words and pairs by block, never the corpus, its vocabulary or the m
 Model: P(w | c) = n(c, w) / (n(c) + K) + K / (n(c) + K) * P1(w), with P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), counts from training texts;
 the first word follows a mark of its own. P of a text is the product over its tokens, the end included.
 
-Words are told apart by 64-bit hashes, a word's successors by 32 bits of theirs. Null or empty texts are the end token alone. Rows that
-repeat count and are scored each; a null doc_id counts as an empty id. Without training texts all counts are 0.
+Words are told apart by 64-bit hashes, a word's successors by 40 bits of theirs (a word with a million different successors would have one
+collision in two corpora). Null or empty texts are the end token alone; very long texts are scored as a whole. Rows that
+repeat count and are scored each; a null doc_id counts as an empty id. Without training texts all counts are 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, M1, M2, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
 from .elias_fano import Trie, dequantise
 
-BLOCK, K = 2_800_000, 10.0
+BLOCK, K = 2_000_000, 10.0
 END, START = 0x9D5C0F3B7A1E2468, 0x3141592653589793
 #: Words that make up at least this share of the training tokens of some run of documents may count as common; so many at most.
 COMMON_SHARE, COMMON = 0.002, 250
@@ -51,6 +52,15 @@ def pack(a: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True) if len(a) else b""
 
 
+def pack_ranks(rank: np.ndarray) -> bytes:
+    """Byte by byte of all ranks, as bytes of the same place compress together."""
+    return pack(np.ascontiguousarray(rank.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def unpack_ranks(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, 4 * n, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int32)
+
+
 def unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
@@ -77,26 +87,55 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(hashes * M1 + M2) % U(shards)).astype(np.int64)
 
 
-def pair_order(context: np.ndarray, token: np.ndarray, common: np.ndarray, shard: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct values, and each value's place among them in four bytes."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.empty(len(values), bool)
+    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
+def pair_order(context: np.ndarray, token: np.ndarray, common: np.ndarray, shard: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs by shard, then context and token rank: their keys, shards, and for each token its pair's place. `start`: the rank of the text's start."""
-    keys, inverse = np.unique(context << 32 | token, return_inverse=True)
-    c, w = keys >> 32, keys & 0xFFFFFFFF
+    keys, inverse = distinct(context.astype(np.int64) << 32 | token)
+    c, w = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
     spread = (c == start) | common[np.minimum(c, len(common) - 1)]
     to = np.where(spread, shard[w], shard[np.minimum(c, len(shard) - 1)])
     order = np.argsort(to, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return keys[order], to[order], place[inverse], spread[order]
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return keys[order], to[order], place[inverse]
 
 
 def contexts_of(rank: np.ndarray, lens: np.ndarray, start: int) -> np.ndarray:
-    out = np.empty(len(rank), np.int64)
+    out = np.empty(len(rank), np.int32)
     out[1:] = rank[:-1]
     out[np.cumsum(lens) - lens] = start
     return out
 
 
-BLOCKS = "block long, shard int, n_words int, words binary, counts binary, n_contexts int, contexts binary, n_next binary, n_pairs int, successors binary, pair_counts binary, docs binary, lens binary, ranks binary, sizes binary, common binary"
+#: Bytes of a successor's hash that move and are kept.
+WIDTH = 5
+
+
+def successors_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> U(64 - 8 * WIDTH)
+
+
+def pack_wide(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+
+
+def unpack_wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
+BLOCKS = "block long, shard int, n_words int, words binary, counts binary, n_contexts int, contexts binary, is_context binary, n_next binary, n_pairs int, successors binary, pair_counts binary, docs binary, lens binary, ranks binary, sizes binary, common binary"
 
 
 def blocks(docs: DataFrame, folds: int, shards: int, common: list[int]) -> DataFrame:
@@ -104,29 +143,38 @@ def blocks(docs: DataFrame, folds: int, shards: int, common: list[int]) -> DataF
     common_hashes = np.array(sorted(common), np.uint64)
 
     def rows(number: int, ids: list, t: np.ndarray, lens: np.ndarray) -> Iterator[dict]:
-        words, rank = np.unique(t, return_inverse=True)
+        words, rank = distinct(t)
+        n_tokens = len(t)
+        del t
         shard = shard_of(words, shards)
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        words, shard, rank = words[order], shard[order], place[rank]
-        train = np.repeat([not held_out(i, folds) for i in ids], lens)
-        counts = np.bincount(rank, weights=train, minlength=len(words)).astype(np.uint32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        words, shard, rank = words[order], shard[order].astype(np.int32), place[rank]
+        train = np.repeat(np.array([not held_out(i, folds) for i in ids]), lens)
+        counts = np.bincount(rank[train], minlength=len(words)).astype(np.uint32)
         is_common = np.isin(words, common_hashes)
         start = len(words)
-        keys, to, at, _ = pair_order(contexts_of(rank, lens, start), rank, is_common, shard, start)
-        pair_counts = np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint32)
-        c, w = keys >> 32, keys & 0xFFFFFFFF
-        hashes = np.append(words, np.uint64(START))
+        keys, to, at = pair_order(contexts_of(rank, lens, start), rank, is_common, shard, start)
+        pair_counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+        del at, train
         word_cut, pair_cut = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(to, np.arange(shards + 1))
+        known = np.array([i is not None for i in ids])
+        yield {"block": number, "shard": -1, "n_words": len(words), "n_pairs": n_tokens, "n_contexts": len(ids), "docs": pack(np.array([i or 0 for i in ids], np.int64)), "lens": pack(lens.astype(np.uint32)), "ranks": pack_ranks(rank), "sizes": pack(np.diff(word_cut).astype(np.uint32)), "common": pack(np.flatnonzero(is_common).astype(np.uint32)), "contexts": pack(known.astype(np.uint8)), "n_next": b"%d" % int(is_common.sum())}
+        del rank
+        hashes = np.append(words, np.uint64(START))
         for s in range(shards):
             a, b, p, q = word_cut[s], word_cut[s + 1], pair_cut[s], pair_cut[s + 1]
             if a == b and p == q:
                 continue
-            lead = np.flatnonzero(np.append(True, c[p + 1 : q] != c[p : q - 1])) if q > p else np.zeros(0, np.int64)
-            yield {"block": number, "shard": s, "n_words": b - a, "words": pack(words[a:b]), "counts": pack(counts[a:b]), "n_contexts": len(lead), "contexts": pack(hashes[c[p:q][lead]]), "n_next": pack(np.diff(np.append(lead, q - p)).astype(np.uint32)), "n_pairs": q - p, "successors": pack((words[w[p:q]] >> U(32)).astype(np.uint32)), "pair_counts": pack(pair_counts[p:q])}
-        known = np.array([i is not None for i in ids])
-        yield {"block": number, "shard": -1, "n_words": len(words), "n_pairs": len(t), "n_contexts": len(ids), "docs": pack(np.array([i or 0 for i in ids], np.int64)) , "lens": pack(lens.astype(np.uint32)), "ranks": pack(rank.astype(np.uint32)), "sizes": pack(np.diff(word_cut).astype(np.uint32)), "common": pack(np.flatnonzero(is_common).astype(np.uint32)), "contexts": pack(known.astype(np.uint8)), "n_next": b"%d" % int(is_common.sum())}
+            c, w = keys[p:q] >> 32, keys[p:q] & 0xFFFFFFFF
+            lead = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if q > p else np.zeros(0, np.int64)
+            owners = c[lead]
+            own = (owners >= a) & (owners < b)  # the others are common words and the start: some come before these, some after
+            is_context = np.zeros(b - a, bool)
+            is_context[owners[own] - a] = True
+            low = int((owners < a).sum())
+            yield {"block": number, "shard": s, "n_words": b - a, "words": pack(words[a:b]), "counts": pack(counts[a:b]), "n_contexts": low, "contexts": hashes[owners[~own]].tobytes(), "is_context": np.packbits(is_context).tobytes(), "n_next": pack(np.diff(np.append(lead, q - p)).astype(np.uint32)), "n_pairs": q - p, "successors": pack_wide(successors_of(words[w])), "pair_counts": pack(pair_counts[p:q])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
@@ -151,6 +199,14 @@ def blocks(docs: DataFrame, folds: int, shards: int, common: list[int]) -> DataF
     return texts_of(docs).mapInArrow(run, BLOCKS)
 
 
+def asked_by(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of a block's pairs, how many successors each has, and these."""
+    words, others = unpack(row["words"], row["n_words"], np.uint64), np.frombuffer(row["contexts"], np.uint64)
+    own = words[np.unpackbits(np.frombuffer(row["is_context"], np.uint8), count=row["n_words"]).astype(bool)]
+    contexts = np.concatenate([others[: row["n_contexts"]], own, others[row["n_contexts"] :]])
+    return contexts, unpack(row["n_next"], len(contexts), np.uint32).astype(np.int64), unpack_wide(row["successors"])
+
+
 def answers(dealt: DataFrame, common: dict[int, int]) -> DataFrame:
     """block, shard, counts of the block's words, codes of its pairs; distinct: training words of the shard, on one of its rows.
 
@@ -161,13 +217,13 @@ def answers(dealt: DataFrame, common: dict[int, int]) -> DataFrame:
         rows = table.to_pylist()
         words = np.concatenate([unpack(r["words"], r["n_words"], np.uint64) for r in rows])
         counts = np.concatenate([unpack(r["counts"], r["n_words"], np.uint32) for r in rows])
-        vocabulary, rank = np.unique(words, return_inverse=True)
+        vocabulary, rank = distinct(words)
         total = np.bincount(rank, weights=counts, minlength=len(vocabulary)).astype(np.int64)
-        asked = [(unpack(r["contexts"], r["n_contexts"], np.uint64), unpack(r["n_next"], r["n_contexts"], np.uint32).astype(np.int64), unpack(r["successors"], r["n_pairs"], np.uint32)) for r in rows]
+        asked = [asked_by(r) for r in rows]
         pair_counts = np.concatenate([unpack(r["pair_counts"], r["n_pairs"], np.uint32) for r in rows])
-        contexts, owner = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        contexts, owner = distinct(np.concatenate([a[0] for a in asked]))
         owner = np.repeat(owner, np.concatenate([a[1] for a in asked]))
-        keys, at = np.unique(owner.astype(np.uint64) << U(32) | np.concatenate([a[2] for a in asked]), return_inverse=True)
+        keys, at = distinct(owner.astype(np.uint64) << U(8 * WIDTH) | np.concatenate([a[2] for a in asked]))
         n = np.bincount(at, weights=pair_counts, minlength=len(keys))
         base = np.zeros(len(contexts))
         if len(vocabulary):
@@ -177,10 +233,10 @@ def answers(dealt: DataFrame, common: dict[int, int]) -> DataFrame:
             if c in common:
                 base[i] = common[c]
         keys, n = keys[n > 0], n[n > 0]  # pairs of training texts
-        own = (keys >> U(32)).astype(np.int64)
+        own = (keys >> U(8 * WIDTH)).astype(np.int64)
         folder = tempfile.mkdtemp(prefix="trie-")
         try:
-            trie = Trie(folder, contexts, own, keys & U(0xFFFFFFFF), n / (base[own] + K))
+            trie = Trie(folder, contexts, own, keys & U((1 << 8 * WIDTH) - 1), n / (base[own] + K))
             codes = [trie.query(*a) for a in asked]
             del trie
         finally:
@@ -189,7 +245,7 @@ def answers(dealt: DataFrame, common: dict[int, int]) -> DataFrame:
         found = np.split(total[rank].astype(np.uint32), cut)
         return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int32()), "counts": [pack(x) for x in found], "codes": [pack(x) for x in codes], "n_words": pa.array([r["n_words"] for r in rows], pa.int32()), "n_pairs": pa.array([r["n_pairs"] for r in rows], pa.int32()), "distinct": pa.array([int((total > 0).sum()), *[0] * (len(rows) - 1)], pa.int64())})
 
-    need = dealt.filter("shard >= 0").select("block", "shard", "n_words", "words", "counts", "n_contexts", "contexts", "n_next", "n_pairs", "successors", "pair_counts")
+    need = dealt.filter("shard >= 0").select("block", "shard", "n_words", "words", "counts", "n_contexts", "contexts", "is_context", "n_next", "n_pairs", "successors", "pair_counts")
     return need.groupBy("shard").applyInArrow(shard, "block long, shard int, counts binary, codes binary, n_words int, n_pairs int, distinct long")
 
 
@@ -219,7 +275,7 @@ def score(docs: DataFrame, folds: int = 5, tokens_a_shard: int = 2_000_000) -> D
         n_docs = b["n_contexts"]
         ids, lens = unpack(b["docs"], n_docs, np.int64), unpack(b["lens"], n_docs, np.uint32).astype(np.int64)
         known_id = unpack(b["contexts"], n_docs, np.uint8)
-        rank = unpack(b["ranks"], b["n_pairs"], np.uint32).astype(np.int64)
+        rank = unpack_ranks(b["ranks"], b["n_pairs"])
         sizes = unpack(b["sizes"], shards, np.uint32)
         shard = np.repeat(np.arange(shards), sizes)
         is_common = np.zeros(b["n_words"], bool)
@@ -229,7 +285,7 @@ def score(docs: DataFrame, folds: int = 5, tokens_a_shard: int = 2_000_000) -> D
         codes = np.concatenate([unpack(r["codes"], r["n_pairs"], np.uint16) for r in got])
         start = b["n_words"]
         context = contexts_of(rank, lens, start)
-        _, _, at, _ = pair_order(context, rank, is_common, shard, start)
+        _, _, at = pair_order(context, rank, is_common, shard, start)
         p1 = (counts + 0.5) / floor
         n_context = np.append(counts, n_texts)[context]
         p = dequantise(codes[at]) + K / (n_context + K) * p1[rank]
