@@ -1,6 +1,6 @@
 """Packing of documents into sequences of a fixed number of tokens, by non-negative least squares over the length histogram.
 
-1. Every text is encoded, with an end id, and stored. Whole windows of a long document are sequences of their own; what is
+1. Every text is encoded, with an end id, and stored as bytes of fixed width. Whole windows of a long document are sequences of their own; what is
    left of each document is its remainder, of 1 to window - 1 tokens.
 2. The remainders' lengths are counted: window - 1 numbers at most, whatever the input.
 3. All combinations of two or three lengths that fill a window exactly are enumerated. Non-negative least squares finds how often to
@@ -10,12 +10,14 @@
 5. Remainders beyond the plan are packed greedily: one after another, cut where a window is full. The last window's
    rest is split into sequences whose lengths are powers of two, which need no padding.
 
-Null or empty texts have one token, the end id. Rows that repeat are packed each. An empty table gives no pieces. Further columns are
+Null or empty texts have one token, the end id. Rows that repeat are packed each. Very long texts are whole windows and a remainder. Special
+strings of the vocabulary in a text are read as the library reads them by default. An empty table gives no pieces. Further columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +30,23 @@ from pyspark.sql import functions as F
 from .common import chunks, stored, texts_of
 from .encoders import encoder
 
-STORE = "part int, row long, doc_id long, n_tokens long, n_full long, full_before long, rem int, rem_rank long, crcs array<long>, tokens array<int>"
-STORE_ARROW = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_full", pa.int64()), ("full_before", pa.int64()), ("rem", pa.int32()), ("rem_rank", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
+STORE = "part int, row long, doc_id long, n_tokens long, n_full long, full_before long, rem int, rem_rank long, crcs array<long>, tokens binary"
+STORE_ARROW = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_full", pa.int64()), ("full_before", pa.int64()), ("rem", pa.int32()), ("rem_rank", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tokens", pa.binary())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, row long"
 PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
+def id_width(vocabulary: str) -> int:
+    """Bytes that hold any id of the vocabulary file."""
+    with open(vocabulary, encoding="utf-8") as f:
+        known = json.load(f)
+    most = max([*known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens", []))])
+    return 2 if most < 1 << 16 else 4
+
+
 def encode_store(docs: DataFrame, vocabulary: str, end: int, window: int) -> DataFrame:
     """One row a document: its ids, the checksum of each whole window and of the remainder, ranks within its task."""
+    width = id_width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(vocabulary, "plain")
@@ -62,13 +73,13 @@ def encode_store(docs: DataFrame, vocabulary: str, end: int, window: int) -> Dat
                     pa.array(rem.astype(np.int32)),
                     pa.array(rank),
                     pa.array(crcs, pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((place * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))]),
                 ],
                 schema=STORE_ARROW,
             )
             row, full = row + len(n), full + int(n_full.sum())
 
-    return stored(texts_of(docs).mapInArrow(run, STORE), "packing", compression="zstd")
+    return stored(texts_of(docs).mapInArrow(run, STORE), "packing", compression="zstd", **{"parquet.enable.dictionary": "false"})
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -179,7 +190,7 @@ def with_before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFr
 
 def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tuple[DataFrame, DataFrame]:
     """The pieces (one row each) and the store of ids that they refer to by part and row: a doc_id may be null or repeat."""
-    store = encode_store(docs, vocabulary, end, window)
+    store, width = encode_store(docs, vocabulary, end, window), id_width(vocabulary)
     meta = store.drop("tokens")
     lengths = meta.groupBy("part", "rem").agg(F.count("*").alias("n"), F.sum("n_full").alias("full"))
     lengths = stored(lengths, "packing-lengths")
@@ -240,7 +251,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
         for batch in batches:
             rows = []
             for part, row, doc, n, rem, pos, ids in zip(*(batch.column(k).to_pylist() for k in ("part", "row", "doc_id", "n_tokens", "rem", "pos")), batch.column("tokens")):
-                ids = ids.values.to_numpy().astype("<u4")
+                ids = np.frombuffer(ids.as_py(), f"<u{width}").astype("<u4")
                 at = pos
                 while at < pos + rem:
                     if at < tail:
@@ -253,11 +264,21 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
                     at = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(PIECES_ARROW))], schema=PIECES_ARROW)
 
-    rest = store.filter(F.col("rem") > 0).select("part", "row", "doc_id", "n_tokens", "rem", F.expr("slice(tokens, cast(n_tokens - rem + 1 as int), rem)").alias("tokens")).join(stream.hint("merge"), ["part", "row"])  # alike at every size
+    some = np.flatnonzero(histogram > plan.planned).tolist()  # lengths of which not all are planned: window - 1 at most
+    rest = store.filter(F.col("rem").isin(some)).select("part", "row", "doc_id", "n_tokens", "rem", F.expr(f"substring(tokens, cast((n_tokens - rem) * {width} + 1 as int), rem * {width})").alias("tokens")).join(stream.hint("merge"), ["part", "row"])  # alike at every size
     return pieces.unionByName(rest.mapInArrow(cut, PIECES)), store
 
 
-def sequences(pieces: DataFrame, store: DataFrame) -> DataFrame:
+def sequences(pieces: DataFrame, store: DataFrame, vocabulary: str) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves; each gathers one window of tokens at most."""
-    parts = pieces.join(store.select("part", "row", "tokens"), ["part", "row"]).select("sequence_id", F.struct("offset", F.expr("slice(tokens, cast(start + 1 as int), cast(length as int))").alias("ids")).alias("piece"))
-    return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids"))
+    width = id_width(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b"".join(x), f"<u{width}").astype(np.int32) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "ids"])
+
+    cut = F.expr(f"substring(tokens, cast(start * {width} + 1 as int), cast(length * {width} as int))").alias("ids")
+    parts = pieces.join(store.select("part", "row", "tokens"), ["part", "row"]).select("sequence_id", F.struct("offset", cut).alias("piece"))
+    whole = parts.groupBy("sequence_id").agg(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"]).alias("ids"))
+    return whole.mapInArrow(run, "sequence_id long, ids array<int>")

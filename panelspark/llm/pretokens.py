@@ -35,8 +35,11 @@ def classes() -> np.ndarray:
     return table
 
 
-def split(buf: np.ndarray, offsets: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all pre-tokens, the first pre-token's number by row (one more at the end), rows with unsure characters."""
+def split(buf: np.ndarray, offsets: np.ndarray, rule: str, known: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all pre-tokens, the first pre-token's number by row (one more at the end), rows with unsure characters.
+
+    known: gives the classes of characters that the table leaves unsure.
+    """
     size = int(offsets[-1])
     raw = buf[:size]
     cp = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
@@ -44,6 +47,8 @@ def split(buf: np.ndarray, offsets: np.ndarray, rule: str) -> tuple[np.ndarray,
     at = np.flatnonzero((raw & 0xC0) != 0x80) if n != size else np.arange(n)  # byte place of each character
     row_char = np.searchsorted(at, offsets)
     kind = classes()[cp]
+    if known is not None and (kind == UNSURE).any():
+        kind[kind == UNSURE] = known(cp[kind == UNSURE])
     first = np.zeros(n + 1, bool)
     first[row_char] = True
     unsure = np.unique(np.searchsorted(row_char, np.flatnonzero(kind == UNSURE), side="right") - 1)
@@ -90,7 +95,8 @@ def split(buf: np.ndarray, offsets: np.ndarray, rule: str) -> tuple[np.ndarray,
 class Memo:
     """Pre-token bytes to ids, in arrays: keys of up to 24 bytes are held exactly, longer ones in a dictionary.
 
-    A task's helper, not a model: when `most` entries are reached it starts anew. `encode` gets the bytes that are not known.
+    A task's helper, not a model: when `most` entries are reached those that were met again stay, the most frequent half at most. `encode`
+    gets the bytes that are not known.
     """
 
     WIDTH = 24
@@ -106,18 +112,39 @@ class Memo:
         self.vals = np.full(size, -1, np.int32)
         self.long: dict[bytes, int] = {}
         self.offs, self.counts, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
+        self.hits = np.zeros(1 << 12, np.int32)
         self.n = self.n_ids = 0
 
+    def trim(self) -> None:
+        """Makes room: keeps entries met more than once since the last time, the most frequent ones first."""
+        slots = np.flatnonzero(self.vals >= 0)
+        hits = self.hits[self.vals[slots]]
+        often = np.argsort(-hits, kind="stable")[: self.most // 2]
+        slots, hits = slots[often][hits[often] > 1], hits[often][hits[often] > 1]
+        k, lens, entries = self.keys[:, slots], self.lens[slots].astype(np.int64), self.vals[slots]
+        counts, ids = self.counts[entries], self.spread(entries)[0]
+        self.clear()
+        vals = self.append(counts, ids).astype(np.int32)
+        self.hits[: self.n] = hits // 2
+        if len(vals):
+            self.place(k, lens, (self.hashed(k, lens) & U((1 << self.bits) - 1)).astype(np.int64), vals)
+
+    @staticmethod
+    def hashed(k: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        return mix((k[0] * M1) ^ (k[1] * M2 + M3) ^ (k[2] * M3 + M4) ^ (lens.astype(np.uint64) * M4))
+
     @staticmethod
     def room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
     def add(self, found: list[list[int]]) -> np.ndarray:
         """Entry numbers of new encodings."""
-        counts = np.array([len(x) for x in found], np.int32)
-        ids = np.array([i for x in found for i in x], np.int32)
-        n = self.n + len(found)
-        self.offs, self.counts, self.ids = self.room(self.offs, n), self.room(self.counts, n), self.room(self.ids, self.n_ids + len(ids))
+        return self.append(np.array([len(x) for x in found], np.int32), np.array([i for x in found for i in x], np.int32))
+
+    def append(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        n = self.n + len(counts)
+        self.offs, self.counts, self.hits = self.room(self.offs, n), self.room(self.counts, n), self.room(self.hits, n)
+        self.ids = self.room(self.ids, self.n_ids + len(ids))
         self.counts[self.n : n] = counts
         self.offs[self.n : n] = self.n_ids + np.cumsum(counts) - counts
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
@@ -143,7 +170,7 @@ class Memo:
     def entries(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry number of each pre-token."""
         if self.n - len(self.long) > self.most or len(self.long) > self.most // 6:
-            self.clear()
+            self.trim()
         out = np.full(len(begins), -1, np.int32)
         lens = ends - begins
         mask = U((1 << self.bits) - 1)
@@ -152,8 +179,7 @@ class Memo:
             win, size = windows8(buf), lens[short]
             b = begins[short]
             k = np.stack([win[b] & KEEP[np.minimum(size, 8)], win[b + 8] & KEEP[np.clip(size - 8, 0, 8)], win[b + 16] & KEEP[np.clip(size - 16, 0, 8)]])
-            h = mix((k[0] * M1) ^ (k[1] * M2 + M3) ^ (k[2] * M3 + M4) ^ (size.astype(np.uint64) * M4))
-            slot = (h & mask).astype(np.int64)
+            slot = (self.hashed(k, size) & mask).astype(np.int64)
             got = np.full(len(short), -1, np.int32)
             todo, missing = np.arange(len(short)), []
             while len(todo):
@@ -184,6 +210,7 @@ class Memo:
             if fresh:
                 self.long.update(zip(fresh, self.add(self.encode(fresh)).tolist()))
             out[far] = [self.long[w] for w in words]
+        np.add.at(self.hits, out, 1)
         return out
 
     def spread(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
