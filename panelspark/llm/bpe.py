@@ -4,8 +4,12 @@ Encoding has two tiers. A minimal perfect hash over the vocabulary resolves pre-
 are merged pair by pair: the bytes form a linked list, and a heap gives the adjacent pair of lowest rank, the leftmost first. What a
 worker has resolved it keeps in a bounded memo. Decoding concatenates the tokens' bytes.
 
-Null or empty texts give no ids (n_tokens 0, both digests those of no bytes). Rows that repeat are kept. Further columns are
-ignored.
+The split is that of the vocabulary's published pattern: contractions, words and numbers with the space before them, other runs, white space. It is done for a
+batch at a time in numpy, by the classes (letter, number, white space, other) of its characters. Classes that could differ
+between Unicode versions are asked of the tiktoken library, character by character.
+
+Null or empty texts give no ids (n_tokens 0, both digests those of no bytes). Very long texts are encoded as a whole. Rows that repeat are
+kept. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import M1, M2, M4, U, chunks, flat, hash_ranges, mix, texts_of
-from .pretokens import Memo, split
+from .pretokens import BLANK, LETTER, NUMBER, OTHER, Memo, split
 
 
 class PerfectHash:
@@ -91,6 +95,11 @@ class Bpe:
         #: (left id, right id) as one number -> id of the two joined; a pair may be cut from a token at any place.
         self.pairs = {ranks[k[:c]] << 20 | ranks[k[c:]]: i for k, i in ranks.items() for c in range(1, len(k)) if k[:c] in ranks and k[c:] in ranks}
         self.memo = Memo(self.encode_words)
+        import tiktoken
+
+        single = {bytes([b]): b for b in range(256)}
+        self.probes = [(kind, tiktoken.Encoding("probe", pat_str=p, mergeable_ranks=single, special_tokens={})) for kind, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s"))]
+        self.class_of: dict[int, int] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token: the adjacent pair of lowest rank is joined first, the leftmost of equals."""
@@ -115,26 +124,23 @@ class Bpe:
                 heappush(heap, r << 32 | p)
         return [i for i in ids if i >= 0]
 
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """The classes of code points by the tables of the tiktoken library: which of three expressions finds the character."""
+        for c in set(points.tolist()) - self.class_of.keys():
+            self.class_of[c] = next((kind for kind, probe in self.probes if probe.encode_ordinary(chr(c))), OTHER)
+        return np.array([self.class_of[c] for c in points.tolist()], np.uint8)
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         slots = self.hash.slots(words)
         ids = self.slot_id[slots]
         return [[i] if s >= 0 else self.merge(w) for s, i, w in zip(slots.tolist(), ids.tolist(), words)]
 
-    def encode_batch(self, texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the place of each text's first id (one more at the end)."""
         buf, offsets = flat(texts)
-        begins, ends, first, unsure = split(buf, offsets, "spaced")
+        begins, ends, first, _ = split(buf, offsets, "spaced", self.classes)
         ids, place = self.memo.spread(self.memo.entries(buf, begins, ends))
-        place = place[first]
-        if not len(unsure):
-            return ids, place
-        import regex
-
-        lists = np.split(ids, place[1:-1])
-        for i in unsure.tolist():
-            words = [w.encode("utf-8") for w in regex.findall(pattern, str(texts[i]))]
-            lists[i] = np.array([x for w in self.encode_words(words) for x in w], np.int64)
-        return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return ids, place[first]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -146,13 +152,13 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array<int>): no shuffle, each batch on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in chunks(batches):
-            ids, place = coder.encode_batch(batch.column("text"), pattern)
+            ids, place = coder.encode_batch(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -169,14 +175,14 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text, then decodes its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         text, piece = coder.text.__getitem__, coder.bytes.__getitem__
         for batch in chunks(batches):
-            ids, place = coder.encode_batch(batch.column("text"), pattern)
+            ids, place = coder.encode_batch(batch.column("text"))
             ids, cuts = ids.tolist(), place.tolist()
             rows = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, extract, jaccard, language_model, licenses, packing, quality, token_store, toxicity, vectors
 from .common import shared_path
+from .sql import ORACLE_SQL  # noqa: F401  (of those queries that SQL can express)
 
 
 def tokenizer_file(name: str) -> str:
@@ -23,12 +24,6 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def split_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +35,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +85,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), folds=5)
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 returns but for the method's own labels and score."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 returns but for the classifier's verdict."""
+    return quality.score(table(spark, sf_dir, "documents"), None, QUALITY_THRESHOLD).drop("probability", "kept")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 returns but for the model's score."""
+    return op10_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+    "license_base": license_base,
+    "quality_base": quality_base,
+    "lm_base": lm_base,
+}
\ No newline at end of file
