@@ -6,7 +6,8 @@ fits in a dictionary page, so an id takes about 2 bytes); the numbers beside the
 Row groups are small and pages have a bounded number of rows; Parquet's page indexes on the sorted doc_id let a reader open
 the pages of a few documents, and column chunks let it read lengths without tokens.
 
-Null or empty texts give the end id alone. Rows that repeat a doc_id are kept, ordered by their text. A null doc_id sorts first. An
+Null or empty texts give the end id alone. Rows that repeat a doc_id are kept, in the order of xxhash64 of their text. A null doc_id sorts first.
+Very long texts are rows like others. Special strings of the vocabulary in a text are read as the library reads them by default. An
 empty table gives an empty store. Further columns of the input are ignored.
 """
 
@@ -31,8 +32,8 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start",
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
     """Encodes all texts and writes the store.
 
-    One shuffle: the texts are dealt out by ranges of doc_id, so that each task writes a file whose documents follow those of the
-    file before. A range is a run of documents, whatever their source.
+    One shuffle: the texts are dealt out by ranges of doc_id and a hash of the text, so that each task writes a file whose documents follow
+    those of the file before. A range is a run of documents, whatever their source; a doc_id with very many texts has several.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +46,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, row_grou
 
     (
         texts_of(docs)
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "h")
+        .sortWithinPartitions("doc_id", "h")
+        .drop("h")
         .mapInArrow(encode, SCHEMA)
         .write.option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group_bytes)
