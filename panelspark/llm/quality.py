@@ -154,6 +154,8 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def calibrated(z: np.ndarray, t: np.ndarray, share: float) -> tuple[float, float]:
     """Slope (never negative: a higher margin is never a lower probability) and shift that make margins probabilities; share: of label 1 in use."""
+    if not len(t):
+        return 1.0, 0.0
     odds = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
     z0, z1 = 1.0, 0.0
     for _ in range(300):  # Newton steps, damped
@@ -166,14 +168,13 @@ def calibrated(z: np.ndarray, t: np.ndarray, share: float) -> tuple[float, float
     return float(z0), float(z1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 250, decay: float = 1e-5) -> Model:
-    """Logistic regression by accelerated gradient, then calibration on every fifth row, which the fit doesn't see.
+def fit(a: np.ndarray, b: np.ndarray, apart: np.ndarray, kept: np.ndarray, share: float, rounds: int = 250, decay: float = 1e-5) -> Model:
+    """Logistic regression by accelerated gradient on rows `a` with labels `b`, then calibration on rows `apart` with labels `kept`, which the fit doesn't see.
 
-    share: of rows with label 1 where the model is to be used.
+    share: of rows with label 1 where the model is to be used. `a` is scaled in place: there is one copy of the rows.
     """
-    apart = np.arange(len(y)) % 5 == 4
-    a, b = x[~apart], y[~apart]
-    scale = 1 / (a.std(0) + 2e-4)  # common buckets don't drown rare ones
+    spread = np.einsum("ij,ij->j", a, a) / len(a) - a.mean(0) ** 2
+    scale = (1 / (np.sqrt(np.maximum(spread, 0)) + 2e-4)).astype(np.float32)  # common buckets don't drown rare ones
     a *= scale
     w = v = np.zeros(a.shape[1], np.float32)
     c = u = 0.0
@@ -185,7 +186,7 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 250, decay: fl
         v, u = (new + m * (new - w)).astype(np.float32), new_c + m * (new_c - c)
         w, c = new, new_c
     weights = (w * scale).astype(np.float32)
-    slope, shift = calibrated((x[apart] @ weights + c).astype(np.float64), y[apart], share)
+    slope, shift = calibrated((apart @ weights + c).astype(np.float64), kept, share)
     return Model(weights.astype(np.float64).reshape(FAMILIES, BUCKETS), float(c), slope, shift)
 
 
@@ -215,12 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
         ids = np.sort(rows["doc_id"].to_numpy())
         place = np.empty(len(ids), np.int64)
         place[np.argsort(hash_ranges(np.frombuffer(ids.astype("<i8").tobytes() + b"\0" * 32, np.uint8), 8 * np.arange(len(ids)), np.full(len(ids), 8)))] = np.arange(len(ids))
-        x, y = np.zeros((len(ids), FAMILIES * BUCKETS), np.float32), np.zeros(len(ids), np.float32)
+        apart = np.arange(len(ids)) % 5 == 4  # every fifth is kept for the calibration
+        x = [np.zeros((int(n), FAMILIES * BUCKETS), np.float32) for n in ((~apart).sum(), apart.sum())]
+        y = [np.zeros(len(v), np.float32) for v in x]
+        row = np.where(apart, np.cumsum(apart), np.cumsum(~apart)) - 1
         for batch in rows.to_batches():
             for doc, label, at, value in zip(batch["doc_id"].to_pylist(), batch["quality"].to_pylist(), batch["at"], batch["value"]):
                 i = place[np.searchsorted(ids, doc)]
-                x[i, at.values.to_numpy()], y[i] = value.values.to_numpy(), label
-        model = fit(x, y, share)
+                x[int(apart[i])][row[i], at.values.to_numpy()], y[int(apart[i])][row[i]] = value.values.to_numpy(), label
+        del rows
+        model = fit(x[0], y[0], x[1], y[1], share)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.ravel()], pa.list_(pa.float64())), *(pa.array([v], pa.float64()) for v in (model.bias, model.slope, model.shift))], names=["weights", "bias", "slope", "shift"])
 
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
