@@ -4,12 +4,14 @@ The keyword prefilter looks for each keyword in a copy of a whole batch in which
 space; only texts that hold it meet the rules behind it. A detection
 that lies within the span of one of higher priority (of a longer one, or an earlier rule's, if priorities are equal) is suppressed.
 
-Null or empty texts have no words, no places and the score 0. Rows that repeat are scanned each. Further columns are ignored.
+Null or empty texts have no words, no places and the score 0. Very long texts are scanned as a whole. Of equal spans of one priority the
+earlier rule's stands. Rows that repeat are scanned each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,10 +55,20 @@ def compiled() -> tuple[dict[bytes, list[tuple[int, Rule]]], list[tuple[bytes, s
 
 def settle(found: list[Detection]) -> list[Detection]:
     """Detections that aren't contained in one that comes before them in priority, length and rule order."""
+    starts = sorted({d.start for d in found})
+    furthest = [-1] * (len(starts) + 1)  # a Fenwick tree: the furthest end of what begins no later
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d.rule.priority, d.start - d.end, d.order, d.start)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        at = i = bisect_right(starts, d.start)
+        reach = -1
+        while i:
+            reach, i = max(reach, furthest[i]), i & (i - 1)
+        if reach >= d.end:
+            continue
+        kept.append(d)
+        while at <= len(starts):
+            furthest[at] = max(furthest[at], d.end)
+            at += at & -at
     return sorted(kept)
 
 
