@@ -8,7 +8,8 @@ on the whole vectors. A pair that meets in several blocks counts in the first. T
 
 Equal vectors are one vector with a weight. Leaves with very many vectors are dealt into parts of bounded size, which
 visitors meet one by one. Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
-nothing; so does a null vec_id. Rows that repeat are copies and link with each other. An empty table gives no rows.
+nothing; so does a null vec_id. Rows that repeat are copies and link with each other. A cosine of exactly the bound is a link. An empty
+table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ class Tree:
         for level in range(depth):
             first = (1 << level) - 1
             for i in range(first, 2 * first + 1):
-                some = x[node == i] if level < 10 else x[:0]
-                if len(some) < 8:
+                some = x[node == i]
+                if len(some) < 2:
                     some = x
-                dims[i] = int(np.argmax(some.var(0))) if level < 10 else level % x.shape[1]
+                dims[i] = int(np.argmax(some.var(0)))
                 cuts[i] = np.median(some[:, dims[i]])
             node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > cuts[node])
         return Tree(dims, cuts, depth)
@@ -70,6 +71,12 @@ class Tree:
         return rows, node - ((1 << self.depth) - 1), home
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; very large and very small components are no exception."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links a-b."""
     label = np.arange(n)
@@ -88,15 +95,18 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """vectors (id, weight, embedding): per id the weight of the others linked with it (id, links), and spanning links (a, b)."""
-    n = vectors.count()
-    sample = np.stack([r for r in vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("embedding").toArrow()["embedding"].to_numpy(zero_copy_only=False)]).astype(float)
+    n, kind = vectors.count(), vectors.schema["embedding"].dataType.elementType.simpleString()
+    first = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))  # about SAMPLE rows, whatever n
+    drawn = vectors.filter(first).select("embedding").limit(2 * SAMPLE).toArrow()["embedding"].to_numpy(zero_copy_only=False)
+    sample = np.stack(list(drawn) or list(vectors.select("embedding").limit(1).toArrow()["embedding"].to_numpy(zero_copy_only=False))).astype(float)
     size = sample.shape[1]
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
     cut = [list(c) for c in np.array_split(np.arange(size), min(blocks, size))]
     budget = 2 - 2 * cosine
     shares = [budget * len(c) / size * (1 + 1e-9) + 1e-12 for c in cut]
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True) @ turn
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+    unit = units(sample) @ turn
+    # leaves of LEAF vectors, as long as the sample tells them apart; beyond that leaves have several parts
+    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / LEAF))), int(np.log2(max(len(sample), 16) / 16))))
     trees = [Tree.learn(unit[:, c], depth) for c in cut]
     plan = vectors.sparkSession.sparkContext.broadcast((turn, trees))  # one number a leaf; the sample is bounded
 
@@ -106,7 +116,7 @@ def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, size).astype(float)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) @ turn
+                x = units(x) @ turn
                 for b, c in enumerate(cut):
                     rows, leaf, home = trees[b].visits(x[:, c], shares[b] + 1e-7)
                     own = np.empty(batch.num_rows, np.int64)
@@ -116,7 +126,7 @@ def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5
                     at = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaf), pa.array(~home), *(batch.column(k).take(at) for k in ("id", "weight", "embedding"))], names=["block", "leaf", "visitor", "id", "weight", "embedding"])
 
-    placed = vectors.mapInArrow(place, "block int, leaf long, visitor boolean, id long, weight long, embedding array<float>")
+    placed = vectors.mapInArrow(place, "block int, leaf long, visitor boolean, id long, weight long, embedding array<" + kind + ">")
     crowd = stored(placed.filter("not visitor").groupBy("block", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).cast("int").alias("parts")).filter("parts > 1"), "vec-crowds")
     if not crowd.isEmpty():  # a leaf's parts are numbered; those who live there go to one, and visit the ones before; visitors go to all
         placed = placed.join(crowd, ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -137,6 +147,7 @@ def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5
 
         def unpack(rows: pa.RecordBatch) -> tuple:
             e = rows.column("embedding").flatten().to_numpy().reshape(rows.num_rows, size).astype(float)
+            e = e / np.abs(e).max(axis=1, keepdims=True)
             return rows.column("id").to_numpy(), rows.column("weight").to_numpy(), e, np.linalg.norm(e, axis=1)
 
         def pairs(p: tuple, q: tuple, block: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +231,8 @@ def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5
 
 def near_duplicates(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of a table with vec_id and embedding."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    single = table.schema["embedding"].dataType.simpleString() == "array<float>"  # other numbers are doubles
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     size = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("s")).count().orderBy(F.desc("count"), "s").first()
     size = size[0] if size else 0
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == size)
