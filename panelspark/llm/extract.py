@@ -4,12 +4,14 @@ A page is read as its sequence of leaf blocks. Each block becomes a vector: lear
 few measures. A bidirectional LSTM in numpy reads the sequence both ways, so each block is classified with the whole
 page in view; what it takes for content is the text.
 
-There are no labelled pages, so training makes its own from a bounded sample of the table: elements that say what they are (article, main,
-nav, footer, aside, form, adverts, comments, ...) give the labels, and each sampled page is also rebuilt with other containers
-and with boilerplate of other kinds around and inside the article, so that the labeller knows more layouts than the sample has.
-
-Null or empty html, and pages without content, give an empty text. Rows that repeat are read each; null page_id or url are kept as
-they are. Further columns are ignored. Without any page to learn from, the rules that give the labels decide.
+There are no labelled pages, so training makes its own from a bounded sample of the table, in one task: elements that say what they are
+(article, main, nav, footer, aside, form, adverts, comments, ...) give the labels, and each sampled page is also rebuilt with other
+containers and with boilerplate of other kinds around and inside the article, so that the labeller knows more layouts than the sample
+has. Sampled pages are learned from as a whole; long ones as windows that follow one another.
+
+Null or empty html, and pages without content, give an empty text. Very long pages are read as a whole. Rows that repeat are read each; null
+page_id or url are kept as they are. A probability of exactly one half is content. An empty table gives no rows. Further columns are
+ignored. Without any page to learn from, the rules that give the labels decide.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, chunks, flat, hash_ranges, word_ranges
+from .common import LOWER, WORD, chunks, flat, gathered, hash_ranges, word_ranges
 from .html_blocks import PATHS, Block, blocks, hashed
 
 WORDS, PATH_DIM, WORD_DIM, HIDDEN, MEASURES = 1 << 12, 16, 8, 20, 6
 IN = PATH_DIM + WORD_DIM + MEASURES
+#: Blocks of a window that a long page is learned from.
+WINDOW = 300
 #: Parts of a path that mark what isn't the article, wherever they stand, and those that mark the article.
-BAD = "nav menu navbar breadcrumb breadcrumbs footer aside sidebar form button dialog ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice notification alert newsletter subscribe subscription signup login related recommended share sharing social comment comments respond reply replies disqus discussion widget toolbar masthead popup modal hidden pagination pager tags meta byline skip contentinfo navigation complementary search copyright legal".split()
+BAD = "nav menu navbar breadcrumb breadcrumbs footer aside sidebar form button dialog ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice notification alert newsletter subscribe subscription signup login related recommended share sharing social comment comments respond reply replies disqus discussion widget toolbar masthead popup modal hidden pagination pager tags skip contentinfo navigation complementary search copyright legal".split()
 GOOD = "article main content post entry story body articlebody text".split()
 
 
@@ -191,6 +195,10 @@ CONTAINERS = [("article",), ("main",), ("main", "article"), ("div.content",), ("
 AROUND = [("before", "header"), ("before", "header.site-header", "div"), ("before", "div#header"), ("before", "nav"), ("before", "div.menu", "ul", "li"), ("before", "div.breadcrumbs"), ("before", "div.cookie-notice"), ("before", "div.alert-banner"), ("before", "form.search"), ("before", "div.masthead"), ("after", "footer"), ("after", "div#footer"), ("after", "aside"), ("after", "div.sidebar", "div.widget"), ("after", "section.comments", "div.comment"), ("after", "div#comments", "ol", "li"), ("after", "div.related", "ul", "li"), ("after", "form.newsletter"), ("after", "div.ad"), ("after", "div.social-share"), ("after", "div.copyright"), ("inside", "aside"), ("inside", "div.ad"), ("inside", "div.advertisement"), ("inside", "nav"), ("inside", "form"), ("inside", "section.comments", "div.comment"), ("inside", "div.newsletter-signup"), ("inside", "div.share-buttons"), ("inside", "div.promo"), ("inside", "footer")]
 
 
+#: What stands around list items and cells of an article.
+WITHIN = {"li": ("ul",), "td": ("table", "tr"), "figcaption": ("figure",)}
+
+
 def path_of(chain: tuple[str, ...], last: str) -> tuple[str, ...]:
     import re
 
@@ -208,7 +216,7 @@ def rebuilt(page: list[Block], label: np.ndarray, rng: np.random.Generator, pool
     body = []
     for k, b in enumerate(b for b, y in zip(page, label) if y):
         last = "h1" if k == 0 else inner[rng.integers(len(inner))]
-        more = ("header",) if k == 0 and rng.random() < 0.2 else ()
+        more = ("header",) if k == 0 and rng.random() < 0.2 else WITHIN.get(last, ())
         names = path_of((*chain, *more), last)
         body.append((b._replace(path=hashed(names, last), names=names, linked=float(rng.random() * 0.3 * (rng.random() < 0.2))), 1))
     before, after = [], []
@@ -232,20 +240,38 @@ def rebuilt(page: list[Block], label: np.ndarray, rng: np.random.Generator, pool
     return [b for b, _ in rows], np.array([y for _, y in rows], float)
 
 
-def train(pages: DataFrame, max_pages: int = 400, seed: int = 11) -> Labeller | None:
-    """max_pages: the most pages of the table that the labeller learns from, in the order of a hash of url and page_id."""
-    some = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"))
-    last = some.select("h").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]  # only hashes are sorted
-    rows = some.filter(F.col("h") <= last).select("html").limit(max_pages).collect() if last is not None else []
-    seen = [blocks(r[0]) for r in rows]
-    seen = [p[:300] for p in seen if p]
+def learned(pages: list[str], seed: int) -> Labeller | None:
+    seen = [p for p in map(blocks, pages) if p]
     if not seen:
         return None
     labels = [np.array([is_content(b.names) for b in p], float) for p in seen]
     rng = np.random.default_rng(seed)
-    pool = [b.text for p in seen for b in p if len(b.text) < 600][:5000] or ["text"]
-    more = [rebuilt(p, y, rng, pool) for p, y in zip(seen, labels) if y.any() for _ in range(2)]
-    return fit(seen + [p for p, _ in more], labels + [y for _, y in more])
+    pool = [b.text for p in seen for b in p]
+    both = list(zip(seen, labels)) + [rebuilt(p, y, rng, pool) for p, y in zip(seen, labels) if y.any() for _ in range(2)]
+    cut = [(p[i : i + WINDOW], y[i : i + WINDOW]) for p, y in both for i in range(0, len(p), WINDOW)]
+    return fit([p for p, _ in cut], [y for _, y in cut])
+
+
+def train(pages: DataFrame, max_pages: int = 400, seed: int = 11) -> Labeller | None:
+    """max_pages: the most pages of the table that the labeller learns from, in the order of a hash of url and page_id.
+
+    They meet in one task, which fits the labeller; the driver gets weights alone.
+    """
+    some = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"))
+    last = some.select("h").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]  # only hashes are sorted
+    if last is None:
+        return None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        if rows is None:
+            return
+        net = learned(rows.sort_by([("h", "ascending"), ("html", "ascending")])["html"].to_pylist()[:max_pages], seed)
+        w = net.w if net else {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.string()), pa.array([list(v.shape) for v in w.values()], pa.list_(pa.int64())), pa.array([v.ravel() for v in w.values()], pa.list_(pa.float64()))], names=["name", "shape", "values"])
+
+    found = some.filter(F.col("h") <= last).limit(2 * max_pages).repartition(1).mapInArrow(learn, "name string, shape array<long>, values array<double>").collect()
+    return Labeller({r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in found}) if found else None
 
 
 def extract(pages: DataFrame, net: Labeller | None) -> DataFrame:

@@ -8,12 +8,12 @@ import zlib
 from functools import lru_cache
 from typing import NamedTuple
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content isn't text of the page.
-RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "object", "canvas", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "semantics"}
 #: An open element of these ends where another of its group begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACED = {"br", "hr", "img"}
@@ -84,11 +84,12 @@ def blocks(page: str) -> list[Block]:
             break
         add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        slash, tag, attributes = m.groups()[:3] if m[2] else m.groups()[3:]  # the latter: a quote that is never closed
+        if tag is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing = tag.lower(), bool(slash)
         if tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -125,6 +126,6 @@ def blocks(page: str) -> list[Block]:
             ends = ENDS.get(tag, ())
             if stack and stack[-1][0] in ends:
                 stack.pop()
-        stack.append((tag, parts(tag, m[3])))
+        stack.append((tag, parts(tag, attributes)))
     flush()
     return out
