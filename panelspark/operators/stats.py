@@ -145,15 +145,19 @@ def cluster_bootstrap(pairs: DataFrame, by: list[str], cluster: str, actual: str
     y = F.col(actual)
     ea, eb, et = y - F.col(a), y - F.col(b), y - F.col(trend)
     parts = {"__n": F.count("*"), "__sa": F.sum(ea * ea), "__sb": F.sum(eb * eb), "__aa": F.sum(F.abs(ea)), "__ab": F.sum(F.abs(eb)), "__st": F.sum(et * et)}
-    sums = pairs.groupBy(*by, cluster).agg(*[v.alias(k) for k, v in parts.items()])
-    sums = sums.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1)
-    n, sa, sb, aa, ab, st = (F.sum(k) for k in parts)
-    values = {"rmse_gap": F.sqrt(sa / n) - F.sqrt(sb / n), "mae_gap": aa / n - ab / n, "skill_a": 1 - F.try_divide(sa, st), "skill_b": 1 - F.try_divide(sb, st)}
-    stats = [v.alias(k) for k, v in values.items()]
-    cells = sums.groupBy(*by).agg(*stats, F.count("*").alias("n_clusters"))
-    slots = cells.select(*by, "n_clusters", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n_clusters").cast("int"))))
-    drawn = portable_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), F.col("slot").cast("string")) % F.col("n_clusters")
-    draws = slots.withColumn("__i", drawn).join(sums, [*by, "__i"]).groupBy(*by, "draw").agg(*stats)
+    sums = pairs.groupBy(*by, cluster).agg(*[v.cast("double").alias(k) for k, v in parts.items()])
+    cells = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(cluster, *parts))).alias("__c")).withColumn("n_clusters", F.size("__c").cast("bigint"))  # a cell's clusters: a few dozen
+
+    def added(rows: DataFrame, clusters: str) -> DataFrame:
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in parts])
+        rows = rows.withColumn("__t", F.aggregate(clusters, zero, lambda t, x: F.struct(*[(t[k] + x[k]).alias(k) for k in parts])))
+        n, sa, sb, aa, ab, st = (F.col(f"__t.{k}") for k in parts)
+        return rows.withColumns({"rmse_gap": F.sqrt(sa / n) - F.sqrt(sb / n), "mae_gap": aa / n - ab / n, "skill_a": 1 - F.try_divide(sa, st), "skill_b": 1 - F.try_divide(sb, st)})
+
+    values = ["rmse_gap", "mae_gap", "skill_a", "skill_b"]
+    pick = lambda slot: F.get("__c", (portable_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), slot.cast("string")) % F.col("n_clusters")).cast("int"))
+    draws = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("__p", F.transform(F.sequence(F.lit(1), F.col("n_clusters").cast("int")), pick))
+    draws, cells = added(draws, "__p"), added(cells, "__c")
     bounds = draws.groupBy(*by).agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(f"__q_{k}") for k in values])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(k).alias("point"), F.col(f"__q_{k}").alias("q")) for k in values])).alias("x")
     few = F.col("n_clusters") < 2
