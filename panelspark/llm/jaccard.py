@@ -39,7 +39,7 @@ BLOCK, BLOCK_TOKENS, QUERIES = 128, 400_000, 1024
 #: Holders of a common shingle that are dealt out together, about.
 RUN_OF_HOLDERS = 4096
 #: A set follows a leader that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
-PART, MARKS = 6, 1 << 24
+PART, MARKS = 4, 1 << 24
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
 LATE = 1 << 19
 #: Shingles of one run of documents in which repetition is counted, and the least repetition that counts.
