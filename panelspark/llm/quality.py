@@ -1,12 +1,12 @@
 """Quality rules: counts of words, symbols, repeated lines and repeated passages, and a calibrated classifier.
 
 The classifier is a logistic regression on hashed n-grams of the whole text: one and two words, three and four characters. It is trained
-on labelled rows (a sample bounded by `max_rows`, the classes in equal parts) in one task, its probability is calibrated on a fold kept
-apart, with weights that restore the classes' shares, and documents are scored in Arrow batches against fixed thresholds.
+on labelled rows (a sample bounded by `max_rows`, the classes in equal parts) in one task, its probability is calibrated on margins of rows
+that the fit behind them hasn't seen, with weights that restore the classes' shares, and documents are scored in Arrow batches against fixed thresholds.
 
 Null or empty texts have no words and fail the base rule. Documents without a label are scored like others; labels without a document,
-with a null or repeated label are left out of training or count once each. Without labels of both classes every document that passes the
-base rule is kept. A probability of exactly the threshold keeps a document. Rows that repeat are scored each. Very long texts are counted
+with a null or repeated label are left out of training or count once each. With fewer than LEAST labelled documents of either class every document
+that passes the base rule is kept. A probability of exactly the threshold keeps a document. Rows that repeat are scored each. Very long texts are counted
 and scored as a whole. An empty table gives no rows. Further columns are ignored by `score`, and returned as they are by `keep`.
 """
 
@@ -24,6 +24,10 @@ from .common import M1, M2, M3, U, WORD, chunks, flat, gathered, hash_ranges, mi
 
 #: Hash buckets of each of the four families of n-grams.
 BUCKETS, FAMILIES = 1 << 12, 4
+#: Variance of the prior of the weights (of rows of length 1) and of the bias.
+PRIOR, BIAS_PRIOR = 100.0, 10.0
+#: Labelled rows of each class that a classifier needs; with fewer the base rules decide alone.
+LEAST = 10
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -152,42 +156,103 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrated(z: np.ndarray, t: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope (never negative: a higher margin is never a lower probability) and shift that make margins probabilities; share: of label 1 in use."""
-    if not len(t):
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def log_loss(z: np.ndarray, t: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted log loss of margins z against targets t, which may lie between 0 and 1."""
+    return float((weight * (np.logaddexp(0, z) - t * z)).sum())
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope (never negative: a higher margin is never a lower probability) and shift that make margins probabilities.
+
+    share: of label 1 in use; the classes are weighted to it. Margins are standardised, targets are smoothed by a row of each class, the slope
+    has a prior around that of the margins themselves, and a Newton step is halved until the loss falls, so it cannot run away.
+    """
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
+    if not n1 or not n0:
         return 1.0, 0.0
-    odds = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
-    z0, z1 = 1.0, 0.0
-    for _ in range(300):  # Newton steps, damped
-        p = 1 / (1 + np.exp(-np.clip(z0 * z + z1, -30, 30)))
-        r, s = odds * (p - t), odds * p * (1 - p) + 1e-6
-        grad = np.array([(r * z).mean() + 1e-3 * (z0 - 1), r.mean()])
-        hess = np.array([[(s * z * z).mean() + 1e-3, (s * z).mean()], [(s * z).mean(), s.mean()]])
-        step = np.linalg.solve(hess + 1e-4 * np.eye(2), grad)
-        z0, z1 = max(z0 - 0.5 * step[0], 1e-3), z1 - 0.5 * step[1]
-    return float(z0), float(z1)
-
-
-def fit(a: np.ndarray, b: np.ndarray, apart: np.ndarray, kept: np.ndarray, share: float, rounds: int = 250, decay: float = 1e-5) -> Model:
-    """Logistic regression by accelerated gradient on rows `a` with labels `b`, then calibration on rows `apart` with labels `kept`, which the fit doesn't see.
-
-    share: of rows with label 1 where the model is to be used. `a` is scaled in place: there is one copy of the rows.
+    centre, spread = float(z.mean()), float(z.std()) + 1e-9
+    x = (z - centre) / spread
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0)
+
+    def loss(c: np.ndarray) -> float:
+        return log_loss(c[0] * x + c[1], t, weight) + 0.5 * (c[0] - spread) ** 2 / max(spread, 1.0) ** 2
+
+    now = np.array([spread, float(np.log(share / (1 - share)))])
+    for _ in range(100):
+        p = sigmoid(now[0] * x + now[1])
+        r, s = weight * (p - t), weight * p * (1 - p)
+        grad = np.array([(r * x).sum() + (now[0] - spread) / max(spread, 1.0) ** 2, r.sum()])
+        hess = np.array([[(s * x * x).sum() + 1 / max(spread, 1.0) ** 2, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
+        step, was = np.linalg.solve(hess, grad), loss(now)
+        size = 1.0
+        while size > 1e-6 and not loss(now - size * step) < was:
+            size /= 2
+        if size <= 1e-6:
+            break
+        now = now - size * step
+    slope = max(float(now[0]), 1e-3) / spread
+    return slope, float(now[1]) - slope * centre
+
+
+def dual_fit(gram: np.ndarray, y: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """Coefficients of the rows and bias of a logistic regression whose weights have a normal prior of variance `prior`.
+
+    gram: the rows' inner products. Newton's method on the rows' coefficients, each step halved until the posterior rises: the
+    problem is strictly concave, so every machine ends at the same place.
+    """
+    k = prior * gram + BIAS_PRIOR
+    a, f, best = np.zeros(len(y)), np.zeros(len(y)), -len(y) * np.log(2)
+    for _ in range(60):
+        p = sigmoid(f)
+        root = np.sqrt(np.maximum(p * (1 - p), 1e-10))
+        b = root * root * f + y - p
+        goal = b - root * np.linalg.solve(np.eye(len(y)) + root[:, None] * k * root, root * (k @ b))
+        step, size = goal - a, 1.0
+        while size > 1e-4:
+            new = a + size * step
+            new_f = k @ new
+            value = -log_loss(new_f, y, np.ones(len(y))) - 0.5 * float(new @ new_f)
+            if value >= best:
+                break
+            size /= 2
+        if size <= 1e-4:
+            break
+        gain, best, a, f = value - best, value, new, new_f
+        if gain < 1e-9 * len(y):
+            break
+    return prior * a, BIAS_PRIOR * float(a.sum())
+
+
+def fit(a: np.ndarray, y: np.ndarray, share: float, folds: int = 4) -> Model:
+    """Logistic regression on rows `a` with labels `y`, and its calibration on margins of rows that the fit behind them hasn't seen.
+
+    share: of rows with label 1 where the model is to be used. `a` is scaled in place: there is one copy of the rows. The weights'
+    prior doesn't depend on the number of rows, so few rows move them little.
     """
     spread = np.einsum("ij,ij->j", a, a) / len(a) - a.mean(0) ** 2
     scale = (1 / (np.sqrt(np.maximum(spread, 0)) + 2e-4)).astype(np.float32)  # common buckets don't drown rare ones
+    scale /= np.float32(np.sqrt(np.einsum("ij,j,ij->i", a, scale**2, a).mean() + 1e-12))  # a row's length is about 1
     a *= scale
-    w = v = np.zeros(a.shape[1], np.float32)
-    c = u = 0.0
-    rate = 4.0 / float(np.einsum("ij,ij->i", a, a).mean())
-    for k in range(1, rounds + 1):
-        g = ((1 / (1 + np.exp(-np.clip(a @ v + u, -30, 30))) - b) / len(b)).astype(np.float32)
-        new, new_c = v - (rate * (g @ a + decay * v)).astype(np.float32), u - rate * g.sum()
-        m = (k - 1) / (k + 2)
-        v, u = (new + m * (new - w)).astype(np.float32), new_c + m * (new_c - c)
-        w, c = new, new_c
-    weights = (w * scale).astype(np.float32)
-    slope, shift = calibrated((apart @ weights + c).astype(np.float64), kept, share)
-    return Model(weights.astype(np.float64).reshape(FAMILIES, BUCKETS), float(c), slope, shift)
+    centre = a.mean(0)
+    a -= centre
+    gram = (a @ a.T).astype(np.float64)
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):  # each fold holds its part of each class
+        fold[y == label] = np.arange(int((y == label).sum())) % folds
+    margin = np.zeros(len(y))
+    for k in range(folds):
+        seen, apart = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        coef, bias = dual_fit(gram[np.ix_(seen, seen)], y[seen])
+        margin[apart] = gram[np.ix_(apart, seen)] @ coef + bias
+    slope, shift = calibrated(margin, y, share)
+    coef, bias = dual_fit(gram, y)
+    w = (coef @ a).astype(np.float64)
+    return Model((w * scale).reshape(FAMILIES, BUCKETS), float(bias - w @ centre), slope, shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | None:
@@ -197,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = dict(known.groupBy("quality").count().collect())
-    if len(counts) < 2:
+    if min(counts.get(0, 0), counts.get(1, 0)) < LEAST:
         return None
     by_hash = F.xxhash64("doc_id")
     sample = known.filter("quality = 0").orderBy(by_hash).limit(max_rows // 2).unionAll(known.filter("quality = 1").orderBy(by_hash).limit(max_rows // 2))
@@ -211,21 +276,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = gathered(batches)
-        if rows is None or len(set(rows["quality"].to_pylist())) < 2:
+        if rows is None:
             return
         ids = np.sort(rows["doc_id"].to_numpy())
         place = np.empty(len(ids), np.int64)
         place[np.argsort(hash_ranges(np.frombuffer(ids.astype("<i8").tobytes() + b"\0" * 32, np.uint8), 8 * np.arange(len(ids)), np.full(len(ids), 8)))] = np.arange(len(ids))
-        apart = np.arange(len(ids)) % 5 == 4  # every fifth is kept for the calibration
-        x = [np.zeros((int(n), FAMILIES * BUCKETS), np.float32) for n in ((~apart).sum(), apart.sum())]
-        y = [np.zeros(len(v), np.float32) for v in x]
-        row = np.where(apart, np.cumsum(apart), np.cumsum(~apart)) - 1
+        x, y = np.zeros((len(ids), FAMILIES * BUCKETS), np.float32), np.zeros(len(ids))
         for batch in rows.to_batches():
             for doc, label, at, value in zip(batch["doc_id"].to_pylist(), batch["quality"].to_pylist(), batch["at"], batch["value"]):
                 i = place[np.searchsorted(ids, doc)]
-                x[int(apart[i])][row[i], at.values.to_numpy()], y[int(apart[i])][row[i]] = value.values.to_numpy(), label
+                x[i, at.values.to_numpy()], y[i] = value.values.to_numpy(), label
         del rows
-        model = fit(x[0], y[0], x[1], y[1], share)
+        if min((y == 0).sum(), (y == 1).sum()) < LEAST:  # labels whose documents aren't there
+            return
+        model = fit(x, y, share)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.ravel()], pa.list_(pa.float64())), *(pa.array([v], pa.float64()) for v in (model.bias, model.slope, model.shift))], names=["weights", "bias", "slope", "shift"])
 
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))

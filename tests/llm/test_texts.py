@@ -1,9 +1,14 @@
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import jaccard, language_model, licenses, quality, toxicity
 
@@ -142,6 +147,50 @@ def test_quality_tells_apart_what_it_has_not_seen(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_with_few_labels(spark):
+    """sf0.01 has 27 bad documents that pass the base rules: the classifier decides, keeps the good, and doesn't depend on the rows' order."""
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    verdicts = []
+    for rows in (d, d.repartition(7).orderBy(F.desc("doc_id"))):
+        scored = quality.score(rows, quality.train(rows, y), 0.2).join(y, "doc_id").filter("not base_failed").select("doc_id", "kept", "quality").collect()
+        verdicts.append({r.doc_id: r.kept for r in scored})
+    good, bad = [r.kept for r in scored if r.quality == 1], [r.kept for r in scored if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.3 * len(bad) and len(bad) > 20
+    assert verdicts[0] == verdicts[1]
+
+
+def test_quality_with_too_few_labels_leaves_the_base_rules(spark, docs, labels):
+    few = labels.filter("quality = 1").unionAll(labels.filter("quality = 0").limit(quality.LEAST - 1))
+    assert quality.train(docs, few) is None
+    nowhere = labels.filter("quality = 1").unionAll(spark.range(10**9, 10**9 + 50).selectExpr("id AS doc_id", "0 AS quality", "0 AS toxic"))
+    assert quality.train(docs, nowhere) is None
+    kept = quality.score(docs, None, 0.2).collect()
+    assert all(r.kept != r.base_failed for r in kept)
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 300.0])
+def test_calibration_of_margins_of_any_scale(scale):
+    rng = np.random.default_rng(1)
+    y = (np.arange(400) % 10 != 0).astype(float)
+    z = scale * (2 * y - 1 + rng.normal(size=400))
+    slope, shift = quality.calibrated(z, y, 0.9)
+    p = quality.sigmoid(slope * z + shift)
+    assert slope > 0 and abs(p.mean() - 0.9) < 0.03 and p[y == 1].mean() > p[y == 0].mean() + 0.3
+    one_sided = quality.calibrated(np.full(20, 5.0 * scale), np.append(np.ones(19), 0), 0.9)
+    assert np.isfinite(one_sided).all() and 0.5 < quality.sigmoid(one_sided[0] * 5 * scale + one_sided[1]) < 0.99
+
+
+def test_quality_fit_is_alike_on_other_kernels(tmp_path):
+    """The fit is strictly concave and ends at its optimum, so kernels of the linear algebra library move verdicts of no row."""
+    code = "import numpy as np; from panelspark.llm import quality as q; r = np.random.default_rng(3); n = 60; x = r.random((n, q.FAMILIES * q.BUCKETS)).astype(np.float32) ** 8; y = (np.arange(n) % 2).astype(float); x[y == 1, :50] += 0.3; m = q.fit(x.copy(), y, 0.8); np.save(r'{}', q.sigmoid(m.slope * (x @ m.weights.ravel() + m.bias) + m.shift))"
+    found = []
+    for kernel in ("Nehalem", "Sandybridge"):
+        at = tmp_path / f"{kernel}.npy"
+        subprocess.run([sys.executable, "-c", code.format(at)], check=True, env=os.environ | {"OPENBLAS_CORETYPE": kernel})
+        found.append(np.load(at))
+    assert np.abs(found[0] - found[1]).max() < 1e-3
+
+
 def test_toxicity(spark, odd_docs, no_docs, labels):
     """Held-out accuracy on the table with enough labels: sf0.1 has about 300 toxic documents to learn from, sf0.01 about 30."""
     d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
