@@ -96,17 +96,24 @@ def asof(left: DataFrame, right: DataFrame, at: str, when: str, by: list[str], t
     return out.select(*cols, *[F.col(f"__r.{c}").alias(c) for c in take])
 
 
-def contained_periods(outer: DataFrame, inner: DataFrame, days: int = 8) -> DataFrame:
+def contained_periods(outer: DataFrame, inner: DataFrame, days: int = 8, width: int | None = None) -> DataFrame:
     """Inner periods that lie within each outer one and are available by its forecast: n_found, n_expected, complete.
 
-    outer: period, start, end, forecast; inner: i_start, i_end, i_available. The range join gets an equal key, the year.
+    outer: period, start, end, forecast; inner: i_start, i_end, i_available. The timeline is cut into bins of `width` days (else of the mean length of the outer
+    periods). An inner period is in the bin of its start alone, an outer one in every bin that it touches: each contained pair meets once,
+    and a bin holds few pairs that aren't hits. Inner periods that are equal, and outer ones of equal dates, count as one row with a number.
     """
-    x = outer.withColumn("__y", F.explode(F.sequence(F.year("start"), F.year(F.date_sub("end", 1)))))
-    y = inner.withColumn("__y", F.year("i_start"))
+    if width is None:
+        mean = outer.agg(F.avg(F.date_diff("end", "start"))).first()[0]
+        width = max(1, int(mean or 1))
+    day = lambda c: F.unix_date(F.to_date(c))
+    span = outer.select("start", "end", "forecast").distinct().filter("end > start")
+    x = span.withColumn("__bin", F.explode(F.sequence(F.floor(day("start") / width), F.floor(day("end") / width))))
+    y = inner.groupBy("i_start", "i_end", "i_available").agg(F.count("*").alias("__n")).withColumn("__bin", F.floor(day("i_start") / width))
     hit = (F.col("i_start") >= F.col("start")) & (F.col("i_end") <= F.col("end")) & (F.col("i_available") <= F.col("forecast"))
-    found = x.join(y, "__y").filter(hit).groupBy("period").agg(F.count("*").alias("n_found"))
+    found = x.join(y, "__bin").filter(hit).groupBy("start", "end", "forecast").agg(F.sum("__n").alias("n_found"))
     expected = F.ceil(F.date_diff("end", "start") / days)
-    out = outer.join(found, "period", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0))).withColumn("n_expected", expected)
+    out = outer.join(found, ["start", "end", "forecast"], "left").withColumn("n_found", F.coalesce("n_found", F.lit(0))).withColumn("n_expected", expected)
     return out.withColumn("complete", F.col("n_found") == F.col("n_expected"))
 
 

@@ -123,14 +123,15 @@ def class_counts(labels: DataFrame, by: list[str], label: str, sampled: DataFram
 
 
 def dashboard_kpis(rec: DataFrame, by: list[str], unit: str) -> DataFrame:
-    """Counts, errors and exact quartiles of the error by report group (few, each of any size)."""
-    from .quantiles import exact_quantiles
+    """Counts, errors and exact quartiles of the error by report group: any number of groups of any size."""
+    from .prefix import grouped_quantiles
 
-    e, key = F.col("predicted") - F.col("actual"), F.to_json(F.struct(*by))
-    found = exact_quantiles(rec.select(key.alias("k"), e.alias("e")), "k", "e", [0.25, 0.5, 0.75])
-    quartiles = rec.sparkSession.createDataFrame([(k, *q) for k, q in found.items()], "__k string, q25 double, q50 double, q75 double")
+    e = F.col("predicted") - F.col("actual")
+    quartiles = grouped_quantiles(rec.select(*by, e.alias("__e")), by, F.col("__e"), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     out = rec.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(unit).alias("n_units"), F.avg("actual").alias("mean_actual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    return out.withColumn("__k", key).join(F.broadcast(quartiles), "__k", "left").drop("__k")  # a row a report group
+    right = quartiles.withColumnsRenamed({c: f"__key_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in by])
+    return out.join(right, same, "left").drop(*[f"__key_{c}" for c in by])
 
 
 def tree_curve(m: DataFrame, trees: str, value: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .windows import avg_rank, portable_draw
+from .prefix import tied_ranks
+from .windows import portable_draw
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -88,8 +89,10 @@ def paired_t(pairs: DataFrame, by: list[str], a: str, b: str, least: int = 3) ->
 def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Signed ranks of the differences that aren't 0: w_plus, w_minus, w, n, z (normal, with tie correction), p (exact for few rows without ties)."""
     d = pairs.withColumn("__d", F.col(a) - F.col(b)).filter("__d <> 0")
-    d = avg_rank(d, by, F.abs("__d"), "__r").withColumn("__t", F.count("*").over(Window.partitionBy(*by, F.abs("__d"))))
-    out = d.groupBy(*by).agg(F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
+    ups = {"__up": (F.col("__d") > 0).cast("long")}
+    ranks = tied_ranks(d, by, F.abs("__d"), "__r", ups)  # a row for each size of a difference
+    up, k = F.col("__up"), F.col("n").cast("double")
+    out = ranks.groupBy(*by).agg(F.sum(F.col("__r") * up).alias("w_plus"), F.sum(F.col("__r") * (k - up)).alias("w_minus"), F.sum("n").alias("n"), F.sum(k * k * k - k).alias("__ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48
     out = out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(var)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import tied_ranks
+
 
 def by(keys: list[str], *order: Column | str):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -76,10 +80,12 @@ def holm(df: DataFrame, p: str, family: list[str], ties: list[str], to: str = "p
 
 
 def avg_rank(df: DataFrame, keys: list[str], value: Column | str, to: str = "rank") -> DataFrame:
-    """Ranks from 1; equal values share the mean of theirs."""
+    """Ranks from 1; equal values share the mean of theirs (NULLs come first). Ranks are counted over ranges of values, so a key may hold all rows."""
     c = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("__v", c)
-    return df.withColumn(to, F.rank().over(by(keys, "__v")) + (F.count("*").over(Window.partitionBy(*keys, "__v")) - 1) / 2).drop("__v")
+    ranks = tied_ranks(df, keys, c, "__rank").select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("value").alias("__value"), "__rank")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], F.col("__v").eqNullSafe(F.col("__value")))
+    out = df.withColumn("__v", c).join(ranks, same, "left").withColumn(to, F.col("__rank"))
+    return out.drop("__v", "__rank", "__value", *[f"__key_{k}" for k in keys])
 
 
 def share_within(df: DataFrame, keys: list[str], value: str, to: str = "share") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +11,13 @@ from panelspark.functions import cleaning as cl
 from panelspark.functions import scalar as sc
 from panelspark.operators import audits, joins, maps, metrics, models, reshape, series, stats, windows
 from panelspark.sources import tables as src
+from panelspark.sources.shared import scratch
 from panelspark.streaming import streams
 
 from .bindings import RUNS, SEASON, TRENDED, runs, season, table, trended
 from .registry import BOOTSTRAP, CELLS, GAINS, GRID, PAIRS, SCORES, cells, pairs, query, scored, shares
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a local one where the master is local and none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-panel-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def as_csv(df: DataFrame, name: str) -> str:
     path = scratch(df.sparkSession, name)
     df.write.csv(path, header=True)
