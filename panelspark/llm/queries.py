@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, jaccard, language_model, licenses, packing, quality, token_store, toxicity, vectors
+from . import bpe, extract, jaccard, language_model, licenses, mixing, packing, quality, token_store, toxicity, vectors
 from .common import shared_path
 from .sql import ORACLE_SQL  # noqa: F401  (of those queries that SQL can express)
 
@@ -85,6 +85,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), folds=5)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.copies(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 returns but for the method's own labels and score."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_mixing": op11_mixing,
     "license_base": license_base,
     "quality_base": quality_base,
     "lm_base": lm_base,

@@ -52,3 +52,16 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)
 FROM t LEFT JOIN c USING (w), total GROUP BY doc_id, held_out"""
 
 ORACLE_SQL = {"op5_ngram_jaccard": JACCARD, "op7_vector_dedup": VECTORS, "license_base": LICENSE_BASE, "quality_base": QUALITY_BASE, "lm_base": LM_BASE}
+
+MIXING = rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM s),
+c AS (SELECT *, sum(source_size) OVER o AS cs, sum(w) OVER o AS cw, sum(w) OVER () AS tw, sum(source_size) OVER () AS total FROM w WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT greatest(max(1.5::DOUBLE * total / tw), max(CASE WHEN cw < tw THEN (1.5::DOUBLE * total - 2.0::DOUBLE * cs) / (tw - cw) END)) AS level FROM c),
+t AS (SELECT source, source_size, least(level * w, 2.0::DOUBLE * source_size) AS target FROM w, l),
+r AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS part FROM t),
+k AS (SELECT d.*, r.* EXCLUDE (source), k, ('0x' || substr(md5((k // 4)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 8 * (k % 4) + 1, 8))::BIGINT / 4294967296::DOUBLE < part AS more FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(16) x(k)),
+b AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(any_value(whole) * any_value(source_size) + sum(CASE WHEN more THEN size ELSE 0 END) - any_value(target)), k) AS n FROM k GROUP BY source, k) WHERE n = 1)
+SELECT doc_id, size, source_size, target, (size * (whole + more::INT))::BIGINT AS taken FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.k = b.k"""
+
+ORACLE_SQL["op11_mixing"] = MIXING
