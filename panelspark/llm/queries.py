@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, jaccard, language_model, licenses, mixing, packing, quality, token_store, toxicity, vectors
+from . import bpe, conversations, extract, jaccard, language_model, licenses, mixing, packing, quality, token_store, toxicity, vectors
 from .common import shared_path
 from .sql import ORACLE_SQL  # noqa: F401  (of those queries that SQL can express)
 
@@ -90,6 +90,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(4)).cast("int")
+    return conversations.trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20, head=head, longest=3)
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 returns but for the method's own labels and score."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_mixing": op11_mixing,
+    "op12_conversation_trie": op12_conversation_trie,
     "license_base": license_base,
     "quality_base": quality_base,
     "lm_base": lm_base,

@@ -65,3 +65,17 @@ b AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY s
 SELECT doc_id, size, source_size, target, (size * (whole + more::INT))::BIGINT AS taken FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.k = b.k"""
 
 ORACLE_SQL["op11_mixing"] = MIXING
+
+TRIE = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS item, len(regexp_extract_all(text, {WORD})) AS words FROM t),
+c AS (SELECT conv_id, list({{'item': item, 'words': words}} ORDER BY turn NULLS FIRST, role, item) AS own, {CRC.replace("doc_id", "conv_id")} % 4 AS h FROM d GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS seq FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+e AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+p AS (SELECT conv_id, depth, depth = len(seq) AS ends, array_to_string(list_transform(seq[1:depth], lambda x: x.item), ',') AS k, CASE WHEN depth > 0 THEN array_to_string(list_transform(seq[1:depth - 1], lambda x: x.item), ',') END AS up, CASE WHEN depth > 0 THEN seq[depth].words ELSE 0 END AS words FROM e),
+n AS (SELECT k, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY k),
+ch AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saves FROM n LEFT JOIN ch USING (k)),
+sub AS (SELECT a.k, sum(f.saves) AS saved, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves FROM (SELECT DISTINCT q.k, z.k AS below FROM p q JOIN p z ON q.conv_id = z.conv_id AND q.depth <= z.depth) a JOIN f ON f.k = a.below GROUP BY a.k)
+SELECT f.conv_id, f.depth, m.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256 FROM f JOIN sub USING (k) LEFT JOIN f m ON m.k = f.up AND f.depth > 0"""
+
+ORACLE_SQL["op12_conversation_trie"] = TRIE
