@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, extract, jaccard, language_model, licenses, mixing, packing, quality, token_store, toxicity, vectors
+from . import bpe, conversations, extract, hard_negatives, jaccard, language_model, licenses, mixing, packing, quality, token_store, toxicity, vectors
 from .common import shared_path
 from .sql import ORACLE_SQL  # noqa: F401  (of those queries that SQL can express)
 
@@ -96,6 +96,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20, head=head, longest=3)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select("vec_id", label.alias("label"), "embedding"), every=50, positives=5, negatives=3, low=50, high=95)
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 returns but for the method's own labels and score."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_mixing": op11_mixing,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
     "license_base": license_base,
     "quality_base": quality_base,
     "lm_base": lm_base,
