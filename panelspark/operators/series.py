@@ -1,70 +1,128 @@
-"""Features of a season's series up to a cut day, in long form: keys, doy, value on a complete grid."""
+"""Features of a season's series up to a cut day, as folds over arrays: one packed array a key and variable, aligned to the grid's days.
+
+`pack` brings a key's observations together: one shuffle, with map-side sums by cell. Interpolation, areas, peaks and slopes are then expressions on the
+arrays, for any number of variables in the same pass; no window, layout or pivot follows. NULL, NaN and infinite values are missing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STATS = ["mean", "max", "min", "std", "last", "auc", "peak_doy", "greenup", "early_mean", "last_slope"]
+ANOMALY_STATS = ["mean", "max", "min", "last", "last_slope"]
+#: The days between which the early rise is fitted.
+SPRING = (60, 120)
+
 
 def upto(df: DataFrame, cut: int, doy: str = "doy") -> DataFrame:
     """Only what is known by the cut; must come before any interpolation."""
     return df.filter(F.col(doy) <= cut)
 
 
-def interpolate(df: DataFrame, keys: list[str], value: str, doy: str = "doy", to: str = "filled", edges: str = "null") -> DataFrame:
-    """Fills gaps between two observations by a line. edges: "null" leaves leading and trailing gaps, "clamp" takes the nearest value."""
-    w = Window.partitionBy(*keys).orderBy(doy)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col(doy))
-    v0, v1 = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
-    d0, d1 = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
-    line = v0 + (v1 - v0) * F.try_divide((F.col(doy) - d0).cast("double"), (d1 - d0).cast("double"))
-    filled = F.coalesce(F.col(value), line)
-    return df.withColumn(to, F.coalesce(filled, v0, v1) if edges == "clamp" else filled)
+def finite(c: Column) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)
+
 
+def days_of(grid: list[int]) -> Column:
+    return F.array(*[F.lit(d) for d in grid])
 
-def series_features(df: DataFrame, keys: list[str], value: str, grid: list[int], doy: str = "doy") -> DataFrame:
-    """mean, max, min, std, last, auc, peak_doy, greenup, early_mean, last_slope of each series.
 
-    `grid` holds the days up to the cut. One window for the trapezoids, then one aggregate.
+def pack(obs: DataFrame, keys: list[str], grid: list[int], values: list[str], doy: str = "doy", digits: int | None = None) -> DataFrame:
+    """A row a key, a column for each of `values`: its array over the grid; absent cells are NULL, repeated ones their mean, days off the grid are left out.
+
+    digits: to which the means are rounded. Keys all of whose days are off the grid have arrays of NULL.
     """
-    w = Window.partitionBy(*keys).orderBy(doy)
-    at = F.when(F.col(value).isNotNull(), F.col(doy))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    pv, pd = F.last(value, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(before)
-    df = df.withColumn("__area", (F.col(value) + pv) / 2 * (F.col(doy) - pd))
-    v, d = F.col(value), F.col(doy)
-    spring = d.between(60, 120)
-    last = F.max(F.when(d == grid[-1], v))
-    prior = F.max(F.when(d == grid[-2], v)) if len(grid) > 1 else F.lit(None).cast("double")
-    n = F.count(value)
-    slope = F.regr_slope(F.when(spring, v), d.cast("double"))
-    out = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
-        F.stddev_pop(value).alias("std"),
-        last.alias("last"),
-        F.when(n >= 2, F.sum("__area")).alias("auc"),
-        F.max(F.when(v.isNotNull(), F.struct(v.alias("v"), (-d).alias("d")))).alias("__peak"),
-        F.when((F.count(F.when(spring, v)) >= 2) & F.lit(sum(60 <= g <= 120 for g in grid) >= 2), slope).alias("greenup"),
-        F.avg(F.when(d <= grid[min(2, len(grid) - 1)], v)).alias("early_mean"),
-        ((last - prior) / (grid[-1] - grid[-2]) if len(grid) > 1 else prior).alias("last_slope"),
-    )
-    return out.withColumn("peak_doy", -F.col("__peak.d")).drop("__peak")
-
-
-def build_features(obs: DataFrame, keys: list[str], variable: str, names: list[str], grid: list[int], cut: int, value: str = "value") -> DataFrame:
-    """One row a key: `{variable}_{stat}` and `{variable}_DOY_{d}` of every variable, from what is known by the cut."""
-    from .reshape import on_grid, pivot_obs
+    mean = lambda v, d: F.avg(F.when(F.col(doy) == d, finite(F.col(v).cast("double"))))
+    cell = mean if digits is None else lambda v, d: F.round(mean(v, d), digits)
+    return obs.groupBy(*keys).agg(*[F.array(*[cell(v, d) for d in grid]).alias(v) for v in dict.fromkeys(values)])
+
+
+def unpack(packed: DataFrame, keys: list[str], grid: list[int], values: list[str], doy: str = "doy") -> DataFrame:
+    """Long form: a row a key and day of the grid."""
+    cells = F.arrays_zip(days_of(grid).alias("d"), *[F.col(v) for v in values])
+    rows = packed.select(*keys, F.explode(cells).alias("__c"))
+    return rows.select(*keys, F.col("__c.d").cast("bigint").alias(doy), *[F.col(f"__c.{v}").alias(v) for v in values])
+
+
+def known(series: Column | str, grid: list[int]) -> Column:
+    """The days that have a value, in order: d, v."""
+    pairs = F.zip_with(days_of(grid), series, lambda d, v: F.struct(d.alias("d"), v.cast("double").alias("v")))
+    return F.filter(pairs, lambda x: x["v"].isNotNull())
+
+
+def between(points: Column, grid: list[int], edges: str = "null") -> Column:
+    """The series along lines between its known points. edges: "null" leaves what isn't between two of them, "clamp" takes the nearest value."""
+
+    def at(d: Column) -> Column:
+        a, b = F.try_element_at(F.filter(points, lambda x: x["d"] <= d), F.lit(-1)), F.try_element_at(F.filter(points, lambda x: x["d"] >= d), F.lit(1))
+        line = F.when(a["d"] == b["d"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * ((d - a["d"]).cast("double") / (b["d"] - a["d"])))
+        return F.coalesce(line, a["v"], b["v"]) if edges == "clamp" else line
 
+    return F.transform(days_of(grid), at)
+
+
+def interpolate(packed: DataFrame, values: list[str], grid: list[int], edges: str = "null", to: dict[str, str] | None = None) -> DataFrame:
+    """Fills the gaps of every packed series by lines. to: other names for the results."""
+    points = {f"__at_{v}": known(v, grid) for v in values}
+    full = {(to or {}).get(v, v): between(F.col(f"__at_{v}"), grid, edges) for v in values}
+    return packed.withColumns(points).withColumns(full).drop(*points)
+
+
+def total(points: Column, of) -> Column:
+    return F.aggregate(points, F.lit(0.0), lambda acc, x: acc + of(x))
+
+
+def stats(points: Column, filled: Column, mean: Column, grid: list[int]) -> dict[str, Column]:
+    """The statistics of one series. points: its known days after filling; mean: their mean."""
+    n = F.size(points)
+    values = F.transform(points, lambda x: x["v"])
+    empty = F.struct(F.lit(0.0).alias("area"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("d"))
+    step = lambda acc, x: F.struct((acc["area"] + F.coalesce((x["v"] + acc["v"]) / 2 * (x["d"] - acc["d"]), F.lit(0.0))).alias("area"), x["v"].alias("v"), x["d"].alias("d"))
+    early = F.filter(F.slice(filled, 1, min(3, len(grid))), lambda v: v.isNotNull())
+    spring = F.filter(points, lambda x: x["d"].between(*SPRING))
+    k, shift = F.size(spring).cast("double"), sum(SPRING) / 2  # days are centred, so that squares cost no digits
+    sx, sy = total(spring, lambda x: x["d"] - shift), total(spring, lambda x: x["v"])
+    sxx, sxy = total(spring, lambda x: (x["d"] - shift) * (x["d"] - shift)), total(spring, lambda x: (x["d"] - shift) * x["v"])
+    rise = F.try_divide(k * sxy - sx * sy, k * sxx - sx * sx) if sum(SPRING[0] <= g <= SPRING[1] for g in grid) >= 2 else F.lit(None).cast("double")
+    last, prior = F.element_at(filled, -1), F.element_at(filled, -2) if len(grid) > 1 else F.lit(None).cast("double")
+    return {
+        "mean": mean,
+        "max": F.array_max(values),
+        "min": F.array_min(values),
+        "std": F.when(n > 0, F.sqrt(total(points, lambda x: (x["v"] - mean) * (x["v"] - mean)) / n)),
+        "last": last,
+        "auc": F.when(n >= 2, F.aggregate(points, empty, step)["area"]),
+        "peak_doy": F.try_element_at(F.filter(points, lambda x: x["v"] == F.array_max(values)), F.lit(1))["d"],
+        "greenup": F.when(F.size(spring) >= 2, rise),
+        "early_mean": F.try_divide(F.aggregate(early, F.lit(0.0), lambda a, v: a + v), F.size(early).cast("double")),
+        "last_slope": (last - prior) / (grid[-1] - grid[-2]) if len(grid) > 1 else prior,
+    }
+
+
+def season_features(packed: DataFrame, keys: list[str], values: list[str], grid: list[int], edges: str = "null", anomalies: dict[str, str] | None = None, cells: bool = True) -> DataFrame:
+    """A row a key, for each variable `{v}_{stat}` of STATS and (cells) `{v}_DOY_{d}`; for each of `anomalies` (variable: packed column) `{v}_anom_{stat}`.
+
+    `grid` holds the days up to the cut, to which the arrays are aligned. Columns named twice are built once.
+    """
+    names, odd = list(dict.fromkeys(values)), anomalies or {}
+    series = [*names, *odd.values()]
+    rows = interpolate(packed, series, grid, edges)
+    rows = rows.withColumns({f"__p_{s}": known(s, grid) for s in series})
+    rows = rows.withColumns({f"__m_{s}": F.try_divide(total(F.col(f"__p_{s}"), lambda x: x["v"]), F.size(f"__p_{s}").cast("double")) for s in series})
+    out = {}
+    for v, column, wanted, prefix in [(v, v, STATS, v) for v in names] + [(v, c, ANOMALY_STATS, f"{v}_anom") for v, c in odd.items()]:
+        found = stats(F.col(f"__p_{column}"), F.col(column), F.col(f"__m_{column}"), grid)
+        out |= {f"{prefix}_{s}": finite(found[s]) if s != "peak_doy" else found[s] for s in wanted}
+        if cells and wanted is STATS:
+            out |= {f"{v}_DOY_{d}": F.get(F.col(column), F.lit(i)) for i, d in enumerate(grid)}
+    return rows.select(*keys, *[c.alias(n) for n, c in out.items()])
+
+
+def build_features(obs: DataFrame, keys: list[str], values: list[str], grid: list[int], cut: int, doy: str = "doy", digits: int | None = None) -> DataFrame:
+    """The features of every variable of a table of observations (a column each), from what is known by the cut."""
     days = [g for g in grid if g <= cut]
-    full = interpolate(on_grid(upto(obs, cut), [*keys, variable], days), [*keys, variable], value, to="__f")
-    stats = series_features(full.select(*keys, variable, "doy", F.col("__f").alias(value)), [*keys, variable], value, days)
-    cols = [c for c in stats.columns if c not in (*keys, variable)]
-    wide = stats.groupBy(*keys).pivot(variable, names).agg(*[F.first(c).alias(c) for c in cols])
-    grids = full.groupBy(*keys, "doy").pivot(variable, names).agg(F.first("__f"))
-    return wide.join(pivot_obs(grids, keys, days, names), keys)
+    return season_features(pack(upto(obs, cut, doy), keys, days, values, doy, digits), keys, values, days)
 
 
 def fill_cube(pix: DataFrame, cell: list[str], band: str, value: str) -> DataFrame:
@@ -79,7 +137,6 @@ def fill_cube(pix: DataFrame, cell: list[str], band: str, value: str) -> DataFra
 
 def anomaly_features(df: DataFrame, keys: list[str], value: str, days: list[int], doy: str = "doy", to: str = "anom") -> DataFrame:
     """mean, max, min, last and last_slope of the anomaly series, gaps filled by lines; `days` are the grid days up to the cut."""
-    full = interpolate(df.filter(F.col(doy) <= days[-1]), keys, value, doy, to="__a")
-    last, prior = (F.max(F.when(F.col(doy) == d, F.col("__a"))) for d in (days[-1], days[-2] if len(days) > 1 else days[-1]))
-    slope = (last - prior) / (days[-1] - days[-2]) if len(days) > 1 else F.lit(None).cast("double")
-    return full.groupBy(*keys).agg(F.avg("__a").alias(f"{to}_mean"), F.max("__a").alias(f"{to}_max"), F.min("__a").alias(f"{to}_min"), last.alias(f"{to}_last"), slope.alias(f"{to}_last_slope"))
+    packed = pack(df, keys, days, [value], doy)
+    found = season_features(packed, keys, [], days, anomalies={value: value}, cells=False)
+    return found.select(*keys, *[F.col(f"{value}_anom_{s}").alias(f"{to}_{s}") for s in ANOMALY_STATS])

@@ -60,13 +60,18 @@ RUNS = (
 )
 
 
-def season(spark: SparkSession, sf_dir: str, grid: list[int]) -> DataFrame:
-    """unit (part), year, doy (on the grid), value: mean quantity of lines shipped in the 16 days up to each checkpoint; with gaps."""
+def season_lines(spark: SparkSession, sf_dir: str, grid: list[int], **values: str) -> DataFrame:
+    """unit (part), year, doy (on the grid) of every line shipped in the 16 days up to a checkpoint, with its quantity as value, or `values` (SQL)."""
     li = table(spark, sf_dir, "lineitem")
     d = F.dayofyear("l_shipdate")
     at = (grid[0] + 16 * F.ceil((d - grid[0]) / 16)).cast("bigint")
-    rows = li.filter(d.between(grid[0] - 15, grid[-1]))
-    return rows.groupBy(F.col("l_partkey").alias("unit"), F.year("l_shipdate").cast("bigint").alias("year"), at.alias("doy")).agg(F.round(F.avg("l_quantity"), 9).alias("value"))
+    cols = [F.expr(v).alias(k) for k, v in (values or {"value": "l_quantity"}).items()]
+    return li.filter(d.between(grid[0] - 15, grid[-1])).select(F.col("l_partkey").alias("unit"), F.year("l_shipdate").cast("bigint").alias("year"), at.alias("doy"), *cols)
+
+
+def season(spark: SparkSession, sf_dir: str, grid: list[int]) -> DataFrame:
+    """unit (part), year, doy (on the grid), value: mean quantity of lines shipped in the 16 days up to each checkpoint; with gaps."""
+    return season_lines(spark, sf_dir, grid).groupBy("unit", "year", "doy").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
 SEASON = """season AS (SELECT l_partkey AS unit, year(l_shipdate)::BIGINT AS year, (65 + 16 * ceil((dayofyear(l_shipdate) - 65) / 16.0))::BIGINT AS doy, round(avg(l_quantity), 9) AS value

@@ -369,7 +369,7 @@ def anomaly_features(spark, sf_dir):
     rows = series.upto(season(spark, sf_dir, GRID), 97)
     before = windows.by(["unit", "doy"], "year").rowsBetween(-(1 << 30), -1)
     anomaly = rows.withColumn("a", F.col("value") - F.avg("value").over(before)).drop("value")
-    return series.anomaly_features(reshape.on_grid(anomaly, ["unit", "year"], [65, 81, 97]), ["unit", "year"], "a", [65, 81, 97])
+    return series.anomaly_features(anomaly, ["unit", "year"], "a", [65, 81, 97])
 
 
 @query(f"WITH {TRENDED}, {SEASON}, f AS (SELECT unit, year, avg(value) AS mean FROM season GROUP BY 1, 2), w AS (SELECT unit, year, value AS rain FROM season WHERE doy = 193), s AS (SELECT s_suppkey AS unit, s_acctbal AS balance FROM supplier) SELECT unit, year, round(mean, 5) AS mean, round(rain, 5) AS rain, round(balance, 5) AS balance, round(trend, 4) AS trend FROM f LEFT JOIN w USING (unit, year) LEFT JOIN s USING (unit) LEFT JOIN trended USING (unit, year)", digits=5)

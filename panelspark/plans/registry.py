@@ -12,7 +12,7 @@ from panelspark.functions import scalar as sc
 from panelspark.operators import audits, joins, maps, metrics, models, reshape, series, stats, windows
 from panelspark.streaming import streams
 
-from .bindings import DAILY, PANEL, PIXELS, RUNS, SEASON, SPARSE, TRENDED, daily, panel, pixels, rounded, runs, season, sparse, table, trended
+from .bindings import DAILY, PANEL, PIXELS, RUNS, SEASON, SPARSE, TRENDED, daily, panel, pixels, rounded, runs, season, season_lines, sparse, table, trended
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,15 +80,16 @@ FILLED = """, looked AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0,
 filled AS (SELECT unit, year, doy, value, coalesce(value, v0 + (v1 - v0) * (doy - d0)::DOUBLE / nullif(d1 - d0, 0)) AS filled, coalesce(value, v0 + (v1 - v0) * (doy - d0)::DOUBLE / nullif(d1 - d0, 0), v0, v1) AS clamped FROM looked)"""
 
 
-def full_season(spark, sf_dir, cut: int) -> DataFrame:
+def full_season(spark, sf_dir, cut: int) -> tuple[DataFrame, list[int]]:
+    """Each unit's season as an array, straight from the order lines: one shuffle."""
     days = [g for g in GRID if g <= cut]
-    rows = reshape.on_grid(series.upto(season(spark, sf_dir, GRID), cut), ["unit", "year"], days)
-    return rows.select("unit", "year", F.col("doy").cast("bigint").alias("doy"), "value")
+    return series.pack(series.upto(season_lines(spark, sf_dir, GRID), cut), ["unit", "year"], days, ["value"], digits=9), days
 
 
-def filled_at(cut: int):
+def filled_at(cut: int, edges: str = "null"):
     def f(spark, sf_dir):
-        return series.interpolate(full_season(spark, sf_dir, cut), ["unit", "year"], "value")
+        packed, days = full_season(spark, sf_dir, cut)
+        return series.unpack(series.interpolate(packed, ["value"], days, edges, to={"value": "filled"}), ["unit", "year"], days, ["value", "filled"])
 
     f.__name__ = f"interpolate_cut_{cut}"
     return f
@@ -100,7 +101,7 @@ for _cut in (113, 193, 273):
 
 @query(f"WITH {FULL_SEASON.format(cut=273)}{FILLED} SELECT unit, year, doy, round(value, 6) AS value, round(clamped, 6) AS filled FROM filled")
 def interpolate_clamped(spark, sf_dir):
-    return series.interpolate(full_season(spark, sf_dir, 273), ["unit", "year"], "value", edges="clamp")
+    return filled_at(273, "clamp")(spark, sf_dir)
 
 
 FEATURES = """, vals AS (SELECT unit, year, doy, filled AS v FROM filled), laid AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN v IS NOT NULL THEN doy END IGNORE NULLS) OVER p AS pd FROM vals WINDOW p AS (PARTITION BY unit, year ORDER BY doy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -112,8 +113,9 @@ FROM (SELECT *, max(v) OVER (PARTITION BY unit, year) AS top FROM laid) GROUP BY
 
 @query(f"WITH {FULL_SEASON.format(cut=193)}{FILLED}{FEATURES}", exact=("greenup",))
 def series_features(spark, sf_dir):
-    filled = filled_at(193)(spark, sf_dir).select("unit", "year", "doy", F.col("filled").alias("value"))
-    out = series.series_features(filled, ["unit", "year"], "value", [g for g in GRID if g <= 193])
+    packed, days = full_season(spark, sf_dir, 193)
+    out = series.season_features(packed, ["unit", "year"], ["value"], days, cells=False)
+    out = out.withColumnsRenamed({f"value_{c}": c for c in series.STATS})
     return out.withColumns({"std": F.round("std", 5), "auc": F.round("auc", 5), "greenup": F.round("greenup", 9)})
 
 

@@ -39,10 +39,70 @@ def test_confusion(spark):
 
 
 def test_interpolation_is_bounded(spark):
-    rows = spark.createDataFrame([(1, 65, None), (1, 81, 2.0), (1, 97, None), (1, 113, 4.0), (1, 129, None)], "u int, doy int, v double")
-    get = lambda **k: [r.filled for r in series.interpolate(rows, ["u"], "v", **k).orderBy("doy").collect()]
+    grid = [65, 81, 97, 113, 129]
+    rows = spark.createDataFrame([(1, 65, None), (1, 81, 2.0), (1, 113, 4.0), (1, 70, 9.0)], "u int, doy int, v double")
+    packed = series.pack(rows, ["u"], grid, ["v"])
+    get = lambda **k: one(series.interpolate(packed, ["v"], grid, **k))["v"]
     assert get() == [None, 2, 3, 4, None]
     assert get(edges="clamp") == [2, 2, 3, 4, 4]
+    back = series.unpack(packed, ["u"], grid, ["v"]).orderBy("doy").collect()
+    assert [(r.doy, r.v) for r in back] == list(zip(grid, [None, 2, None, 4, None]))
+
+
+def brute_features(days, values):
+    """The statistics of one series by numpy."""
+    import numpy as np
+
+    d, v = np.array(days, float), np.array([np.nan if x is None or not np.isfinite(x) else x for x in values])
+    ok = np.isfinite(v)
+    full = np.full(len(v), np.nan)
+    if ok.any():
+        inside = (d >= d[ok].min()) & (d <= d[ok].max())
+        full[inside] = np.interp(d[inside], d[ok], v[ok])
+    x, y = d[np.isfinite(full)], full[np.isfinite(full)]
+    spring = (x >= 60) & (x <= 120)
+    early = full[:3][np.isfinite(full[:3])]
+    out = {"mean": y.mean() if len(y) else None, "max": y.max(initial=-np.inf) if len(y) else None, "min": y.min() if len(y) else None, "std": y.std() if len(y) else None, "last": full[-1], "auc": np.trapezoid(y, x) if len(y) > 1 else None}
+    out |= {"peak_doy": x[y.argmax()] if len(y) else None, "greenup": np.polyfit(x[spring], y[spring], 1)[0] if spring.sum() > 1 else None, "early_mean": early.mean() if len(early) else None, "last_slope": (full[-1] - full[-2]) / (d[-1] - d[-2])}
+    return out | {f"DOY_{int(k)}": w for k, w in zip(days, full)}
+
+
+def test_season_features_by_folds(spark):
+    import numpy as np
+
+    rng, grid = np.random.default_rng(5), list(range(65, 274, 16))
+    rows = []
+    for unit in range(60):
+        for d in grid:
+            if rng.random() < 0.1 + 0.8 * (unit % 3 > 0):
+                rows.append((unit, d, float(rng.integers(0, 4)), float(rng.choice([np.nan, np.inf, -np.inf, 1.5, 2.5, 7.0])), float(rng.normal())))
+    rows += [(0, 66, 5.0, 5.0, 5.0), (99, 270, 1.0, 1.0, 1.0)]  # off the grid
+    obs = spark.createDataFrame(rows, "unit int, doy int, a double, b double, c double")
+    for cut in (65, 113, 193, 273):
+        days = [g for g in grid if g <= cut]
+        got = {r.unit: r.asDict() for r in series.build_features(obs, ["unit"], ["a", "b", "a", "c"], grid, cut).collect()}
+        assert set(got) == {r[0] for r in rows if r[1] <= cut}
+        for unit, r in got.items():
+            assert len(r) == 1 + 3 * (10 + len(days))
+            if len(days) < 2:
+                continue
+            for i, v in enumerate("abc"):
+                cells = {x[1]: x[2 + i] for x in rows if x[0] == unit}
+                for stat, want in brute_features(days, [cells.get(d) for d in days]).items():
+                    want = None if want is None or np.isnan(want) else float(want)
+                    assert r[f"{v}_{stat}"] == (want if want is None else pytest.approx(want, abs=1e-9)), (unit, v, stat)
+
+
+def test_season_features_shuffle_once(spark):
+    obs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey AS unit", "dayofyear(l_shipdate) AS doy", *[f"l_quantity AS v{i}" for i in range(7)])
+    plan = series.build_features(obs, ["unit"], [f"v{i}" for i in range(7)], list(range(65, 274, 16)), 193)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan
+
+
+def test_anomaly_features(spark):
+    rows = spark.createDataFrame([(1, 65, 1.0), (1, 97, 3.0), (2, 81, 5.0), (3, 65, None)], "u int, doy int, a double")
+    got = {r.u: tuple(r)[1:] for r in series.anomaly_features(rows, ["u"], "a", [65, 81, 97]).collect()}
+    assert got == {1: (2.0, 3.0, 1.0, 3.0, 1 / 16), 2: (5.0, 5.0, 5.0, None, None), 3: (None,) * 5}
 
 
 def test_trend_knows_only_the_past(spark):
