@@ -269,14 +269,14 @@ def filled_cube(spark, sf_dir):
 
 
 #: Seven variables of order lines in the place of vegetation indices, each with gaps of its own.
-INDICES = {"ndvi": "l_quantity", "evi": "l_discount", "evi2": "CASE WHEN l_returnflag <> 'A' THEN l_tax END", "ndmi": "CASE WHEN l_linenumber > 1 THEN l_quantity END", "ndwi": "CASE WHEN l_returnflag = 'N' THEN l_extendedprice / 1000 END", "gci": "CASE WHEN l_linestatus = 'F' THEN l_quantity * l_tax END", "nirv": "l_quantity * l_discount"}
+INDICES = {"ndvi": "sqrt(l_quantity)", "evi": "ln(l_extendedprice)", "evi2": "CASE WHEN l_returnflag <> 'A' THEN sqrt(l_tax + 0.2) END", "ndmi": "CASE WHEN l_linenumber > 1 THEN ln(l_quantity + 1) END", "ndwi": "CASE WHEN l_returnflag = 'N' THEN sqrt(l_extendedprice) / 100 END", "gci": "CASE WHEN l_linestatus = 'F' THEN l_quantity * sqrt(l_tax + 0.1) END", "nirv": "sqrt(l_quantity * (l_discount + 0.05))"}
 
 
 def features_sql(cut: int) -> str:
     """All features of all variables, each by windows of its own."""
     days = [g for g in GRID if g <= cut]
     parts = [f"lines AS (SELECT l_partkey AS unit, year(l_shipdate)::BIGINT AS year, (65 + 16 * ceil((dayofyear(l_shipdate) - 65) / 16.0))::BIGINT AS doy, * FROM lineitem WHERE dayofyear(l_shipdate) BETWEEN 50 AND 273)"]
-    parts.append("cells7 AS (SELECT unit, year, doy, " + ", ".join(f"round(avg({e}), 9) AS {v}" for v, e in INDICES.items()) + f" FROM lines WHERE doy <= {cut} GROUP BY 1, 2, 3)")
+    parts.append("cells7 AS (SELECT unit, year, doy, " + ", ".join(f"avg({e}) AS {v}" for v, e in INDICES.items()) + f" FROM lines WHERE doy <= {cut} GROUP BY 1, 2, 3)")
     parts.append(f"grid7 AS (SELECT unit, year, doy FROM (SELECT DISTINCT unit, year FROM cells7), (SELECT unnest(range(65, {cut} + 1, 16)) AS doy))")
     for v in INDICES:
         body = f"full_season AS (SELECT unit, year, doy::BIGINT AS doy, {v} AS value FROM grid7 LEFT JOIN cells7 USING (unit, year, doy))" + FILLED + FEATURES
@@ -286,13 +286,14 @@ def features_sql(cut: int) -> str:
         parts.append(f"f_{v} AS (SELECT unit, year, {stats} FROM (WITH {body}))")
         parts.append(f"g_{v} AS (SELECT unit, year, {wide} FROM (WITH {grid_body} SELECT * FROM filled) GROUP BY 1, 2)")
     names = [f"{v}_{s}" for v in INDICES for s in [*series.STATS, *[f"DOY_{d}" for d in days]]]
-    return "WITH " + ", ".join(parts) + " SELECT unit, year, " + ", ".join(f"round({n}, 5) AS {n}" if not n.endswith("peak_doy") else n for n in names) + " FROM f_ndvi " + " ".join(f"JOIN {t}_{v} USING (unit, year)" for v in INDICES for t in "fg" if (t, v) != ("f", "ndvi"))
+    return "WITH " + ", ".join(parts) + " SELECT unit, year, " + ", ".join(f"round({n}, 6) AS {n}" if "_DOY_" in n else n for n in names) + " FROM f_ndvi " + " ".join(f"JOIN {t}_{v} USING (unit, year)" for v in INDICES for t in "fg" if (t, v) != ("f", "ndvi"))
 
 
-@query(features_sql(193), digits=5)
+@query(features_sql(193), exact=tuple(f"{v}_{s}" for v in INDICES for s in ("std", "auc", "greenup")))
 def model_features(spark, sf_dir):
     """The wide feature table of seven variables at one cut: one shuffle, then folds over their arrays."""
-    return series.build_features(season_lines(spark, sf_dir, GRID, **INDICES), ["unit", "year"], list(INDICES), GRID, 193, digits=9)
+    out = series.build_features(season_lines(spark, sf_dir, GRID, **INDICES), ["unit", "year"], list(INDICES), GRID, 193)
+    return out.withColumns({f"{v}_{s}": F.round(f"{v}_{s}", n) for v in INDICES for s, n in (("std", 5), ("auc", 5), ("greenup", 9))})
 
 
 @query(f"WITH {PANEL} SELECT unit, count(*) AS n, count(DISTINCT CASE WHEN y > 2000 THEN 1 ELSE 0 END) AS n_classes, count(*) FILTER (WHERE y > 2000) AS n_code, max(year) - 1999 AS n_dates, CASE WHEN max(year) - 1999 = 0 THEN 'INSUFFICIENT_DATES' WHEN count(*) < 50 OR count(DISTINCT CASE WHEN y > 2000 THEN 1 ELSE 0 END) < 2 OR count(*) FILTER (WHERE y > 2000) < 5 THEN 'INSUFFICIENT_SAMPLES' WHEN max(year) - 1999 = 1 THEN 'LOW_DATE_COUNT' ELSE 'OK' END AS status FROM panel GROUP BY unit")
