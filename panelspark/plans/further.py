@@ -485,28 +485,72 @@ def test_pvalues(spark, sf_dir):
 # models
 
 
+def anomaly_rows(spark, sf_dir) -> DataFrame:
+    """The supplier panel with the anomaly as target and what is known before the year."""
+    return trended(spark, sf_dir).filter("trend is not null").withColumns({"target": F.col("y") - F.col("trend"), "n": F.col("trend_n").cast("double"), "constant": F.lit(1.0)})
+
+
 @query()
 def gbt_importance(spark, sf_dir):
-    """Shares of each feature in a model of the anomaly (Spark ML's trees: no SQL)."""
-    t = trended(spark, sf_dir).filter("trend is not null").withColumns({"target": F.col("y") - F.col("trend"), "n": F.col("trend_n").cast("double")})
-    cols = ["trend", "trend_slope", "n"]
-    return models.importance(spark, models.fit_gbt(t, cols, "target", maxIter=20), cols)
+    """Total gain and share of each feature in a model of the anomaly, features that no tree uses included (Spark ML's trees: no SQL)."""
+    cols = ["trend", "trend_slope", "n", "constant"]
+    return models.importance(spark, models.fit_gbt(anomaly_rows(spark, sf_dir), cols, "target", maxIter=20), cols)
+
+
+@query()
+def tree_count_sweep(spark, sf_dir):
+    """Scores after 5, 10, 15 and 20 trees of one fit on the years before the last three (Spark ML's trees: no SQL)."""
+    rows = anomaly_rows(spark, sf_dir)
+    last = rows.agg(F.max("year")).first()[0] or 0
+    return models.tree_count_sweep(rows.filter(F.col("year") <= last - 3), rows.filter(F.col("year") > last - 3), ["trend", "trend_slope", "n"], "target", "y", "trend", [5, 10, 15, 20])
 
 
 @query()
 def swept_runs(spark, sf_dir):
-    """Runs that are there already aren't computed again."""
-    path = scratch(spark, "sweep")
-    job = lambda seed: runs(spark, sf_dir).filter(F.col("seed") == seed).select("unit", "year", "predicted")
+    """Fits of three seeds, a partition each; those that are there already aren't computed again."""
+    path, rows = scratch(spark, "sweep"), anomaly_rows(spark, sf_dir)
+    cols = ["trend", "trend_slope", "n"]
+    job = lambda seed: models.predict_yield(models.fit_gbt(rows, cols, "target", maxIter=5, maxDepth=3, seed=seed), rows, cols, "trend").select("unit", "year", "predicted")
     models.sweep(job, [1, 2], path, spark, "seed")
     return models.sweep(job, [1, 2, 3], path, spark, "seed")
 
 
+CHECKPOINTS = {"early": "1994-06-30", "middle": "1996-06-30", "late": "1999-12-31"}
+TILES = """tiles AS (SELECT l_orderkey * 10 + l_linenumber AS cell, CASE WHEN l_partkey % 97 = 5 THEN 'small' WHEN l_returnflag = 'A' THEN 'one sided' ELSE l_returnflag END AS tile, l_shipdate::DATE AS date, l_quantity, l_discount, l_tax,
+  CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_returnflag = 'A' OR l_quantity > 25 THEN 1 WHEN l_discount > 0.05 THEN 5 ELSE 0 END END AS label FROM lineitem)"""
+
+
+def tiles(spark, sf_dir) -> DataFrame:
+    """Order lines as pixels of tiles; a third of them have labels. One tile has a class only, one few points."""
+    flag, q = F.col("l_returnflag"), F.col("l_quantity")
+    tile = F.when(F.col("l_partkey") % 97 == 5, "small").when(flag == "A", "one sided").otherwise(flag)
+    label = F.when(F.col("l_orderkey") % 3 == 0, F.when((flag == "A") | (q > 25), 1).when(F.col("l_discount") > 0.05, 5).otherwise(0))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell"), tile.alias("tile"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_discount", "l_tax", label.alias("label"))
+
+
+def cell_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Training points, and the status of every tile and checkpoint; scenes are the months of the lines."""
+    pix = tiles(spark, sf_dir)
+    points = models.training_points(pix, "tile", "label", "cell")
+    return points, models.cell_status(points, pix.select("tile", F.trunc("date", "month").cast("date").alias("date")), "tile", "label", CHECKPOINTS)
+
+
+@query(
+    f"""WITH {TILES}, n AS (SELECT tile, sum(least(k, 1000))::BIGINT AS n, count(*) AS n_classes, coalesce(sum(least(k, 1000)) FILTER (WHERE label = 1), 0)::BIGINT AS n_code FROM (SELECT tile, label, count(*) AS k FROM tiles WHERE label IS NOT NULL GROUP BY 1, 2) GROUP BY tile),
+    cuts AS (SELECT * FROM (VALUES {", ".join(f"('{k}', DATE '{v}')" for k, v in CHECKPOINTS.items())}) AS c(checkpoint, cut)), d AS (SELECT tile, checkpoint, count(DISTINCT CASE WHEN date_trunc('month', date) <= cut THEN date_trunc('month', date) END) AS n_dates FROM tiles, cuts GROUP BY 1, 2)
+    SELECT tile, checkpoint, n_dates, coalesce(n, 0) AS n, coalesce(n_classes, 0) AS n_classes, coalesce(n_code, 0) AS n_code, CASE WHEN n_dates = 0 THEN 'INSUFFICIENT_DATES' WHEN coalesce(n, 0) < 50 OR coalesce(n_classes, 0) < 2 OR coalesce(n_code, 0) < 5 THEN 'INSUFFICIENT_SAMPLES' WHEN n_dates = 1 THEN 'LOW_DATE_COUNT' ELSE 'TRAINED' END AS status FROM d LEFT JOIN n USING (tile)"""
+)
+def cell_status(spark, sf_dir):
+    return cell_points(spark, sf_dir)[1]
+
+
 @query()
 def classified_pixels(spark, sf_dir):
-    """A forest on order lines as pixels (Spark ML's trees: no SQL)."""
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell"), "l_quantity", "l_discount", "l_tax", F.when(F.col("l_quantity") > 25, 1.0).when(F.col("l_discount") > 0.05, 5.0).otherwise(0.0).alias("label"))
-    return models.classify_pixels(li, li.filter("cell % 3 = 0"), ["l_quantity", "l_discount", "l_tax"], "label", 1, trees=20).select("cell", "is_class", "confidence")
+    """A forest of 100 trees for every tile and checkpoint that can be trained, on the bands known by then (Spark ML's trees: no SQL)."""
+    points, status = cell_points(spark, sf_dir)
+    known = {"early": ["l_quantity"], "middle": ["l_quantity", "l_discount"], "late": ["l_quantity", "l_discount", "l_tax"]}
+    out = models.classify_cells(tiles(spark, sf_dir), points, status, "tile", "label", lambda _, checkpoint: known[checkpoint], scratch(spark, "cells"))
+    return out.select("tile", "checkpoint", "cell", "is_class", "confidence")
 
 
 # streams' rules on finished tables

@@ -42,15 +42,28 @@ def test_against_sql(spark, con, name):
 
 
 def test_models_give_whole_results(spark):
-    share = registry.QUERIES["gbt_importance"](spark, SF).toPandas()
-    assert len(share) == 3 and share.share.sum() == pytest.approx(1)
-    pixels = registry.QUERIES["classified_pixels"](spark, SF).toPandas()
-    assert len(pixels) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and pixels.confidence.between(0, 1).all() and 0 < pixels.is_class.mean() < 1
+    share = registry.QUERIES["gbt_importance"](spark, SF).toPandas().set_index("feature")
+    assert len(share) == 4 and share.share.sum() == pytest.approx(1) and share.share["constant"] == 0 == share.n_splits["constant"]
     assert set(registry.QUERIES["swept_runs"](spark, SF).toPandas().seed) == {1, 2, 3}
+    curve = registry.QUERIES["tree_count_sweep"](spark, SF).toPandas()
+    assert sorted(curve.trees) == [5, 10, 15, 20] and curve.n.nunique() == 1
     p = registry.QUERIES["test_pvalues"](spark, SF).toPandas()
     assert all(p[c].dropna().between(0, 1).all() for c in ("p_t", "p_dm", "p_ja", "p_jb", "p_w"))
 
 
+def test_classified_pixels(spark):
+    """All pixels of every tile and checkpoint that can be trained, and no others."""
+    status = registry.QUERIES["cell_status"](spark, SF).toPandas().set_index(["tile", "checkpoint"]).status
+    assert {"TRAINED", "INSUFFICIENT_SAMPLES"} <= set(status)
+    got = registry.QUERIES["classified_pixels"](spark, SF).toPandas()
+    sizes = further.tiles(spark, SF).groupBy("tile").count().toPandas().set_index("tile")["count"]
+    want = {c: sizes[c[0]] for c, s in status.items() if s in ("TRAINED", "LOW_DATE_COUNT")}
+    assert got.groupby(["tile", "checkpoint"]).size().to_dict() == want and got.confidence.between(0, 1).all()
+    truth = further.tiles(spark, SF).select("cell", ((further.F.col("l_quantity") > 25)).alias("truth")).toPandas().drop_duplicates("cell", keep=False)
+    late = got[got.checkpoint == "late"].merge(truth, on="cell")
+    assert (late.is_class == late.truth).mean() > 0.95
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
