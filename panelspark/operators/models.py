@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from panelspark.sources.shared import scratch, written
+from panelspark.sources.shared import scratch, there, written
 
 from .joins import common_cohort, restrict
 from .metrics import train_medians
@@ -159,13 +159,6 @@ def backtest(panel: DataFrame, years: list[int], doys: list[int], cols: list[str
     return union_all(*out)
 
 
-def there(spark, path: str) -> set[str]:
-    """The names of the folders in a folder; none if it isn't there."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {f.getPath().getName() for f in files.listStatus(at) if f.isDirectory() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))} if files.exists(at) else set()
-
-
 def sweep(job: Callable[[int], DataFrame], runs: list[int], path: str, spark, name: str = "run") -> DataFrame:
     """Runs that aren't there yet, or didn't end, are written to their own partition; gives all of them."""
     have = there(spark, path)

@@ -154,6 +154,23 @@ def parsed_once(spark, sf_dir):
     return src.cache_parsed(n.limit(0), path, "d1")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS price, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS first_read, 2::BIGINT AS then_read FROM orders WHERE o_orderstatus <> 'P'")
+def staged_inputs(spark, sf_dir):
+    """Files by status: after the first run one changes and one is emptied; the second run reads these two alone."""
+    o = orders(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    root, path = scratch(spark, "inputs"), scratch(spark, "staged")
+    put = lambda df, status: df.filter(F.col("o_orderstatus") == status).drop("o_orderstatus").coalesce(1).write.mode("overwrite").csv(f"{root}/{status}", header=True)
+    for status in [r[0] for r in o.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]:
+        put(o, status)
+    columns = {"o_orderkey": F.col("o_orderkey").cast("long"), "price": F.col("o_totalprice").cast("double")}
+    run = lambda: src.staged(spark, root, path, lambda paths: spark.read.csv(paths, header=True), columns, "o_orderkey long, price double", "*.csv")
+    _, first = run()
+    put(o.withColumn("o_totalprice", -F.col("o_totalprice")), "F")
+    put(o.limit(0), "P")
+    rows, then = run()
+    return rows.withColumns({"first_read": F.lit(first).cast("long"), "then_read": F.lit(then).cast("long")})
+
+
 @query("SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS fips, CASE WHEN n_nationkey % 2 = 0 THEN 'map ' || n_name ELSE n_name END AS name FROM nation")
 def names_of_units(spark, sf_dir):
     """Names from a map's features, else from a table."""
@@ -561,3 +578,49 @@ def complete_periods(spark, sf_dir):
     """Five-day windows in which a user has readings of two days at least."""
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "unit")
     return streams.stream_complete_periods(e, "unit", "ts", "5 days", "1 day", 2).select("unit", F.col("start").cast("timestamp_ntz").alias("start"), "n_days")
+
+
+# the same rules as streams: files that arrive in turn, run to their end
+
+#: Arrivals of events: the first half, the second half with some of the first again, and what comes late.
+ARRIVALS = """mid AS (SELECT min(ts) + to_seconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 2000000) AS m FROM events),
+arrived AS (SELECT CASE WHEN event_id % 10 = 0 THEN 2 WHEN ts < m THEN 0 ELSE 1 END AS arrival, user_id, event_type, ts, value FROM events, mid UNION ALL SELECT 1, user_id, event_type, ts, value FROM events, mid WHERE event_id % 7 = 0 AND event_id % 10 > 0 AND ts < m),
+marks AS (SELECT arrival, date_trunc('milliseconds', max(ts)) AS top FROM arrived GROUP BY 1),
+known AS (SELECT a.*, (SELECT max(top) FROM marks WHERE marks.arrival <= a.arrival - 2) AS seen, (SELECT max(top) FROM marks) AS last FROM arrived a)"""
+
+
+def arriving(spark, sf_dir, job) -> DataFrame:
+    """What the job's stream gives of events that arrive in three batches."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    low, high = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    first = F.unix_micros("ts") < (low or 0) + ((high or 0) - (low or 0)) // 2_000_000 * 1_000_000
+    late = F.col("event_id") % 10 == 0
+    again = e.filter(~late & first & (F.col("event_id") % 7 == 0))
+    path = scratch(spark, "arrivals")
+    files = streams.arrivals([e.filter(~late & first), e.filter(~late & ~first).unionAll(again), e.filter(late)], path)
+    return streams.landed(spark, path, e.schema, job, scratch(spark, "landed"), files)[0]
+
+
+WINDOW = "make_timestamp(epoch_us(ts) // 432000000000 * 432000000000)"
+
+
+@query(f"""WITH {ARRIVALS}, w AS (SELECT *, {WINDOW} AS start, {WINDOW} + INTERVAL '5 days' AS end_ FROM known) SELECT user_id, start, end_ AS "end", count(*) AS n, round(sum(value), 4) AS total FROM w WHERE (seen IS NULL OR end_ > seen - INTERVAL '1 day') AND end_ <= last - INTERVAL '1 day' GROUP BY 1, 2, 3""", digits=4)
+def streamed_trailing(spark, sf_dir):
+    """Five-day sums of a stream of files: windows come out once the watermark has passed them; what comes later is left out, repeats count."""
+    job = lambda rows: streams.stream_trailing(rows, "user_id", "ts", "5 days", "1 day", [F.count("*").alias("n"), F.sum("value").alias("total")])
+    out = arriving(spark, sf_dir, job)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(f"WITH {ARRIVALS} SELECT DISTINCT user_id, event_type, ts FROM known WHERE seen IS NULL OR ts > seen - INTERVAL '2 days'")
+def streamed_dedupe(spark, sf_dir):
+    """First arrivals of a stream of files."""
+    out = arriving(spark, sf_dir, lambda rows: streams.stream_dedupe(rows.select("user_id", "event_type", "ts"), ["user_id", "event_type", "ts"], "ts", "2 days"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"WITH {ARRIVALS}, w AS (SELECT *, {WINDOW} AS start, {WINDOW} + INTERVAL '5 days' AS end_ FROM known) SELECT user_id AS unit, start, count(DISTINCT ts::DATE) AS n_days FROM w WHERE (seen IS NULL OR end_ > seen - INTERVAL '1 day') AND end_ <= last - INTERVAL '1 day' GROUP BY 1, 2 HAVING count(DISTINCT ts::DATE) >= 2")
+def streamed_periods(spark, sf_dir):
+    """Windows of a stream of files that have readings of two days at least."""
+    job = lambda rows: streams.stream_complete_periods(rows.withColumnRenamed("user_id", "unit"), "unit", "ts", "5 days", "1 day", 2)
+    return arriving(spark, sf_dir, job).select("unit", F.col("start").cast("timestamp_ntz").alias("start"), "n_days")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.cleaning import clean_fips, fips_from_parts, num, num_us, survey_rows, yield_filter
 from panelspark.operators.reshape import union_all
 
+from .shared import there, written
+
 
 def read_text_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All columns as text, header names trimmed: ids keep their zeros."""
@@ -156,6 +160,32 @@ def cache_parsed(df: DataFrame, path: str, digest: str) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
+def staged(spark: SparkSession, root: str, path: str, read: Callable[[list[str]], DataFrame], columns: dict[str, Column], schema: str, pattern: str = "*") -> tuple[DataFrame, int]:
+    """The parsed rows of all files below `root`, of which only new and changed ones are read again; and how many files these were.
+
+    read: from paths to rows as they are in the files; columns: what is kept of them, of the types in `schema`. Below `path` the rows lie by their file's fingerprint
+    (SHA-256), and every run ends with a new manifest of paths and fingerprints. A manifest counts once it is whole, so a run that breaks off leaves the last
+    one in force and is simply run again. Copies of a file are parsed once and count once each; rows of files that are gone stay, but no manifest names them. A
+    file without rows is in the manifest. Only the names of changed files pass through the driver, as those of any files to read do.
+    """
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    current = written(now.select("path", F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("hash")), "fingerprints")
+    versions = sorted(int(v.split("=")[1]) for v in there(spark, f"{path}/manifest"))
+    known = spark.read.parquet(f"{path}/manifest/version={versions[-1]}") if versions else current.limit(0)
+    fresh = current.groupBy("hash").agg(F.min(F.struct("path", "file")).alias("one")).join(known.select("hash").distinct(), "hash", "left_anti")
+    paths = {r["path"]: (r["file"], r["hash"]) for r in fresh.select("one.*", "hash").collect()}
+    if paths:
+        named = spark.createDataFrame(list(paths.values()), "__path string, hash string")
+        rows = read(list(paths)).select(*[c.alias(k) for k, c in columns.items()], F.col("_metadata.file_path").alias("__path"))
+        rows.join(named, "__path").drop("__path").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("hash").parquet(f"{path}/rows")
+    version = (versions[-1] if versions else 0) + 1
+    current.write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+    if not paths and not versions:
+        return spark.createDataFrame([], schema), 0
+    kept = spark.read.schema(f"{schema}, hash string").parquet(f"{path}/rows")
+    return kept.join(spark.read.parquet(f"{path}/manifest/version={version}").select("hash"), "hash").drop("hash"), len(paths)
+
+
 def county_names(spark: SparkSession, geojson: str, fallback: DataFrame) -> DataFrame:
     """fips, name: from the features' properties, else from a table of fips and name; the first of several wins."""
     props = spark.read.json(geojson, multiLine=True).select(F.explode("features").alias("f")).select(F.col("f.properties.GEOID").alias("fips"), F.col("f.properties.NAME").alias("name"), F.lit(0).alias("__r"))

@@ -29,3 +29,27 @@ def stream_complete_periods(df: DataFrame, unit: str, ts: str, length: str, lag:
     days = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), day))).cast("bigint")
     out = stream_trailing(df, unit, ts, length, lag, [days.alias("n_days")])
     return out.filter(F.col("n_days") >= expected)
+
+
+def arrivals(batches: list[DataFrame], path: str, files: int = 4, first: int = 0) -> int:
+    """Writes batches of rows (the first has the number `first`), one after the other, as files of a folder that a stream reads; gives how many files each batch has.
+
+    Each batch is dealt evenly to `files` files (of a batch with fewer rows some may be missing: then the next batch moves up).
+    """
+    for i, rows in enumerate(batches, first):
+        rows.repartition(files).write.parquet(f"{path}/arrival={i}")
+    return files
+
+
+def landed(spark, source: str, schema, job, sink: str, files: int | None = None) -> tuple[DataFrame, int]:
+    """Runs a streaming job over all files that are there, in the order of their arrival, to its end; the sink's rows, and how many groups came too late.
+
+    job: from the streaming rows to the rows of the sink (append). files: how many a micro-batch takes. The folder `sink` holds the rows
+    and the checkpoint, so a run that was cut off goes on where it was, and one that is over adds only what has arrived since.
+    """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files or 1_000).parquet(source)
+    out = job(rows)
+    query = out.writeStream.format("parquet").outputMode("append").option("path", f"{sink}/rows").option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(out.schema).parquet(f"{sink}/rows"), late
