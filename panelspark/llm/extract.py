@@ -212,17 +212,20 @@ def path_of(chain: tuple[str, ...], last: str) -> tuple[str, ...]:
 def rebuilt(page: list[Block], label: np.ndarray, rng: np.random.Generator, pool: list[str]) -> tuple[list[Block], np.ndarray]:
     """The page's blocks in another layout; `pool` gives the boilerplate's words."""
     chain = CONTAINERS[rng.integers(len(CONTAINERS))]
-    inner = ["p", "p", "p", "h2", "blockquote", "li", "pre", "td", "figcaption", "div"]
-    body = []
+    inner = ["p", "p", "p", "h2", "blockquote", "li", "li", "pre", "td", "figcaption", "div"]
+    body, own_header = [], False
     for k, b in enumerate(b for b, y in zip(page, label) if y):
-        last = "h1" if k == 0 else inner[rng.integers(len(inner))]
-        more = ("header",) if k == 0 and rng.random() < 0.2 else WITHIN.get(last, ())
-        names = path_of((*chain, *more), last)
+        last = ("h1", "h1", "h1", "div.headline", "div.title")[rng.integers(5)] if k == 0 else inner[rng.integers(len(inner))]
+        own_header = own_header or k == 0 and rng.random() < 0.3
+        more = ("header",) if k == 0 and own_header else WITHIN.get(last, ())
+        names, last = path_of((*chain, *more), last), last.split(".")[0]
         body.append((b._replace(path=hashed(names, last), names=names, linked=float(rng.random() * 0.3 * (rng.random() < 0.2))), 1))
     before, after = [], []
-    for j in rng.permutation(len(AROUND))[: rng.integers(2, 9)]:
-        where, *inside = AROUND[j]
-        last = ["p", "li", "div", "span", "h3"][rng.integers(5)]
+    around = [AROUND[j] for j in rng.permutation(len(AROUND))[: rng.integers(2, 9)]]
+    if own_header:  # a page's header stands before an article that has one as well
+        around.append(AROUND[rng.integers(2)])
+    for where, *inside in around:
+        last = ["p", "li", "div", "span", "h3" if rng.random() < 0.5 else "h2"][rng.integers(5)]
         names = path_of((*(chain if where == "inside" else ()), *inside), last)
         linked = float(rng.random() < 0.5)
         for _ in range(rng.integers(1, 5)):
@@ -247,7 +250,8 @@ def learned(pages: list[str], seed: int) -> Labeller | None:
     labels = [np.array([is_content(b.names) for b in p], float) for p in seen]
     rng = np.random.default_rng(seed)
     pool = [b.text for p in seen for b in p]
-    both = list(zip(seen, labels)) + [rebuilt(p, y, rng, pool) for p, y in zip(seen, labels) if y.any() for _ in range(2)]
+    copies = 2 if len(seen) >= 100 else 5  # few pages are laid out anew more often
+    both = list(zip(seen, labels)) + [rebuilt(p, y, rng, pool) for p, y in zip(seen, labels) if y.any() for _ in range(copies)]
     cut = [(p[i : i + WINDOW], y[i : i + WINDOW]) for p, y in both for i in range(0, len(p), WINDOW)]
     return fit([p for p, _ in cut], [y for _, y in cut])
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,28 @@ def test_pages_labelled_by_hand(spark):
     assert len(lines) >= 2990 and "copyright" not in lines[-1]
 
 
+@pytest.mark.parametrize("page", ['<a "x ' * 150_000, "<a '\"> " * 150_000, "<div>x" * 50_000, "<div>" * 50_000 + "</b>" * 50_000 + "</p>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<script>" + "</script " * 100_000, "<" * 1_000_000, "<!--" * 200_000, "".join(f"<div class='{chr(97 + i % 26)}{'b' * (i % 50)}'>x" for i in range(50_000))])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    blocks = html_blocks.blocks(page)
+    assert time.process_time() - began < 15 and all(len(b.names) <= html_blocks.MOST_NAMES for b in blocks)
+
+
+def test_quotes_that_never_close():
+    text = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert text("""<p title="a>b">one</p><p title='>'>two</p><p title="x>three</p><p>four""") == ["one", "two", "three", "four"]
+    assert text("<p>1 < 2 and <3</p><![CDATA[ gone ]]><script>'</scrip>'</script x>kept<!-- to the end <p>no") == ["1 < 2 and <3", "kept"]
+
+
+def test_a_page_header_before_an_article_with_its_own(spark):
+    net = extract.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    story = "".join(f"<p>Sentence number {i} of the story, long enough to be a paragraph of its own.</p>" for i in range(6))
+    page = f"<body><header><h2>Site name</h2></header><article><header><h1>The headline of the story</h1></header>{story}</article><footer><p>Copyright of the site</p></footer></body>"
+    plain = f"<body><nav><a href=x>Home</a></nav><article><div class='headline'>The headline of the story</div>{story}</article></body>"
+    got = {r.page_id: r.text.split("\n") for r in extract.extract(spark.createDataFrame([(1, "u", page), (2, "u", plain)], "page_id long, url string, html string"), net).collect()}
+    assert "Site name" not in got[1] and len(got[1]) == 7 and "Home" not in got[2] and len(got[2]) == 7
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     net = extract.train(pages, max_pages=60)
