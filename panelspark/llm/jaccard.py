@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, M1, M2, M3, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, word_ranges
+from .common import LOWER, M1, M2, M3, U, WORD, chunks, flat, hash_ranges, mix, stored, texts_of, tidy, word_ranges
 from .components import components
 
 #: Sets, and shingles, of a block of a group, on average; sets that are held against a block in one task, about.
@@ -117,7 +117,7 @@ def describe(docs: DataFrame, k: int, by_text: bool = False) -> DataFrame:
         if waiting is not None:
             yield made(waiting, repeated(held))
 
-    return texts_of(docs, *(text_hash().alias(c) for c in more)).mapInArrow(run, "doc_id long, n long, set long, late array<long>, late_n array<int>" + "".join(f", {c} long" for c in more))
+    return texts_of(docs, *(text_hash().alias(c) for c in more)).mapInArrow(tidy(run), "doc_id long, n long, set long, late array<long>, late_n array<int>" + "".join(f", {c} long" for c in more))
 
 
 def given(n, percent: int):
@@ -183,7 +183,7 @@ def given_out(docs: DataFrame, k: int, percent: int, late: np.ndarray, counts: n
             tokens, salts = (np.concatenate(x) if x else np.zeros(0) for x in (tokens, salts))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(salts.astype(np.int32)), pa.array(np.repeat(np.array(owners, np.int64), sizes))], names=["token", "salt", "set"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "token long, salt int, set long")
+    return texts_of(docs).select("text").mapInArrow(tidy(run), "token long, salt int, set long")
 
 
 def holders(given: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def holders(given: DataFrame) -> DataFrame:
             shown = bool(size[-1] > 1 or x[-1] > 0 or (len(at) == 1 and shown))
             open_run, head = (t[-1:], x[-1:], s[-1:]), heads[-1]
 
-    return given.repartition("token", "salt").sortWithinPartitions("token", "salt", "set").mapInArrow(run, "token long, salt int, set long, head long")
+    return given.repartition("token", "salt").sortWithinPartitions("token", "salt", "set").mapInArrow(tidy(run), "token long, salt int, set long, head long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -243,8 +243,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     rows.append((fp, s))
             yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.astype(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["set", "n", "tokens"])
 
-    near = texts_of(docs).filter("doc_id is not null").withColumn("slot", slot).mapInArrow(marked, "doc_id long, text string")
-    return near.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "set long, n long, tokens array<long>")
+    near = texts_of(docs).filter("doc_id is not null").withColumn("slot", slot).mapInArrow(tidy(marked), "doc_id long, text string")
+    return near.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(run), "set long, n long, tokens array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +343,7 @@ def opened(rows: DataFrame, percent: int) -> DataFrame:
                     block.ask(*row[1:])
         yield from close()
 
-    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(run, "a long, b long")
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 class Block:

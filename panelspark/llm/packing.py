@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, texts_of
+from .common import chunks, stored, texts_of, tidy
 from .encoders import encoder
 
 STORE = "part int, row long, doc_id long, n_tokens long, n_full long, full_before long, rem int, rem_rank long, crcs array<long>, tokens binary"
@@ -79,7 +79,7 @@ def encode_store(docs: DataFrame, vocabulary: str, end: int, window: int) -> Dat
             )
             row, full = row + len(n), full + int(n_full.sum())
 
-    return stored(texts_of(docs).mapInArrow(run, STORE), "packing", compression="zstd", **{"parquet.enable.dictionary": "false"})
+    return stored(texts_of(docs).mapInArrow(tidy(run), STORE), "packing", compression="zstd", **{"parquet.enable.dictionary": "false"})
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
                 schema=PIECES_ARROW,
             )
 
-    pieces = placed.mapInArrow(places, PIECES)
+    pieces = placed.mapInArrow(tidy(places), PIECES)
     planned = F.create_map(*[F.lit(int(x)) for k in np.flatnonzero(plan.planned).tolist() for x in (k, plan.planned[k])]) if plan.planned.any() else None
     beyond = placed.filter(F.col("rem") > 0)
     if planned is not None:
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = 2048) -> tupl
 
     some = np.flatnonzero(histogram > plan.planned).tolist()  # lengths of which not all are planned: window - 1 at most
     rest = store.filter(F.col("rem").isin(some)).select("part", "row", "doc_id", "n_tokens", "rem", F.expr(f"substring(tokens, cast((n_tokens - rem) * {width} + 1 as int), rem * {width})").alias("tokens")).join(stream.hint("merge"), ["part", "row"])  # alike at every size
-    return pieces.unionByName(rest.mapInArrow(cut, PIECES)), store
+    return pieces.unionByName(rest.mapInArrow(tidy(cut), PIECES)), store
 
 
 def sequences(pieces: DataFrame, store: DataFrame, vocabulary: str) -> DataFrame:
@@ -281,4 +281,4 @@ def sequences(pieces: DataFrame, store: DataFrame, vocabulary: str) -> DataFrame
     cut = F.expr(f"substring(tokens, cast(start * {width} + 1 as int), cast(length * {width} as int))").alias("ids")
     parts = pieces.join(store.select("part", "row", "tokens"), ["part", "row"]).select("sequence_id", F.struct("offset", cut).alias("piece"))
     whole = parts.groupBy("sequence_id").agg(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"]).alias("ids"))
-    return whole.mapInArrow(run, "sequence_id long, ids array<int>")
+    return whole.mapInArrow(tidy(run), "sequence_id long, ids array<int>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, U, WORD, chunks, flat, gathered, hash_ranges, mix, texts_of, word_ranges
+from .common import M1, M2, M3, U, WORD, chunks, flat, gathered, give_back, hash_ranges, mix, texts_of, tidy, word_ranges
 
 #: Hash buckets of each of the four families of n-grams.
 BUCKETS, FAMILIES = 1 << 12, 4
@@ -286,15 +286,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1600) -> Model | N
             for doc, label, at, value in zip(batch["doc_id"].to_pylist(), batch["quality"].to_pylist(), batch["at"], batch["value"]):
                 i = place[np.searchsorted(ids, doc)]
                 x[i, at.values.to_numpy()], y[i] = value.values.to_numpy(), label
-        del rows
+        del rows, batch, at, value
+        give_back()
         if min((y == 0).sum(), (y == 1).sum()) < LEAST:  # labels whose documents aren't there
             return
         model = fit(x, y, share)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.ravel()], pa.list_(pa.float64())), *(pa.array([v], pa.float64()) for v in (model.bias, model.slope, model.shift))], names=["weights", "bias", "slope", "shift"])
 
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = once.mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").repartition(1)  # max_rows at most
-    found = rows.mapInArrow(learn, "weights array<double>, bias double, slope double, shift double").collect()
+    rows = once.mapInArrow(tidy(run), "doc_id long, quality int, at array<int>, value array<float>").repartition(1)  # max_rows at most
+    found = rows.mapInArrow(tidy(learn), "weights array<double>, bias double, slope double, shift double").collect()
     return Model(np.array(found[0]["weights"]).reshape(FAMILIES, BUCKETS), *found[0][1:]) if found else None
 
 
@@ -321,7 +322,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, judged(batch, model, threshold))], names=names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in OUT) + ", base_failed boolean, probability double, kept boolean")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{k} {t}" for k, t in OUT) + ", base_failed boolean, probability double, kept boolean")
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
@@ -331,4 +332,4 @@ def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
         for batch in chunks(batches):
             yield batch.filter(pa.array(judged(batch, model, threshold)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

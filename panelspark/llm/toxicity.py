@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP, LOWER, M1, M2, U, chunks, flat, gathered, texts_of, windows8
+from .common import KEEP, LOWER, M1, M2, U, chunks, flat, gathered, texts_of, tidy, windows8
 
 BITS, ORDERS, BAG, DIM = 17, (3, 4, 5), 3, 12
 #: The share of toxic documents at which scores are calibrated: above the corpus's own, as a miss costs more than a false alarm.
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
         yield pa.RecordBatch.from_arrays([pa.array([model.scalar], pa.list_(pa.float64())), pa.array([model.slope]), pa.array([model.shift])], names=["scalar", "slope", "shift"])
 
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = once.repartition(1).mapInArrow(learn, "scalar array<double>, slope double, shift double").collect()
+    found = once.repartition(1).mapInArrow(tidy(learn), "scalar array<double>, slope double, shift double").collect()
     return Model(np.array(found[0]["scalar"]), found[0]["slope"], found[0]["shift"]) if found else None
 
 
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s = np.zeros(batch.num_rows) if model is None else model.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
@@ -227,4 +227,4 @@ def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
         for batch in chunks(batches):
             yield batch if model is None else batch.filter(pa.array(model.scores(batch.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
