@@ -94,3 +94,22 @@ def test_forests_by_cell(spark, tmp_path):
     assert run().count() == 1000 and before == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}  # nothing is computed again
     none = models.classify_cells(df, points, status.limit(0), "tile", "label", lambda t, c: [], path)
     assert none.count() == 0 and none.columns == [*df.columns, "checkpoint", "is_class", "confidence"]
+
+
+def test_newest_copy_wins(spark):
+    """Of files of one name the newest; of equally old ones the last path."""
+    from panelspark.sources import tables
+
+    t = dt.datetime(2024, 1, 1)
+    files = spark.createDataFrame([("a.csv", "x/a.csv", t), ("a.csv", "y/a.csv", t + dt.timedelta(1)), ("b.csv", "x/b.csv", t), ("b.csv", "z/b.csv", t)], "name string, path string, modificationTime timestamp")
+    assert {tuple(r) for r in tables.dedupe_files_newest(files).select("name", "path").collect()} == {("a.csv", "y/a.csv"), ("b.csv", "z/b.csv")}
+    assert tables.dedupe_files_newest(files.limit(0)).count() == 0
+
+
+def test_shares_of_an_array(spark):
+    """Each place of an array is a row under its feature's name; empty and missing arrays give none."""
+    from panelspark.operators import reshape
+
+    rows = spark.createDataFrame([(1, [0.25, 0.75]), (2, []), (3, None), (4, [1.0, None])], "fit int, shares array<double>")
+    got = {(r.fit, r.feature): r.share for r in reshape.long_importance(rows, ["fit"], ["a", "b"], "shares").collect()}
+    assert got == {(1, "a"): 0.25, (1, "b"): 0.75, (4, "a"): 1.0, (4, "b"): None}
