@@ -36,8 +36,8 @@ from .components import components
 
 #: Sets, and shingles, of a block of a group, on average; sets that are held against a block in one task, about.
 BLOCK, BLOCK_TOKENS, QUERIES = 128, 400_000, 1024
-#: Holders of a common shingle that are dealt out together, about.
-RUN_OF_HOLDERS = 4096
+#: Holders of a common shingle that are dealt out together, about; blocks that share a shingle and meet in one task, about.
+RUN_OF_HOLDERS, CROWD = 4096, 1024
 #: A set follows a leader that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
 PART, MARKS = 4, 1 << 24
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
@@ -296,15 +296,33 @@ def may_link(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(held: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """x, y: blocks, x < y, some members of which share so many given-out shingles that they may be linked."""
-    per_block = held.select("token", "set").join(grouped.select("set", "n", "block"), "set").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    """x, y: blocks, x < y, some members of which share so many given-out shingles that they may be linked.
+
+    The blocks of a very common shingle are dealt to runs of about CROWD, and each two runs meet in a task of their own.
+    """
+    per_block = held.select("token", "salt", "set").join(grouped.select("set", "n", "block"), "set").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("salt").alias("salt"))
     per_block = stored(per_block, "near-tokens")
-    a, b = (per_block.select("token", F.col("block").alias(to), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for to, s in (("x", "a"), ("y", "b")))
-    met = a.join(b, "token").filter((F.col("x") < F.col("y")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent))
+    # only shingles among the last LATE have salts, so there are LATE rows at most
+    crowds = stored(per_block.filter("salt > 0").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("runs")).filter("runs > 1"), "near-crowds")
+    if crowds.isEmpty():
+        met = meeting(per_block, per_block, ["token"], percent)
+    else:
+        few = per_block.join(F.broadcast(crowds), "token", "left_anti")
+        many = per_block.filter("salt > 0").join(F.broadcast(crowds), "token").withColumn("run", F.pmod(F.xxhash64("block"), F.col("runs")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("runs") - 1))
+        first, second = many.withColumn("i", F.col("run")).withColumn("j", every), many.withColumn("j", F.col("run")).withColumn("i", every)
+        met = meeting(few, few, ["token"], percent).unionByName(meeting(first, second, ["token", "i", "j"], percent))
     ranges = [f(c).alias(c) for f, c in ((F.min, "low_a"), (F.max, "high_a"), (F.min, "low_b"), (F.max, "high_b"))]
     return may_link(met.groupBy("x", "y").agg(F.count("*").alias("c"), *ranges), percent).select("x", "y")
 
 
+def meeting(first: DataFrame, second: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """x, y, low_a, high_a, low_b, high_b: a row for each shingle and two blocks, x < y, whose sizes allow a link."""
+    a, b = (t.select(*keys, F.col("block").alias(to), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for t, to, s in ((first, "x", "a"), (second, "y", "b")))
+    sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    return a.join(b, keys).filter((F.col("x") < F.col("y")) & sizes).drop(*keys)
+
+
 def opened(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: spanning links found by opening blocks.
 
@@ -458,6 +476,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: boo
     least = named.groupBy("comp").agg(first, F.sum("copies").alias("size")).select("comp", *[F.col(c).alias(to) for c, to in zip(split, ("component_id", "component_hash"))], "size")
     shared = stored(named.join(least.filter("size > 1"), "comp").select("set", *least.columns[1:-1]), "near-names")
     more = ["text_hash"] if by_text else []
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"), *more).join(shared, "set", "left")
+    # sets that are empty get keys of their own and so spread over all tasks; a key that happens to be a set's is ruled out by `real`
+    real = F.col("n_shingles") > 0
+    key = F.when(F.col("n") > 0, F.col("set")).otherwise(F.xxhash64("doc_id"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles"), key.alias("set"), *more).join(shared, "set", "left")
+    out = out.withColumns({c: F.when(real, F.col(c)) for c in shared.columns[1:]})
     hashes = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_hash", "text_hash")).alias("component_hash")] if by_text else []
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *hashes)

@@ -237,17 +237,18 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> D
     size = size[0] if size else 0
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == size)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    able = rows.filter(good & finite & F.exists("embedding", lambda x: x != 0))
+    usable = F.coalesce(good & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    able = rows.filter(usable)
     reps = stored(able.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "embedding"), "vec-distinct")
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not size or reps.isEmpty():
-        return none
+        return alone
     links, ties = linked_vectors(reps, cosine, blocks)
     comps = components(ties)
     found = stored(
         reps.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id")),
         "vec-found",
     )
-    out = rows.withColumn("key", F.when(good, F.col("embedding"))).join(found.withColumnRenamed("embedding", "key"), "key", "left")
-    comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
+    # vectors that link with nothing take no part in the join, whatever their number
+    named = able.join(found, "embedding").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return named.unionByName(alone)

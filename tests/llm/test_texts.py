@@ -238,7 +238,7 @@ def chained(spark):
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs", "chained", "small blocks"])
 def test_jaccard(spark, request, which, monkeypatch):
     if which == "small blocks":  # many blocks, salts and parts
-        for name, value in (("BLOCK", 4), ("RUN_OF_HOLDERS", 8), ("QUERIES", 3)):
+        for name, value in (("BLOCK", 4), ("RUN_OF_HOLDERS", 8), ("QUERIES", 3), ("CROWD", 2)):
             monkeypatch.setattr(jaccard, name, value)
     df = chained(spark) if which in ("chained", "small blocks") else request.getfixturevalue(which)
     want = brute_classes([r for r in df.collect() if r.doc_id is not None])
@@ -248,6 +248,35 @@ def test_jaccard(spark, request, which, monkeypatch):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_block_pairs_of_common_shingles(spark, monkeypatch):
+    """Each two blocks meet once for each shingle they share, in however many runs a shingle's blocks are dealt."""
+    rng = np.random.default_rng(3)
+    grouped = spark.createDataFrame([(s, s, int(rng.integers(4, 12)), s // 3) for s in range(150)], "set long, doc_id long, n long, block long")
+    held = [(t, int(rng.integers(1, 5)), s, 0) for t in range(4) for s in range(150) if rng.random() < 0.5] + [(t, 0, int(s), 0) for t in range(4, 60) for s in rng.choice(150, 5, False)]
+    held = spark.createDataFrame(held, "token long, salt int, set long, head long")
+    size_of, block_of = ({r[0]: r[i] for r in grouped.collect()} for i in (2, 3))
+    of_token = {}
+    for r in held.collect():
+        of_token.setdefault(r.token, {}).setdefault(block_of[r.set], []).append(size_of[r.set])
+    shared = {}
+    for blocks in of_token.values():
+        for x, y in ((x, y) for x in blocks for y in blocks if x < y):
+            a, b = blocks[x], blocks[y]
+            if max(a) * 100 >= min(b) * 75 and max(b) * 100 >= min(a) * 75:
+                shared.setdefault((x, y), []).append((min(a), max(a), min(b), max(b)))
+    back = lambda n: n - (n - math.ceil(n * 75 / 100) + 1)
+    want = set()
+    for xy, rows in shared.items():
+        low_a, high_a, low_b, high_b = min(r[0] for r in rows), max(r[1] for r in rows), min(r[2] for r in rows), max(r[3] for r in rows)
+        fits = high_a * 100 >= low_b * 75 and high_b * 100 >= low_a * 75
+        if fits and len(rows) + max(back(high_a), back(high_b)) >= math.ceil((low_a + low_b) * 75 / 175):
+            want.add(xy)
+    for crowd in (10**6, 20, 3):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        got = [tuple(r) for r in jaccard.block_pairs(held, grouped, 75).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
 def test_language_model(request, which):
     df = request.getfixturevalue(which)

@@ -67,6 +67,22 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(51)) and got[100] == got[80] == 60
 
 
+def test_components_with_stored_minima(spark, monkeypatch):
+    """Nodes with thousands of links, tied to each other by one; and no links at all."""
+    links = [(10_000, i) for i in range(100, 3000)] + [(50, i) for i in range(5000, 9000)] + [(2999, 8999)]
+    want = {n: 50 for link in links for n in link}
+    monkeypatch.setattr("panelspark.llm.components.MANY", 1000)
+    for rows, classes in ((links, want), ([], {})):
+        got = [tuple(r) for r in components(spark.createDataFrame(rows, "a long, b long")).collect()]
+        assert dict(got) == classes and len(got) == len(classes)
+
+
+def test_vectors_of_signed_zeros(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [0.0, -0.0]), (4, []), (5, [1.0, float("-inf")])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True)}
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><header><div class=logo>Site</div></header><nav><ul><li><a href=/>Home</a></ul></nav><script>var t='</p>';</script><article><h1>A &amp; B</h1><p><b>First   text of the\n story goes on here.<br><p>Second text, quite long, of the same story.</article><div class=ad>Buy now</div><section id=comments><p>Nice one.</p></section><footer>&copy; 2020</footer>"
 
 
