@@ -3,11 +3,12 @@
 A word's vector is the mean of the vectors of its hashed character n-grams (3, 4 and 5 bytes, word ends marked), so a misspelling that was never
 seen shares most of its word's vectors. A bag is a run of `BAG` words; its mean vector goes through a linear softmax. A
 document is as toxic as its most toxic bag: few insults in a long text count as in a short one. Vectors and softmax are trained
-together, each document teaching through its leading bags. The margin is calibrated on a fold kept apart.
+together, each document teaching through one bag a round: drawn by the softmax of bags' margins while the rounds cool, as no bag is known to
+be the insult at first, then the leading one. The margin is calibrated on a fold kept apart.
 
 Learning uses a sample of labelled rows bounded by `max_rows`, in one task; labels, language, source and doc_id are no inputs. Null or
 empty texts get the score of a text without words, the lowest. Labels that are null or have no document are left out; without labels of
-both classes all scores are 0. Rows that repeat are scored each. Very long texts are scored as a whole. A score of exactly the
+both classes, with fewer than 20 labelled rows or none with a word, all scores are 0. Rows that repeat are scored each. Very long texts are scored as a whole. A score of exactly the
 threshold counts as toxic. An empty table gives no rows. Further columns are ignored by `score`, and returned as they are by `keep`.
 """
 
@@ -28,6 +29,8 @@ from .common import KEEP, LOWER, M1, M2, U, chunks, flat, gathered, texts_of, ti
 BITS, ORDERS, BAG, DIM = 17, (3, 4, 5), 3, 12
 #: The share of toxic documents at which scores are calibrated: above the corpus's own, as a miss costs more than a false alarm.
 PRIOR = 0.25
+#: Bags are drawn at this heat at first, at none after this share of the rounds; a round draws about so many bags, if the texts are fewer.
+HEAT, HEATED, PULLS = 5.0, 0.7, 1500
 #: A-Z in lower case; bytes that are neither letters, digits nor part of a longer character end a word.
 FOLD = LOWER.copy()
 for _b in range(128):
@@ -91,7 +94,7 @@ class Model:
 
 
 def fit(texts: pa.Array, y: np.ndarray, share: float, rounds: int = 160, rate: float = 0.05, seed: int = 7) -> Model:
-    """Vectors and softmax by Adam on the leading bags of each text; every fifth text is kept for the calibration.
+    """Vectors and softmax by Adam on drawn, then on leading bags of each text; every fifth text of a class is kept for the calibration.
 
     share: of rows with label 1 where the model is to be used.
     """
@@ -109,21 +112,28 @@ def fit(texts: pa.Array, y: np.ndarray, share: float, rounds: int = 160, rate: f
     soft = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vec, soft, bias)]
-    apart = np.arange(len(y)) % 5 == 4
+    apart = np.zeros(len(y), bool)
+    for kind in (0, 1):
+        apart[np.flatnonzero(y == kind)[4::5]] = True
     row_of = np.repeat(np.arange(len(y)), np.diff(first))
     filled = np.flatnonzero(np.diff(first))
-
-    def leading(scalar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        of_word = np.add.reduceat(scalar[gram], begin[:-1]) / counts
-        bags, _ = bag_means(of_word[word], first)
-        best = np.maximum.reduceat(bags, first[filled])
-        at = np.flatnonzero(bags == np.repeat(best, np.diff(first)[filled]))
-        top = at[np.unique(row_of[at], return_index=True)[1]]
+    length = np.diff(first)[filled]
+
+    def leading(scalar: np.ndarray, heat: float = 0.0, draws: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Bags of each text and their means: the highest one, or with heat so many, drawn by the softmax of means / heat."""
+        bags, _ = bag_means((np.add.reduceat(scalar[gram], begin[:-1]) / counts)[word], first)
+        tops = []
+        for _ in range(draws):
+            order = bags - heat * np.log(rng.exponential(size=len(bags))) if heat else bags
+            at = np.flatnonzero(order == np.repeat(np.maximum.reduceat(order, first[filled]), length))
+            tops.append(at[np.unique(row_of[at], return_index=True)[1]])
+        top = np.concatenate(tops)
         return top, bags[top]
 
-    n_bag = np.arange(BAG)
+    n_bag, draws = np.arange(BAG), max(round(PULLS / max(len(filled), 1)), 1)
     for t in range(1, rounds + 1):
-        top, _ = leading(vec @ (soft[:, 1] - soft[:, 0]))
+        heat = max(HEAT * (1 - t / (HEATED * rounds)), 0.0)
+        top, _ = leading(vec @ (soft[:, 1] - soft[:, 0]), heat, draws if heat else 1)
         rows = row_of[top]
         use = ~apart[rows] & (rng.random(len(rows)) < 0.7)
         top, rows = top[use], rows[use]
@@ -199,9 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
         ids = rows["doc_id"].to_numpy()
         order = np.lexsort((ids, [zlib.crc32(b"%d" % i) for i in ids.tolist()]))
         y = rows["toxic"].to_numpy()[order].astype(np.float32)
-        if len(set(y.tolist())) < 2 or len(y) < 20:
+        texts = rows["text"].combine_chunks().take(pa.array(order))
+        if len(set(y.tolist())) < 2 or len(y) < 20 or not len(grams(texts)[1]):
             return
-        model = fit(rows["text"].combine_chunks().take(pa.array(order)), y, PRIOR)
+        model = fit(texts, y, PRIOR)
         yield pa.RecordBatch.from_arrays([pa.array([model.scalar], pa.list_(pa.float64())), pa.array([model.slope]), pa.array([model.shift])], names=["scalar", "slope", "shift"])
 
     once = texts_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
