@@ -6,10 +6,10 @@ All links at or above the threshold count, and none below. Steps:
 2. Two sets can only be linked if they share one of the first n - ceil(t n) + 1 shingles of each in any common order. Each
    set gives these out; a shingle that only one set gives is dropped at once. The order puts shingles that recur often last. How often
    is counted over all documents, run by run; the order decides how much work is done, never the result.
-3. Each set goes to the group of the set (its leader) that comes first among the holders of most of its given-out shingles, or a good part of them,
-   so a crowd of similar sets is few groups, whether its members are linked or not. Large groups are cut into blocks.
-4. Blocks that share given-out shingles are counted, block by block, never set by set: with fewer shared ones than the sizes ask for, no
-   member of one can be linked with a member of the other.
+3. Each set follows the set that comes first among the holders of most of its given-out shingles, or a good part of them, and so on to one that
+   follows nobody; crowds then follow crowds. So a crowd of similar sets is one group or few, whether its members are linked or not. Large groups are cut into blocks.
+4. Groups that share given-out shingles are counted, group by group, never set by set, nor block by block: with fewer shared ones than the sizes ask
+   for, no member of one can be linked with a member of the other. Blocks are paired after that, once for two groups, not once for a shingle.
 5. Sets are held against their leaders first; blocks whose members these links tie together are done with.
 6. The matrix holds the union of its members' shingles for each block left. A set of another block that may be linked
    is held against the union: if it has fewer than ceil(t n) of its shingles there, the block stays closed. Blocks that qualify are
@@ -36,9 +36,9 @@ from .components import components
 
 #: Sets, and shingles, of a block of a group, on average; sets that are held against a block in one task, about.
 BLOCK, BLOCK_TOKENS, QUERIES = 128, 400_000, 1024
-#: Holders of a common shingle that are dealt out together, about; blocks that share a shingle and meet in one task, about.
+#: Holders of a common shingle that are dealt out together, about; groups that share a shingle and meet in one task, about.
 RUN_OF_HOLDERS, CROWD = 4096, 1024
-#: A set follows a leader that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
+#: A set follows another that shares at least this part of what it gives out (1 / PART); bits that mark wanted documents.
 PART, MARKS = 4, 1 << 24
 #: Shingles that are moved to the end of the order, at most (the most frequent ones); others keep the order of their hashes.
 LATE = 1 << 19
@@ -265,24 +265,52 @@ def kept_back(n, percent: int):
     return n - given(n, percent)
 
 
-def in_blocks(held: DataFrame, size_of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """set, doc_id, n, block of all sets that share a given-out shingle; and a, b, c: sets to hold against each other first.
+def voted(votes: DataFrame) -> DataFrame:
+    """a, b, c: for each a the b that shares most with it (c)."""
+    best = votes.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("x"))
+    return best.select("a", (-F.col("x.b")).alias("b"), F.col("x.c").alias("c"))
 
-    A set's leader is the head of most of its given-out shingles, if it heads a good part of them; leaders lead themselves.
+
+def followed(leads: DataFrame, jumps: int = 3) -> DataFrame:
+    """a, leader: where it gets by following who follows whom (a, b), for 2^jumps steps. Every b is smaller than its a, so there are no rings."""
+    known = stored(leads.select("a", "b"), "near-leads")
+    for _ in range(jumps):
+        known = stored(known.join(known.select(F.col("a").alias("b"), F.col("b").alias("next")), "b", "left").select("a", F.coalesce("next", "b").alias("b")), "near-leads")
+    return known.withColumnRenamed("b", "leader")
+
+
+def spread(held: DataFrame, grouped: DataFrame, unit: str) -> DataFrame:
+    """token, the unit (a column of grouped), low, high (sizes of the unit's sets that hold the token), salt (the largest)."""
+    rows = held.select("token", "salt", "set").join(grouped.select("set", "n", unit), "set")
+    return rows.groupBy("token", unit).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("salt").alias("salt"))
+
+
+def in_groups(held: DataFrame, size_of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """set, doc_id, n, group, block of all sets that share a given-out shingle; token, group, low, high, salt of shingles that several groups
+    hold; and a, b, c: sets to hold against each other first.
+
+    A set follows the head of most of its given-out shingles, if it heads a good part of them, and so on to one that follows nobody. Such crowds then
+    follow each other in the same way, so that a crowd of similar sets is one group however its members' edits split their shingles' heads.
     """
-    votes = held.filter("set <> head").groupBy("set", "head").agg(F.count("*").alias("c"))
-    best = votes.groupBy("set").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("x")).select("set", (-F.col("x.head")).alias("leader"), F.col("x.c").alias("c"))
-    best = stored(best, "near-votes")
-    leads = best.join(size_of.select("set", "n"), "set").filter(F.col("c") * PART >= given(F.col("n"), percent)).select("set", "leader")
-    leaders = leads.select(F.col("leader").alias("set")).distinct().withColumn("leads", F.lit(True))
-    grouped = size_of.join(leads, "set", "left").join(leaders, "set", "left").withColumn("leader", F.when(F.col("leads"), F.col("set")).otherwise(F.coalesce("leader", "set"))).drop("leads")
-    per_group = grouped.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).alias("parts"))
-    block = F.xxhash64("leader", F.pmod(F.xxhash64("set"), F.col("parts")))
-    grouped = grouped.join(per_group, "leader").select("set", "doc_id", "n", block.alias("block"))
+    best = stored(voted(held.filter("set <> head").groupBy(F.col("set").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c"))), "near-votes")
+    leads = best.join(size_of.select(F.col("set").alias("a"), "n"), "a").filter(F.col("c") * PART >= given(F.col("n"), percent))
+    crowds = stored(size_of.join(followed(leads).withColumnRenamed("a", "set"), "set", "left").withColumn("leader", F.coalesce("leader", "set")), "near-crowds")
+    rows = stored(spread(held, crowds, "leader"), "near-tokens")
+    several = rows.groupBy("token").agg(F.min("leader").alias("head"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
+    rows = stored(rows.join(several, "token"), "near-shared")
+    met = rows.filter("leader <> head").groupBy(F.col("leader").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c"), F.min("low").alias("n"))
+    closest = stored(voted(met).join(met.select("a", "b", "n"), ["a", "b"]), "near-votes")
+    upper = followed(closest.filter(F.col("c") * PART >= given(F.col("n"), percent)))
+    grouped = crowds.join(upper.select(F.col("a").alias("leader"), F.col("leader").alias("upper")), "leader", "left").withColumn("group", F.coalesce("upper", "leader"))
+    per_group = grouped.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).alias("parts"))
+    block = F.xxhash64("group", F.pmod(F.xxhash64("set"), F.col("parts")))
+    grouped = grouped.join(per_group, "group").select("set", "doc_id", "n", "group", block.alias("block"))
+    rows = rows.join(upper.select(F.col("a").alias("leader"), F.col("leader").alias("upper")), "leader", "left").groupBy("token", F.coalesce("upper", "leader").alias("group"))
+    rows = rows.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("salt").alias("salt"))
     # the heads of a common shingle's salts with the least of them
     salted = held.filter("salt > 0").select("token", "head").distinct()
     heads = salted.join(salted.groupBy("token").agg(F.min("head").alias("b")), "token").filter("head <> b").groupBy(F.col("head").alias("a"), "b").agg(F.count("*").alias("c"))
-    return grouped, best.toDF("a", "b", "c").unionByName(heads)
+    return grouped, rows, best.unionByName(closest.select("a", "b", "c")).unionByName(heads)
 
 
 def may_link(pairs: DataFrame, percent: int) -> DataFrame:
@@ -296,19 +324,23 @@ def may_link(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(held: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """x, y: blocks, x < y, some members of which share so many given-out shingles that they may be linked.
+    """x, y: blocks, x < y, as `group_pairs` finds them, each block a group."""
+    return group_pairs(spread(held, grouped, "block").withColumnRenamed("block", "group"), percent)
+
+
+def group_pairs(per_group: DataFrame, percent: int) -> DataFrame:
+    """x, y: groups, x < y, some members of which share so many given-out shingles that they may be linked. per_group as `in_groups` gives it.
 
-    The blocks of a very common shingle are dealt to runs of about CROWD, and each two runs meet in a task of their own.
+    The groups of a very common shingle are dealt to runs of about CROWD, and each two runs meet in a task of their own.
     """
-    per_block = held.select("token", "salt", "set").join(grouped.select("set", "n", "block"), "set").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("salt").alias("salt"))
-    per_block = stored(per_block, "near-tokens")
+    per_group = stored(per_group, "near-tokens")
     # only shingles among the last LATE have salts, so there are LATE rows at most
-    crowds = stored(per_block.filter("salt > 0").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("runs")).filter("runs > 1"), "near-crowds")
+    crowds = stored(per_group.filter("salt > 0").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("runs")).filter("runs > 1"), "near-crowds")
     if crowds.isEmpty():
-        met = meeting(per_block, per_block, ["token"], percent)
+        met = meeting(per_group, per_group, ["token"], percent)
     else:
-        few = per_block.join(F.broadcast(crowds), "token", "left_anti")
-        many = per_block.filter("salt > 0").join(F.broadcast(crowds), "token").withColumn("run", F.pmod(F.xxhash64("block"), F.col("runs")).cast("int"))
+        few = per_group.join(F.broadcast(crowds), "token", "left_anti")
+        many = per_group.filter("salt > 0").join(F.broadcast(crowds), "token").withColumn("run", F.pmod(F.xxhash64("group"), F.col("runs")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("runs") - 1))
         first, second = many.withColumn("i", F.col("run")).withColumn("j", every), many.withColumn("j", F.col("run")).withColumn("i", every)
         met = meeting(few, few, ["token"], percent).unionByName(meeting(first, second, ["token", "i", "j"], percent))
@@ -317,8 +349,8 @@ def block_pairs(held: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
 
 
 def meeting(first: DataFrame, second: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """x, y, low_a, high_a, low_b, high_b: a row for each shingle and two blocks, x < y, whose sizes allow a link."""
-    a, b = (t.select(*keys, F.col("block").alias(to), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for t, to, s in ((first, "x", "a"), (second, "y", "b")))
+    """x, y, low_a, high_a, low_b, high_b: a row for each shingle and two groups, x < y, whose sizes allow a link."""
+    a, b = (t.select(*keys, F.col("group").alias(to), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for t, to, s in ((first, "x", "a"), (second, "y", "b")))
     sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
     return a.join(b, keys).filter((F.col("x") < F.col("y")) & sizes).drop(*keys)
 
@@ -426,15 +458,23 @@ def roots(links: DataFrame, jumps: int = 2) -> DataFrame:
     return known
 
 
-def to_open(pairs: DataFrame, grouped: DataFrame, groups: DataFrame) -> DataFrame:
-    """block, part, kind, set: what is to be held against what, as `opened` wants it, where the links known (groups: node, comp) leave it open."""
-    at = grouped.join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "block", F.coalesce("comp", "set").alias("comp"))
+def to_open(pairs: DataFrame, grouped: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """block, part, kind, set: what is to be held against what, as `opened` wants it, where the links known (node, comp) leave it open.
+
+    pairs: x, y, groups that may be linked. Their blocks are paired only where the groups aren't tied together as a whole, and so are those of one group.
+    """
+    at = grouped.join(known.withColumnRenamed("node", "set"), "set", "left").select("set", "n", "group", "block", F.coalesce("comp", "set").alias("comp"))
     at = stored(at, "near-placed")
-    blocks = stored(at.groupBy("block").agg(F.count("*").alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")), "near-blocks")
-    first, second = (blocks.select(F.col("block").alias(b), *[F.col(c).alias(f"{c}_{b}") for c in ("members", "least", "most")]) for b in ("x", "y"))
-    done = (F.col("least_x") == F.col("most_x")) & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y"))
+    blocks = stored(at.groupBy("block").agg(F.min("group").alias("group"), F.count("*").alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("n").alias("low"), F.max("n").alias("high")), "near-blocks")
+    groups = blocks.groupBy("group").agg(F.count("*").alias("blocks"), F.min("least").alias("least"), F.max("most").alias("most"))
+    tied = (F.col("least_x") == F.col("most_x")) & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y"))
+    first, second = (groups.select(F.col("group").alias(b), *[F.col(c).alias(f"{c}_{b}") for c in ("least", "most")]) for b in ("x", "y"))
+    apart = pairs.join(first, "x").join(second, "y").filter(~tied).select(F.col("x").alias("group_x"), F.col("y").alias("group_y"))
+    apart = apart.unionAll(groups.filter("blocks > 1 and least <> most").select("group", "group"))
+    first, second = (blocks.select(F.col("block").alias(b), *[F.col(c).alias(f"{c}_{b}") for c in ("group", "members", "least", "most", "low", "high")]) for b in ("x", "y"))
+    sizes = (F.col("high_x") * 100 >= F.col("low_y") * percent) & (F.col("high_y") * 100 >= F.col("low_x") * percent)
     larger = F.col("members_x") > F.col("members_y")
-    left = pairs.join(first, "x").join(second, "y").filter(~done)
+    left = apart.join(first, "group_x").join(second, "group_y").filter(((F.col("group_x") < F.col("group_y")) | (F.col("x") < F.col("y"))) & sizes & ~tied)
     left = left.select(F.when(larger, F.col("y")).otherwise(F.col("x")).alias("block"), F.when(larger, F.col("x")).otherwise(F.col("y")).alias("to"))
     asked = left.join(at, "block").select(F.col("to").alias("block"), "set", "comp")
     asked = stored(asked.join(blocks.filter("least = most").select("block", F.col("least").alias("comp")), ["block", "comp"], "left_anti").select("block", "set"), "near-asked")
@@ -459,18 +499,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, by_text: boo
     sizes = described.filter("n > 0 and doc_id is not null").groupBy("set").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")).select("set", *split, "n", "copies")
     held = stored(holders(given_out(docs.filter("doc_id is not null"), k, percent, late, counts)), "near-holders")
     size_of = stored(held.select("set").distinct().join(sizes, "set").select("set", "doc_id", "n"), "near-sizes")
-    grouped, tries = in_blocks(held, size_of, percent)
+    grouped, per_group, tries = in_groups(held, size_of, percent)
     grouped = stored(grouped, "near-grouped")
-    pairs = stored(block_pairs(held, grouped, percent), "near-pairs")
+    pairs = stored(group_pairs(per_group, percent), "near-pairs")
     a, b = (size_of.select(F.col("set").alias(s), F.col("n").alias(f"low_{s}"), F.col("n").alias(f"high_{s}")) for s in ("a", "b"))
     tries = stored(may_link(tries.join(a, "a").join(b, "b"), percent).select("a", "b"), "near-tries")
-    several = grouped.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1").select("block")
-    blocks = several.unionAll(pairs.select("x")).unionAll(pairs.select("y")).distinct()
+    several = grouped.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
+    groups = several.unionAll(pairs.select("x")).unionAll(pairs.select("y")).distinct()
     tried = tries.select(F.col("a").alias("set")).unionAll(tries.select("b")).distinct()
-    wanted = grouped.join(blocks, "block", "left_semi").select("doc_id").unionAll(grouped.join(tried, "set", "left_semi").select("doc_id"))
+    wanted = grouped.join(groups, "group", "left_semi").select("doc_id").unionAll(grouped.join(tried, "set", "left_semi").select("doc_id"))
     sets = stored(sets_of(docs, wanted.distinct(), k), "near-sets")
     links = stored(linked(tries, sets, percent), "near-links")
-    more = stored(opened(to_open(pairs, grouped, roots(links)).join(sets, "set"), percent), "near-more")
+    more = stored(opened(to_open(pairs, grouped, roots(links), percent).join(sets, "set"), percent), "near-more")
     classes = stored(components(links.unionAll(more)), "near-classes")
     named = sizes.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.groupBy("comp").agg(first, F.sum("copies").alias("size")).select("comp", *[F.col(c).alias(to) for c, to in zip(split, ("component_id", "component_hash"))], "size")

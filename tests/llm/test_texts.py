@@ -290,6 +290,29 @@ def test_block_pairs_of_common_shingles(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_crowds_are_paired_group_by_group(spark, monkeypatch):
+    """What the pairing of groups makes grows with the crowds, not with the square of their blocks, whether heads are split or not."""
+    made = []
+    meeting = jaccard.meeting
+    monkeypatch.setattr(jaccard, "meeting", lambda *a: made.append(meeting(*a)) or made[-1])
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+
+    def crowd(n):  # copies of a text with a fifth of its words exchanged in one place: many are alike, others aren't linked
+        rows = []
+        for i in range(n):
+            at = int(rng.integers(0, 160))
+            rows.append((i, " ".join(f"e{i}" if at <= j < at + 40 else f"w{j}" for j in range(200))))
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    for n in (60, 240):
+        del made[:]
+        df = crowd(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+        assert got == brute_classes(df.collect())
+        assert sum(m.count() for m in made) <= 5 * n
+
+
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
 def test_language_model(request, which):
     df = request.getfixturevalue(which)
