@@ -1,13 +1,19 @@
 """Features of a season's series up to a cut day, as folds over arrays: one packed array a key and variable, aligned to the grid's days.
 
-`pack` brings a key's observations together: one shuffle, with map-side sums by cell. Interpolation, areas, peaks and slopes are then expressions on the
-arrays, for any number of variables in the same pass; no window, layout or pivot follows. NULL, NaN and infinite values are missing.
+`pack` brings a key's observations together: one shuffle, with map-side sums by cell. Interpolation, areas, peaks and slopes then go day by day over the
+arrays of a whole Arrow batch of keys, for any number of variables in the same pass; no window, layout or pivot follows. NULL, NaN and infinite values are missing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATS = ["mean", "max", "min", "std", "last", "auc", "peak_doy", "greenup", "early_mean", "last_slope"]
 ANOMALY_STATS = ["mean", "max", "min", "last", "last_slope"]
@@ -45,59 +51,87 @@ def unpack(packed: DataFrame, keys: list[str], grid: list[int], values: list[str
     return rows.select(*keys, F.col("__c.d").cast("bigint").alias(doy), *[F.col(f"__c.{v}").alias(v) for v in values])
 
 
-def known(series: Column | str, grid: list[int]) -> Column:
-    """The days that have a value, in order: d, v."""
-    pairs = F.zip_with(days_of(grid), series, lambda d, v: F.struct(d.alias("d"), v.cast("double").alias("v")))
-    return F.filter(pairs, lambda x: x["v"].isNotNull())
-
-
-def between(points: Column, grid: list[int], edges: str = "null") -> Column:
-    """The series along lines between its known points. edges: "null" leaves what isn't between two of them, "clamp" takes the nearest value."""
+def matrix(series: pa.ListArray, n: int) -> np.ndarray:
+    """A row a series, a column a day of the grid; NaN where a value is missing or a series is too short."""
+    out = np.full((len(series), n), np.nan)
+    sizes = pc.fill_null(pc.list_value_length(series), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = at < n
+    out[row[inside], at[inside]] = series.flatten().cast("float64").to_numpy(zero_copy_only=False)[inside]
+    out[~np.isfinite(out)] = np.nan
+    return out
 
-    def at(d: Column) -> Column:
-        a, b = F.try_element_at(F.filter(points, lambda x: x["d"] <= d), F.lit(-1)), F.try_element_at(F.filter(points, lambda x: x["d"] >= d), F.lit(1))
-        line = F.when(a["d"] == b["d"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * ((d - a["d"]).cast("double") / (b["d"] - a["d"])))
-        return F.coalesce(line, a["v"], b["v"]) if edges == "clamp" else line
 
-    return F.transform(days_of(grid), at)
+def between(x: np.ndarray, grid: list[int], edges: str = "null") -> np.ndarray:
+    """Series along lines between their known points. edges: "null" leaves what isn't between two of them, "clamp" takes the nearest value."""
+    n, d, known = x.shape[1], np.array(grid, float), ~np.isnan(x)
+    a = np.maximum.accumulate(np.where(known, np.arange(n), 0), axis=1)
+    b = np.minimum.accumulate(np.where(known, np.arange(n), n - 1)[:, ::-1], axis=1)[:, ::-1]
+    before, after = np.take_along_axis(x, a, 1), np.take_along_axis(x, b, 1)  # NaN where no point is known on that side
+    with np.errstate(all="ignore"):
+        full = np.where(known, x, before + (after - before) * ((d - d[a]) / (d[b] - d[a])))
+    return np.where(np.isnan(full), np.where(np.isnan(before), after, before), full) if edges == "clamp" else full
 
 
 def interpolate(packed: DataFrame, values: list[str], grid: list[int], edges: str = "null", to: dict[str, str] | None = None) -> DataFrame:
     """Fills the gaps of every packed series by lines. to: other names for the results."""
-    points = {f"__at_{v}": known(v, grid) for v in values}
-    full = {(to or {}).get(v, v): between(F.col(f"__at_{v}"), grid, edges) for v in values}
-    return packed.withColumns(points).withColumns(full).drop(*points)
-
-
-def total(points: Column, of) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda acc, x: acc + of(x))
-
-
-def stats(points: Column, filled: Column, mean: Column, grid: list[int]) -> dict[str, Column]:
-    """The statistics of one series. points: its known days after filling; mean: their mean."""
-    n = F.size(points)
-    values = F.transform(points, lambda x: x["v"])
-    empty = F.struct(F.lit(0.0).alias("area"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("d"))
-    step = lambda acc, x: F.struct((acc["area"] + F.coalesce((x["v"] + acc["v"]) / 2 * (x["d"] - acc["d"]), F.lit(0.0))).alias("area"), x["v"].alias("v"), x["d"].alias("d"))
-    early = F.filter(F.slice(filled, 1, min(3, len(grid))), lambda v: v.isNotNull())
-    spring = F.filter(points, lambda x: x["d"].between(*SPRING))
-    k, shift = F.size(spring).cast("double"), sum(SPRING) / 2  # days are centred, so that squares cost no digits
-    sx, sy = total(spring, lambda x: x["d"] - shift), total(spring, lambda x: x["v"])
-    sxx, sxy = total(spring, lambda x: (x["d"] - shift) * (x["d"] - shift)), total(spring, lambda x: (x["d"] - shift) * x["v"])
-    rise = F.try_divide(k * sxy - sx * sy, k * sxx - sx * sx) if sum(SPRING[0] <= g <= SPRING[1] for g in grid) >= 2 else F.lit(None).cast("double")
-    last, prior = F.element_at(filled, -1), F.element_at(filled, -2) if len(grid) > 1 else F.lit(None).cast("double")
-    return {
-        "mean": mean,
-        "max": F.array_max(values),
-        "min": F.array_min(values),
-        "std": F.when(n > 0, F.sqrt(total(points, lambda x: (x["v"] - mean) * (x["v"] - mean)) / n)),
-        "last": last,
-        "auc": F.when(n >= 2, F.aggregate(points, empty, step)["area"]),
-        "peak_doy": F.try_element_at(F.filter(points, lambda x: x["v"] == F.array_max(values)), F.lit(1))["d"],
-        "greenup": F.when(F.size(spring) >= 2, rise),
-        "early_mean": F.try_divide(F.aggregate(early, F.lit(0.0), lambda a, v: a + v), F.size(early).cast("double")),
-        "last_slope": (last - prior) / (grid[-1] - grid[-2]) if len(grid) > 1 else prior,
-    }
+    names, n = {v: (to or {}).get(v, v) for v in values}, len(grid)
+    kind = T.ArrayType(T.DoubleType())
+    schema = T.StructType([T.StructField(f.name, kind) if f.name in names.values() else f for f in packed.schema] + [T.StructField(c, kind) for c in dict.fromkeys(names.values()) if c not in packed.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for v, name in names.items():
+                full = between(matrix(batch.column(v), n), grid, edges)
+                columns[name] = pa.ListArray.from_arrays(pa.array(np.arange(0, full.size + 1, n), pa.int32()), pa.array(full.ravel(), mask=np.isnan(full.ravel())))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return packed.mapInArrow(run, schema) if grid else packed.withColumns({name: F.array().cast(kind) for name in names.values()})
+
+
+def stats(x: np.ndarray, grid: list[int]) -> dict[str, np.ndarray]:
+    """The statistics of filled series, a row each, summed in the order of days; what isn't finite has no value."""
+    known, empty = ~np.isnan(x), np.full(len(x), np.nan)
+    n = known.sum(axis=1)
+
+    def total(of, days=range(len(grid))) -> np.ndarray:
+        sums = np.zeros(len(x))
+        for i in days:
+            sums = np.where(known[:, i], sums + of(i), sums)
+        return sums
+
+    def area() -> np.ndarray:
+        sums, v, d = np.zeros(len(x)), empty, empty
+        for i, day in enumerate(grid):
+            sums = np.where(known[:, i] & ~np.isnan(v), sums + (x[:, i] + v) / 2 * (day - d), sums)
+            v, d = np.where(known[:, i], x[:, i], v), np.where(known[:, i], day, d)
+        return sums
+
+    def rise() -> np.ndarray:
+        spring, shift = [i for i, g in enumerate(grid) if SPRING[0] <= g <= SPRING[1]], sum(SPRING) / 2  # days are centred, so that squares cost no digits
+        k = known[:, spring].sum(axis=1).astype(float)
+        sx, sy = total(lambda i: grid[i] - shift, spring), total(lambda i: x[:, i], spring)
+        sxx, sxy = total(lambda i: (grid[i] - shift) * (grid[i] - shift), spring), total(lambda i: (grid[i] - shift) * x[:, i], spring)
+        return np.where(k >= 2, (k * sxy - sx * sy) / (k * sxx - sx * sx), np.nan)
+
+    with np.errstate(all="ignore"):
+        mean, early = total(lambda i: x[:, i]) / n, range(min(3, len(grid)))
+        top = np.where(known, x, -np.inf).max(axis=1, initial=-np.inf)
+        found = {
+            "mean": mean,
+            "max": top,
+            "min": np.where(known, x, np.inf).min(axis=1, initial=np.inf),
+            "std": np.sqrt(total(lambda i: (x[:, i] - mean) * (x[:, i] - mean)) / n),
+            "last": x[:, -1],
+            "auc": np.where(n >= 2, area(), np.nan),
+            "peak_doy": np.where(n > 0, np.array(grid, float)[(x == top[:, None]).argmax(axis=1)], np.nan),
+            "greenup": rise(),
+            "early_mean": total(lambda i: x[:, i], early) / known[:, list(early)].sum(axis=1),
+            "last_slope": (x[:, -1] - x[:, -2]) / (grid[-1] - grid[-2]) if len(grid) > 1 else empty,
+        }
+    return {k: np.where(np.isfinite(v), v, np.nan) for k, v in found.items()}
 
 
 def season_features(packed: DataFrame, keys: list[str], values: list[str], grid: list[int], edges: str = "null", anomalies: dict[str, str] | None = None, cells: bool = True) -> DataFrame:
@@ -105,18 +139,24 @@ def season_features(packed: DataFrame, keys: list[str], values: list[str], grid:
 
     `grid` holds the days up to the cut, to which the arrays are aligned. Columns named twice are built once.
     """
-    names, odd = list(dict.fromkeys(values)), anomalies or {}
-    series = [*names, *odd.values()]
-    rows = interpolate(packed, series, grid, edges)
-    rows = rows.withColumns({f"__p_{s}": known(s, grid) for s in series})
-    rows = rows.withColumns({f"__m_{s}": F.try_divide(total(F.col(f"__p_{s}"), lambda x: x["v"]), F.size(f"__p_{s}").cast("double")) for s in series})
-    out = {}
-    for v, column, wanted, prefix in [(v, v, STATS, v) for v in names] + [(v, c, ANOMALY_STATS, f"{v}_anom") for v, c in odd.items()]:
-        found = stats(F.col(f"__p_{column}"), F.col(column), F.col(f"__m_{column}"), grid)
-        out |= {f"{prefix}_{s}": finite(found[s]) if s != "peak_doy" else found[s] for s in wanted}
-        if cells and wanted is STATS:
-            out |= {f"{v}_DOY_{d}": F.get(F.col(column), F.lit(i)) for i, d in enumerate(grid)}
-    return rows.select(*keys, *[c.alias(n) for n, c in out.items()])
+    names, odd, n = list(dict.fromkeys(values)), anomalies or {}, len(grid)
+    wanted = [(v, v, STATS) for v in names] + [(c, f"{v}_anom", ANOMALY_STATS) for v, c in odd.items()]
+    days = {f"DOY_{d}": i for i, d in enumerate(grid)} if cells else {}
+    columns = {f"{to}_{s}": "int" if s == "peak_doy" else "double" for _, to, some in wanted for s in [*some, *(days if some is STATS else [])]}
+    rows = packed.select(*keys, *dict.fromkeys([*names, *odd.values()]))
+    schema = T.StructType([*rows.schema[: len(keys)], *[T.StructField(c, T.IntegerType() if kind == "int" else T.DoubleType()) for c, kind in columns.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {}
+            for column, to, some in wanted:
+                full = between(matrix(batch.column(column), n), grid, edges)
+                found = stats(full, grid)
+                out |= {f"{to}_{s}": found[s] for s in some} | ({f"{to}_{c}": full[:, i] for c, i in days.items()} if some is STATS else {})
+            arrays = [pa.array(out[c], from_pandas=True).cast("int32" if kind == "int" else "float64") for c, kind in columns.items()]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(keys)] + arrays, keys + list(columns))
+
+    return rows.mapInArrow(run, schema)
 
 
 def build_features(obs: DataFrame, keys: list[str], values: list[str], grid: list[int], cut: int, doy: str = "doy", digits: int | None = None) -> DataFrame:

@@ -99,6 +99,21 @@ def test_season_features_shuffle_once(spark):
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan
 
 
+def test_season_features_by_batches(spark):
+    """No element of an array is met by itself; missing values of packed arrays are missing whatever they are."""
+    obs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey AS unit", "dayofyear(l_shipdate) AS doy", "l_quantity AS v")
+    days = [65, 81, 97]
+    features, filled = series.build_features(obs, ["unit"], ["v"], days, 97), series.interpolate(series.pack(obs, ["unit"], days, ["v"]), ["v"], days)
+    assert all("lambda" not in df._jdf.queryExecution().executedPlan().toString() for df in (features, filled))
+    nan, inf = float("nan"), float("inf")
+    packed = spark.createDataFrame([(1, [1.0, nan, 3.0], "a"), (2, [inf, 2.0], "b"), (3, None, "c"), (4, [1.0, None, 5.0, 9.0], None), (5, [], "e")], "u int, v array<double>, s string")
+    got = series.interpolate(packed, ["v"], days, to={"v": "f"}).orderBy("u").collect()
+    assert [r.f for r in got] == [[1, 2, 3], [None, 2, None], [None] * 3, [1, 3, 5], [None] * 3] and [r.s for r in got] == ["a", "b", "c", None, "e"]
+    assert [r.v for r in series.interpolate(packed, ["v"], days, "clamp").orderBy("u").collect()][:4] == [[1, 2, 3], [2, 2, 2], [None] * 3, [1, 3, 5]]
+    got = {r.u: (r.v_mean, r.v_peak_doy, r.v_auc, r.v_DOY_81) for r in series.season_features(packed, ["u"], ["v"], days).collect()}
+    assert got == {1: (2, 97, 64, 2), 2: (2, 81, None, 2), 3: (None,) * 4, 4: (3, 97, 96, 3), 5: (None,) * 4}
+
+
 def test_anomaly_features(spark):
     rows = spark.createDataFrame([(1, 65, 1.0), (1, 97, 3.0), (2, 81, 5.0), (3, 65, None)], "u int, doy int, a double")
     got = {r.u: tuple(r)[1:] for r in series.anomaly_features(rows, ["u"], "a", [65, 81, 97]).collect()}
