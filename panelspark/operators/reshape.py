@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pivot_obs(obs: DataFrame, keys: list[str], grid: list[int], values: list[str], doy: str = "doy") -> DataFrame:
-    """One row a key, columns `{value}_DOY_{d}` for every day of the grid; absent cells are NULL, repeated cells their mean."""
-    wide = obs.groupBy(*keys).pivot(doy, grid).agg(*[F.avg(v).alias(v) for v in values])
-    old = (lambda d, v: f"{d}") if len(values) == 1 else (lambda d, v: f"{d}_{v}")
-    return wide.select(*keys, *[F.col(f"`{old(d, v)}`").alias(f"{v}_DOY_{d}") for v in values for d in grid])
+def pivot_obs(obs: DataFrame, keys: list[str], grid: list[int], values: list[str], doy: str = "doy", digits: int | None = None) -> DataFrame:
+    """One row a key, columns `{value}_DOY_{d}` for every day of the grid; absent cells are NULL, repeated cells their mean (rounded to so many digits).
+
+    Cells are summed before the shuffle; then a key's cells, one a day, meet and take their columns. Days off the grid are one cell.
+    """
+    mean = F.avg if digits is None else lambda v: F.round(F.avg(v), digits)
+    day = F.when(F.col(doy).isin(grid), F.col(doy)).alias("__d")
+    cells = obs.groupBy(*keys, day).agg(*[mean(v).alias(f"__{i}") for i, v in enumerate(values)])
+    return cells.repartition(*keys).groupBy(*keys).agg(*[F.max(F.when(F.col("__d") == d, F.col(f"__{i}"))).alias(f"{v}_DOY_{d}") for i, v in enumerate(values) for d in grid])
 
 
 def unpivot_wide(df: DataFrame, keys: list[str], pattern: str = r"^(.*)_DOY_(\d+)$") -> DataFrame:

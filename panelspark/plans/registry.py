@@ -121,12 +121,12 @@ def series_features(spark, sf_dir):
 
 @query(f"WITH {SEASON} SELECT unit, year, " + ", ".join(f"round(avg(CASE WHEN doy = {g} THEN value END), 6) AS \"value_DOY_{g}\"" for g in GRID) + " FROM season GROUP BY unit, year")
 def pivot_grid(spark, sf_dir):
-    return reshape.pivot_obs(season(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"])
+    return reshape.pivot_obs(season_lines(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"], digits=9)
 
 
 @query(f"WITH {SEASON}, keys AS (SELECT DISTINCT unit, year FROM season), grid AS (SELECT unit, year, doy FROM keys, (SELECT unnest(range(65, 274, 16)) AS doy)) SELECT unit, year, 'value' AS variable, doy::BIGINT AS doy, round(value, 6) AS value FROM grid LEFT JOIN season USING (unit, year, doy)")
 def unpivot_weather(spark, sf_dir):
-    return reshape.unpivot_wide(reshape.pivot_obs(season(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"]), ["unit", "year"])
+    return reshape.unpivot_wide(reshape.pivot_obs(season_lines(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"], digits=9), ["unit", "year"])
 
 
 @query(f"WITH {SEASON} SELECT unit, year, list_aggregate([" + ", ".join(f"coalesce(max(CASE WHEN doy = {g} THEN value END)::VARCHAR, '-')" for g in GRID) + "], 'string_agg', ';') AS series FROM season GROUP BY 1, 2")

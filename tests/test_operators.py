@@ -99,6 +99,16 @@ def test_season_features_shuffle_once(spark):
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan
 
 
+def test_pivot_sums_cells_once(spark):
+    """Each cell is averaged once, before the shuffle by keys, and keys take their columns once."""
+    obs = spark.createDataFrame([(1, 65, 1.0, 2.0), (1, 65, 2.0, None), (1, 65, 2.0, None), (1, 81, None, 5.0), (1, 70, 9.0, 9.0), (2, 70, 3.0, 4.0), (2, None, 3.0, 4.0), (None, 81, float("nan"), 7.0)], "u int, doy int, v double, w double")
+    wide = reshape.pivot_obs(obs, ["u"], [65, 81], ["v", "w"], digits=3)
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 2
+    got = {r.u: tuple(r)[1:] for r in wide.collect()}
+    assert wide.columns == ["u", "v_DOY_65", "v_DOY_81", "w_DOY_65", "w_DOY_81"]
+    assert got[1] == (1.667, None, 2.0, 5.0) and got[2] == (None,) * 4 and got[None][1] != got[None][1] and got[None][3] == 7 and len(got) == 3
+
+
 def test_season_features_by_batches(spark):
     """No element of an array is met by itself; missing values of packed arrays are missing whatever they are."""
     obs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey AS unit", "dayofyear(l_shipdate) AS doy", "l_quantity AS v")
