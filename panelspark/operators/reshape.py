@@ -21,9 +21,9 @@ def unpivot_wide(df: DataFrame, keys: list[str], pattern: str = r"^(.*)_DOY_(\d+
     """Long form of wide columns: keys, variable, doy, value."""
     import re
 
-    wide = [c for c in df.columns if re.match(pattern, c)]
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in wide]).unpivot(keys, wide, "name", "value")
-    return long.select(*keys, F.regexp_extract("name", pattern, 1).alias("variable"), F.regexp_extract("name", pattern, 2).cast("int").alias("doy"), "value")
+    wide = {c: m for c in df.columns if (m := re.match(pattern, c))}
+    cells = F.array(*[F.struct(F.lit(m[1]).alias("variable"), F.lit(m[2]).cast("int").alias("doy"), F.col(c).cast("double").alias("value")) for c, m in wide.items()])
+    return df.select(*keys, F.explode(cells).alias("__c")).select(*keys, "__c.*")
 
 
 def unpivot_weather(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:

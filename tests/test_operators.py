@@ -109,6 +109,18 @@ def test_pivot_sums_cells_once(spark):
     assert got[1] == (1.667, None, 2.0, 5.0) and got[2] == (None,) * 4 and got[None][1] != got[None][1] and got[None][3] == 7 and len(got) == 3
 
 
+def test_unpivot_reads_names_once(spark):
+    """Variable and day of a column come from its name in the plan, not row by row; NULL cells stay."""
+    from panelspark.plans import registry
+
+    wide = spark.createDataFrame([(1, 2.0, None, 4, "x"), (2, None, 3.0, None, "y")], "u int, a_b_DOY_65 double, a_b_DOY_081 double, c_DOY_65 int, other string")
+    long = reshape.unpivot_wide(wide, ["u"])
+    assert [(c, t) for c, t in long.dtypes] == [("u", "int"), ("variable", "string"), ("doy", "int"), ("value", "double")]
+    assert sorted(map(tuple, long.collect()), key=str) == sorted([(1, "a_b", 65, 2.0), (1, "a_b", 81, None), (1, "c", 65, 4.0), (2, "a_b", 65, None), (2, "a_b", 81, 3.0), (2, "c", 65, None)], key=str)
+    plan = registry.QUERIES["unpivot_weather"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("Aggregate ") == 2
+
+
 def test_season_features_by_batches(spark):
     """No element of an array is met by itself; missing values of packed arrays are missing whatever they are."""
     obs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey AS unit", "dayofyear(l_shipdate) AS doy", "l_quantity AS v")
