@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,30 @@ def read_text_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
 
 
+def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file that a task reads; its files come one after the other, line by line."""
+    last = None
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column("path"))
+        for start, path in zip([0, *runs.run_ends.to_pylist()], runs.values.to_pylist()):
+            if path != last:
+                yield batch.slice(start, 1)
+            last = path
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, head: the first line of each file that has one. Lines pass by in batches; none is sorted or kept."""
+    lines = spark.read.text(paths).filter(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("head"))
+    return lines.mapInArrow(first_lines, "path string, head string").distinct()
+
+
 def read_obs(spark: SparkSession, paths: list[str], keys: list[str], values: list[str]) -> DataFrame:
     """Files that have the keys, their needed columns, values as numbers; columns that a file lacks are NULL.
 
     One Spark job reads all headers; files with equal headers are read together.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
-    heads = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "i").alias("head"))  # the first line of each file
     frames = []
-    for row in heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect():  # a row a header
+    for row in headers(spark, paths).groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect():  # a row a header
         df = read_text_csv(spark, row["paths"])
         if set(keys) <= set(df.columns):
             frames.append(df.select(*keys, *[num(c).alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in values]))

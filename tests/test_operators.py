@@ -322,6 +322,23 @@ def test_sources(spark, tmp_path):
     assert tables.read_optional(spark, str(tmp_path / "none.csv"), "a string").count() == 0
 
 
+def test_headers_without_sorting_lines(spark, tmp_path):
+    """The first line of every file, also where a task reads many files, in many batches; no task sorts lines."""
+    names = [f"{i:02d}.csv" for i in range(40)]
+    for i, n in enumerate(names):
+        head = ["u,v", "v,u,w", "w,x"][i % 3]
+        (tmp_path / n).write_text("\n".join([head] + ["%d,%d,%d"[: 3 * head.count(",") + 2] % (i, k, 7)[: head.count(",") + 1] for k in range(25_000 if i == 4 else 5)]) + "\n")
+    (tmp_path / "none.csv").write_text("")
+    paths = [str(tmp_path / n) for n in [*names, names[0], "none.csv"]]
+    heads = tables.headers(spark, paths)
+    assert "Sort" not in heads._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path.split("/")[-1], r.head) for r in heads.collect()} == {(n, ["u,v", "v,u,w", "w,x"][i % 3]) for i, n in enumerate(names)} and heads.count() == 40
+    obs = tables.read_obs(spark, paths, ["u"], ["v", "w"])
+    assert obs.count() == sum(25_000 if i == 4 else 5 for i in range(40) if i % 3 < 2)
+    got = {(r.u, r.v, r.w) for r in obs.filter("u in ('0', '24999') or v = 1").collect()}
+    assert ("0", 0, None) in got and ("0", 1, 7) in got and ("24999", 4, 7) in got
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from panelspark.streaming import streams
 
