@@ -1,14 +1,14 @@
-"""Near-duplicate vectors by a subspace pigeonhole join.
+"""Near-duplicate vectors by a subspace pigeonhole join of pages.
 
 Unit vectors with cosine >= c are at a squared distance of 2 - 2c at most. After a rotation they are split into blocks of a few dimensions; in at
-least one block a pair is within that block's proportional share of the squared distance. Each block has a k-d tree, learned from a
-bounded sample; every vector lives in one leaf of it and visits each leaf of lower number that its ball reaches, so each pair within the share
-meets in exactly one leaf. There blocks are range-joined as matrices, and what is within the share is verified in double precision
-on the whole vectors. A pair that meets in several blocks counts in the first. Tasks give out counts and spanning links, not pairs.
-
-Equal vectors are one vector with a weight. Leaves with very many vectors are dealt into parts of bounded size, which
-visitors meet one by one. Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
-nothing; so does a null vec_id. Rows that repeat are copies and link with each other. A cosine of exactly the bound is a link. An empty
+least one block a pair is within that block's proportional share of the squared distance. A k-d tree, learned from a bounded sample, deals
+vectors to leaves; a leaf is written in pages of bounded size, one row a page, and every vector lies in one page. Pages whose boxes are
+within the whole squared distance meet: a product of the stored table with itself, whose tasks read the pages from the shared folder, so
+nothing is shuffled or written for a meeting. There blocks are compared as matrices, and what is within the share of any of them is
+verified in double precision on the whole vectors. Tasks give out counts and spanning links, not pairs.
+
+Equal vectors are one vector with a weight. Vectors that are null, zero, of another length than most, or hold null or non-finite
+components link with nothing; so does a null vec_id. Rows that repeat are copies and link with each other. A cosine of exactly the bound is a link. An empty
 table gives no rows. Further columns are ignored.
 """
 
@@ -19,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
 
-#: Vectors that live in a leaf's part, about; rows of the sample that the trees are learned from, at most.
-LEAF, SAMPLE = 2000, 20_000
+#: Vectors of a page, at most; rows of the sample that the tree is learned from, about; spanning links that a task keeps before it reduces them.
+LEAF, SAMPLE, CHAIN = 2000, 20_000, 1 << 20
 
 
 @dataclass
 class Tree:
-    """A complete k-d tree over one block: the split dimension and place of each inner node, in heap order."""
+    """A complete k-d tree: the split dimension and place of each inner node, in heap order."""
 
     dims: np.ndarray
     cuts: np.ndarray
@@ -52,28 +52,22 @@ class Tree:
             node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > cuts[node])
         return Tree(dims, cuts, depth)
 
-    def visits(self, x: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, leaf and whether it is the row's own, for each leaf within the ball around each row."""
-        rows = np.arange(len(x))
-        node, home, gap = np.zeros(len(x), np.int64), np.ones(len(x), bool), np.zeros(x.shape, np.float64)
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for _ in range(self.depth):
-            d = self.dims[node]
-            away = x[rows, d] - self.cuts[node]
-            right = away > 0
-            far_gap = gap.copy()
-            at = np.arange(len(rows))
-            far_gap[at, d] = np.maximum(far_gap[at, d], np.abs(away))
-            far = (far_gap**2).sum(1) <= share
-            rows = np.concatenate([rows, rows[far]])
-            home = np.concatenate([home, np.zeros(int(far.sum()), bool)])
-            gap = np.concatenate([gap, far_gap[far]])
-            node = np.concatenate([2 * node + 1 + right, (2 * node + 1 + ~right)[far]])
-        return rows, node - ((1 << self.depth) - 1), home
+            node = 2 * node + 1 + (x[rows, self.dims[node]] > self.cuts[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose largest component is 1 or -1; equal rows stay equal to the last bit, whatever else is in the batch."""
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
 
 def units(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; very large and very small components are no exception."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -93,139 +87,160 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def linked_vectors(vectors: DataFrame, cosine: float, blocks: int, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """vectors (id, weight, embedding): per id the weight of the others linked with it (id, links), and spanning links (a, b)."""
+def paged(vectors: DataFrame, size: int) -> DataFrame:
+    """vectors (id, embedding), copies included, as stored pages of distinct ones: page, ids, weights, vectors (as bytes), and the box of the unit vectors (lo, hi)."""
     n, kind = vectors.count(), vectors.schema["embedding"].dataType.elementType.simpleString()
     first = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))  # about SAMPLE rows, whatever n
     drawn = vectors.filter(first).select("embedding").limit(2 * SAMPLE).toArrow()["embedding"].to_numpy(zero_copy_only=False)
     sample = np.stack(list(drawn) or list(vectors.select("embedding").limit(1).toArrow()["embedding"].to_numpy(zero_copy_only=False))).astype(float)
-    size = sample.shape[1]
+    sample = np.unique(scaled(sample), axis=0)
+    # leaves of LEAF vectors, as long as the sample tells them apart; beyond that leaves have several pages
+    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / LEAF))), int(np.log2(max(len(sample), 16) / 16))))
+    known = vectors.sparkSession.sparkContext.broadcast(Tree.learn(sample, depth))  # a number a leaf; the sample is bounded
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leaf of each vector; a batch's copies are one row."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, size) + 0  # no -0.0
+            bits = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * size))).ravel()
+            _, at, which = np.unique(bits, return_index=True, return_inverse=True)
+            ids = batch.column("id").to_numpy()
+            least = ids[at]
+            np.minimum.at(least, which, ids)
+            leaf = known.value.leaf(scaled(x[at].astype(float)))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(least), pa.array(np.bincount(which)), batch.column("embedding").take(pa.array(at))], names=["leaf", "id", "weight", "embedding"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of sorted leaves as pages."""
+        now, number, held = None, 0, []
+
+        def page() -> pa.RecordBatch:
+            ids, weights, x = (np.concatenate(z) for z in zip(*held))
+            unit = units(x.astype(float))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now << 32 | number]), *(pa.array([z.tobytes()], pa.binary()) for z in (ids, weights, x)), *(pa.array([z.tolist()], pa.list_(pa.float64())) for z in (unit.min(0), unit.max(0)))], names=["page", "ids", "weights", "vectors", "lo", "hi"]
+            )
+
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, size)
+            ids, weights = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
+            edges = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])).tolist() if batch.num_rows else []
+            for low, high in zip(edges, [*edges[1:], batch.num_rows]):
+                if leaf[low] != now:
+                    if held:
+                        yield page()
+                    now, number, held = int(leaf[low]), 0, []
+                while low < high:
+                    some = min(high, low + LEAF - sum(len(z[0]) for z in held))
+                    held.append((ids[low:some], weights[low:some], x[low:some]))
+                    low = some
+                    if sum(len(z[0]) for z in held) == LEAF:
+                        yield page()
+                        number, held = number + 1, []
+        if held:
+            yield page()
+
+    # a leaf's vectors are in one task, so copies meet there without another shuffle; files of a few pages, as many tasks read them later
+    placed = vectors.mapInArrow(place, f"leaf long, id long, weight long, embedding array<{kind}>").repartition(max(1, -(-n // (4 * LEAF))), "leaf")
+    distinct = placed.groupBy("leaf", "embedding").agg(F.min("id").alias("id"), F.sum("weight").alias("weight"))
+    packed = distinct.sortWithinPartitions("leaf").mapInArrow(pack, "page long, ids binary, weights binary, vectors binary, lo array<double>, hi array<double>")
+    return stored(packed, "vec-pages")
+
+
+def linked_vectors(vectors: DataFrame, size: int, cosine: float, blocks: int, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """vectors (id, embedding), copies included: per smallest id of equal vectors the number of other vectors linked with it (id, links), and spanning links (a, b)."""
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    pages = paged(vectors, size)
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
     cut = [list(c) for c in np.array_split(np.arange(size), min(blocks, size))]
     budget = 2 - 2 * cosine
     shares = [budget * len(c) / size * (1 + 1e-9) + 1e-12 for c in cut]
-    unit = units(sample) @ turn
-    # leaves of LEAF vectors, as long as the sample tells them apart; beyond that leaves have several parts
-    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / LEAF))), int(np.log2(max(len(sample), 16) / 16))))
-    trees = [Tree.learn(unit[:, c], depth) for c in cut]
-    plan = vectors.sparkSession.sparkContext.broadcast((turn, trees))  # one number a leaf; the sample is bounded
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, trees = plan.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, size).astype(float)
-                x = units(x) @ turn
-                for b, c in enumerate(cut):
-                    rows, leaf, home = trees[b].visits(x[:, c], shares[b] + 1e-7)
-                    own = np.empty(batch.num_rows, np.int64)
-                    own[rows[home]] = leaf[home]
-                    keep = home | (leaf < own[rows])
-                    rows, leaf, home = rows[keep], leaf[keep], home[keep]
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaf), pa.array(~home), *(batch.column(k).take(at) for k in ("id", "weight", "embedding"))], names=["block", "leaf", "visitor", "id", "weight", "embedding"])
-
-    placed = vectors.mapInArrow(place, "block int, leaf long, visitor boolean, id long, weight long, embedding array<" + kind + ">")
-    crowd = stored(placed.filter("not visitor").groupBy("block", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).cast("int").alias("parts")).filter("parts > 1"), "vec-crowds")
-    if not crowd.isEmpty():  # a leaf's parts are numbered; those who live there go to one, and visit the ones before; visitors go to all
-        placed = placed.join(crowd, ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("parts") - 1).otherwise(own)))).withColumn("visitor", F.col("visitor") | (F.col("part") < own)).drop("parts")
-    else:
-        placed = placed.withColumn("part", F.lit(0))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, _ = plan.value
-        key, homes = None, []
-
-        def out(ids, links, a, b) -> pa.RecordBatch:
-            nil_l, nil_a = np.zeros(len(a), np.int64), np.zeros(len(ids), np.int64)
-            both = [np.concatenate(p) for p in ((ids, a), (links, nil_l), (nil_a, b))]
-            flag = np.concatenate([np.zeros(len(ids), bool), np.ones(len(a), bool)])
-            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in both), pa.array(flag)], names=["id", "links", "other", "is_link"])
-
-        def unpack(rows: pa.RecordBatch) -> tuple:
-            e = rows.column("embedding").flatten().to_numpy().reshape(rows.num_rows, size).astype(float)
-            e = e / np.abs(e).max(axis=1, keepdims=True)
-            return rows.column("id").to_numpy(), rows.column("weight").to_numpy(), e, np.linalg.norm(e, axis=1)
-
-        def pairs(p: tuple, q: tuple, block: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Indices of the pairs that are linked and meet in no earlier block."""
-            (_, _, e, n), (_, _, f, m) = p, q
-            c = cut[block]
-            x, y = (e / n[:, None] @ turn[:, c]).astype(np.float32), (f / m[:, None] @ turn[:, c]).astype(np.float32)
-            found = []
-            for low in range(0, len(x), 256):
-                some = x[low : low + 256]
-                near = (some @ y.T) * 2 >= ((some * some).sum(1)[:, None] + (y * y).sum(1)[None, :]) - np.float32(shares[block] + 1e-5)
-                i, j = np.nonzero(near)
-                found.append((i + low, j))
-            i, j = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-            if same:
-                i, j = i[i < j], j[i < j]
-            keep = np.zeros(len(i), bool)
-            for low in range(0, len(i), 20_000):
-                a, b = i[low : low + 20_000], j[low : low + 20_000]
-                ok = np.einsum("ij,ij->i", e[a], f[b]) / (n[a] * m[b]) >= cosine
-                d = ((e[a] / n[a][:, None] - f[b] / m[b][:, None]) @ turn) ** 2
-                for k in range(block + 1):
-                    within = d[:, cut[k]].sum(1) <= shares[k]
-                    ok &= within if k == block else ~within
-                keep[low : low + 20_000] = ok
-            return i[keep], j[keep]
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            """Pairs among those who live here, and what visitors have linked."""
-            ids, weight = home[0], home[1]
-            i, j = pairs(home, home, key[0], True)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            a, b = np.concatenate([i, *chain_a]).astype(np.int64), np.concatenate([j, *chain_b]).astype(np.int64)
-            root = spanning(a, b, len(ids))
-            on, tied = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
-            yield out(ids[on], links[on], ids[tied], ids[root[tied]])
-
-        home, links, chain_a, chain_b = None, None, [], []
+    def unpack(ids: bytes, weights: bytes, x: bytes) -> tuple:
+        """ids, weights, vectors, their lengths, and turned unit vectors."""
+        e = scaled(np.frombuffer(x, kind).reshape(-1, size).astype(float))
+        n = np.linalg.norm(e, axis=1)
+        return np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64), e, n, (e / n[:, None]) @ turn
+
+    def beside(u: np.ndarray, b: int) -> np.ndarray:
+        """Rows whose product with those of `across` is the share less the squared distance in a block."""
+        x = u[:, cut[b]]
+        return np.column_stack([2 * x, shares[b] + 1e-5 - (x * x).sum(1), np.ones(len(x))]).astype(np.float32)
+
+    def across(u: np.ndarray, b: int) -> np.ndarray:
+        y = u[:, cut[b]]
+        return np.column_stack([y, np.ones(len(y)), -(y * y).sum(1)]).astype(np.float32).T.copy()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, ids, links, total = {}, [], [], 0  # of this task's pages
+        a, b, kept = [], [], 0  # links between its rows that span what it has found
+        left = None
+
+        def known(page: int, of: np.ndarray) -> int:
+            nonlocal total
+            if page not in start:
+                start[page] = (len(ids), total)
+                ids.append(of)
+                links.append(np.zeros(len(of), np.int64))
+                total += len(of)
+            return start[page][0]
+
+        def reduce() -> None:
+            nonlocal a, b, kept
+            root = spanning(np.concatenate(a), np.concatenate(b), total)
+            tied = np.flatnonzero(root != np.arange(total))
+            a, b, kept = [tied], [root[tied]], 0
+
         for batch in batches:
-            names = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False)).astype(np.int64) for k in ("block", "leaf", "part", "visitor")]
-            edges = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in names], axis=0)))
-            for low, high in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
-                now = tuple(int(x[low]) for x in names[:3])
-                if now != key:
-                    if home is not None or homes:
-                        home = home or tuple(np.concatenate(z) for z in zip(*homes))
-                        links = np.zeros(len(home[0]), np.int64) if links is None else links
-                        yield from settle()
-                    key, homes, home, links, chain_a, chain_b = now, [], None, None, [], []
-                rows = unpack(batch.slice(low, high - low))
-                if not names[3][low]:
-                    homes.append(rows)
-                    continue
-                if home is None:
-                    if not homes:
-                        continue  # nobody lives here
-                    home = tuple(np.concatenate(z) for z in zip(*homes))
-                    links = np.zeros(len(home[0]), np.int64)
-                v, h = pairs(rows, home, key[0], False)
-                if len(v):
-                    np.add.at(links, h, rows[1][v])
-                    mine = np.zeros(len(rows[0]), np.int64)
-                    np.add.at(mine, v, home[1][h])
-                    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-                    lead = np.repeat(h[first], np.diff(np.append(first, len(v))))
-                    code = np.unique(lead[lead != h] * len(home[0]) + h[lead != h])
-                    chain_a.append(code // len(home[0]))
-                    chain_b.append(code % len(home[0]))
-                    on = v[first]
-                    yield out(rows[0][on], mine[on], rows[0][on], home[0][h[first]])
-        if home is not None or homes:
-            home = home or tuple(np.concatenate(z) for z in zip(*homes))
-            links = np.zeros(len(home[0]), np.int64) if links is None else links
-            yield from settle()
-
-    keys = ["block", "leaf", "part"]
-    met = stored(placed.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInArrow(join, "id long, links long, other long, is_link boolean"), "vec-links")
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                p, q = row["page"].as_py(), row["r_page"].as_py()
+                if left is None or left[0] != p:
+                    x = unpack(*(row[c].as_buffer() for c in ("ids", "weights", "vectors")))
+                    left = p, x, [beside(x[4], k) for k in range(len(cut))]
+                x = left[1]
+                y = x if p == q else unpack(*(row[c].as_buffer() for c in ("r_ids", "r_weights", "r_vectors")))
+                right = [across(y[4], k) for k in range(len(cut))]
+                at, to = known(p, x[0]), known(q, y[0])
+                for low in range(0, len(x[0]), 256):
+                    near = np.zeros((min(256, len(x[0]) - low), len(y[0])), bool)
+                    for k, other in enumerate(right):
+                        near |= left[2][k][low : low + 256] @ other >= 0
+                    found = np.flatnonzero(near)
+                    i, j = found // len(y[0]) + low, found % len(y[0])
+                    if p == q:
+                        i, j = i[i < j], j[i < j]
+                    sure = [np.einsum("ij,ij->i", x[2][i[z : z + 20_000]], y[2][j[z : z + 20_000]]) / (x[3][i[z : z + 20_000]] * y[3][j[z : z + 20_000]]) >= cosine for z in range(0, len(i), 20_000)]
+                    if not sure or not (ok := np.concatenate(sure)).any():
+                        continue
+                    i, j = i[ok], j[ok]
+                    np.add.at(links[at], i, y[1][j])
+                    np.add.at(links[to], j, x[1][i])
+                    a.append(i + start[p][1])
+                    b.append(j + start[q][1])
+                    kept += len(i)
+                    if kept > CHAIN:
+                        reduce()
+        if not a:
+            return
+        reduce()
+        every, counts = np.concatenate(ids), np.concatenate(links)
+        on = np.flatnonzero(counts)
+        for flag, mine, n, other in ((False, every[on], counts[on], every[on]), (True, every[a[0]], np.zeros(len(a[0]), np.int64), every[b[0]])):
+            for low in range(0, len(mine), 100_000):
+                some = slice(low, low + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(mine[some]), pa.array(n[some]), pa.array(other[some]), pa.array(np.full(len(mine[some]), flag))], names=["id", "links", "other", "is_link"])
+
+    def above(x: Column, y: Column) -> Column:
+        return F.greatest(x - y, F.lit(0.0))
+
+    gaps = F.zip_with(F.zip_with("lo", "r_hi", above), F.zip_with("r_lo", "hi", above), lambda x, y: x * x + y * y)  # one of both is 0
+    reach = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) <= budget + 1e-6
+    pairs = pages.join(pages.select(*[F.col(c).alias(f"r_{c}") for c in pages.columns]), (F.col("page") <= F.col("r_page")) & reach).drop("lo", "hi", "r_lo", "r_hi")
+    met = stored(pairs.mapInArrow(meet, "id long, links long, other long, is_link boolean"), "vec-links")
     return met.filter("not is_link").groupBy("id").agg(F.sum("links").alias("links")), met.filter("is_link").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -239,16 +254,18 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> D
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     usable = F.coalesce(good & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     able = rows.filter(usable)
-    reps = stored(able.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "embedding"), "vec-distinct")
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not size or reps.isEmpty():
+    if not size or able.isEmpty():
         return alone
-    links, ties = linked_vectors(reps, cosine, blocks)
+    links, ties = linked_vectors(able.select(F.col("vec_id").alias("id"), "embedding"), size, cosine, blocks)
     comps = components(ties)
+    # vectors are told apart by 128 bits of hashes here, as they needn't travel again for their names
+    marked = able.select("vec_id", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g"))
+    reps = marked.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
     found = stored(
-        reps.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id")),
+        reps.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id")),
         "vec-found",
     )
     # vectors that link with nothing take no part in the join, whatever their number
-    named = able.join(found, "embedding").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    named = marked.join(found, ["h", "g"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return named.unionByName(alone)

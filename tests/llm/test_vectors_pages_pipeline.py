@@ -61,6 +61,32 @@ def test_vectors_of_extreme_doubles_and_repeated_ids(spark):
     assert got == [("0", 5, "0"), ("1", 5, "0"), ("2", 5, "0"), ("3", 5, "0"), ("4", 0, "4"), ("5", 5, "0"), ("5", 5, "0"), ("None", 0, "None")]
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("chain", [1 << 20, 40])
+def test_vectors_travel_once(spark, monkeypatch, chain):
+    """What is shuffled follows the number of vectors, not the number of leaves that they meet; crowds over several pages keep every link."""
+    monkeypatch.setattr(vectors, "LEAF", 30)
+    monkeypatch.setattr(vectors, "CHAIN", chain, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 64))
+    x[1000:] = x[3] + rng.normal(0, 0.3, (200, 64))
+    df = spark.createDataFrame([(5000 - i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, x[1000].tolist()) for i in range(50)], "vec_id long, embedding array<float>")
+    before = shuffled(spark)
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    assert shuffled(spark) - before < 4 * 1250 * 64 * 4
+    every = np.concatenate([x, np.repeat(x[1000:1001], 50, 0)]).astype(np.float32).astype(float)
+    ids = [*(5000 - np.arange(1200)).tolist(), *range(9000, 9050)]
+    n, comp = brute_links(ids, every, 0.9)
+    assert n.max() > 100
+    assert [got[i].n_links for i in ids] == n.tolist() and [got[i].component_id for i in ids] == comp.tolist()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 60), (60, 80), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(links).collect()}
