@@ -17,19 +17,31 @@ def pivot_obs(obs: DataFrame, keys: list[str], grid: list[int], values: list[str
     return cells.repartition(*keys).groupBy(*keys).agg(*[F.max(F.when(F.col("__d") == d, F.col(f"__{i}"))).alias(f"{v}_DOY_{d}") for i, v in enumerate(values) for d in grid])
 
 
-def unpivot_wide(df: DataFrame, keys: list[str], pattern: str = r"^(.*)_DOY_(\d+)$") -> DataFrame:
-    """Long form of wide columns: keys, variable, doy, value."""
+WIDE = r"^(.*)_DOY_(\d+)$"
+
+
+def unpivot_wide(df: DataFrame, keys: list[str], pattern: str = WIDE) -> DataFrame:
+    """Long form of wide columns: keys, variable, doy, value. Names are literals, so Spark extracts variable and day from them once, as it plans."""
     import re
 
-    wide = {c: m for c in df.columns if (m := re.match(pattern, c))}
-    cells = F.array(*[F.struct(F.lit(m[1]).alias("variable"), F.lit(m[2]).cast("int").alias("doy"), F.col(c).cast("double").alias("value")) for c, m in wide.items()])
-    return df.select(*keys, F.explode(cells).alias("__c")).select(*keys, "__c.*")
+    wide = [c for c in df.columns if re.match(pattern, c)]
+    cells = [(F.regexp_extract(F.lit(c), pattern, 1), F.regexp_extract(F.lit(c), pattern, 2).cast("int"), F.col(c).cast("double")) for c in wide]
+    return df.select(*keys, F.stack(F.lit(len(wide)), *[x for cell in cells for x in cell]).alias("variable", "doy", "value"))
+
 
+def unpivot_weather(df: DataFrame, keys: list[str], variables: list[str], pattern: str = WIDE) -> DataFrame:
+    """One row a key and day, a column for each variable; where a variable has no column for a day it is NULL.
+
+    The unpivoted cells of a day are pivoted by variable where they are stacked: a wide row holds them all, so no row is grouped, sorted or shuffled.
+    """
+    import re
 
-def unpivot_weather(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
-    """One row a key and day, a column for each variable."""
-    long = unpivot_wide(df, keys)
-    return long.groupBy(*keys, "doy").pivot("variable", variables).agg(F.first("value", ignorenulls=True))
+    days = {}
+    for c in df.columns:
+        if m := re.match(pattern, c):
+            days.setdefault(int(m[2]), {})[m[1]] = c
+    rows = [(F.regexp_extract(F.lit(next(iter(day.values()))), pattern, 2).cast("int"), *[(F.col(day[v]) if v in day else F.lit(None)).cast("double") for v in variables]) for day in days.values()]
+    return df.select(*keys, F.stack(F.lit(len(rows)), *[x for row in rows for x in row]).alias("doy", *variables))
 
 
 def complete_panel(df: DataFrame, unit: str, year: str = "year") -> DataFrame:

@@ -126,7 +126,10 @@ def pivot_grid(spark, sf_dir):
 
 @query(f"WITH {SEASON}, keys AS (SELECT DISTINCT unit, year FROM season), grid AS (SELECT unit, year, doy FROM keys, (SELECT unnest(range(65, 274, 16)) AS doy)) SELECT unit, year, 'value' AS variable, doy::BIGINT AS doy, round(value, 6) AS value FROM grid LEFT JOIN season USING (unit, year, doy)")
 def unpivot_weather(spark, sf_dir):
-    return reshape.unpivot_wide(reshape.pivot_obs(season_lines(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"], digits=9), ["unit", "year"])
+    """Wide to a row a day with its variables; these as rows, as the SQL has them."""
+    wide = reshape.pivot_obs(season_lines(spark, sf_dir, GRID), ["unit", "year"], GRID, ["value"], digits=9)
+    days = reshape.unpivot_weather(wide, ["unit", "year"], ["value"])
+    return days.unpivot(["unit", "year", "doy"], ["value"], "variable", "value").select("unit", "year", "variable", "doy", "value")
 
 
 @query(f"WITH {SEASON} SELECT unit, year, list_aggregate([" + ", ".join(f"coalesce(max(CASE WHEN doy = {g} THEN value END)::VARCHAR, '-')" for g in GRID) + "], 'string_agg', ';') AS series FROM season GROUP BY 1, 2")

@@ -121,6 +121,22 @@ def test_unpivot_reads_names_once(spark):
     assert "regexp" not in plan and plan.count("Aggregate ") == 2
 
 
+def test_unpivot_by_stack_and_pivot_by_variable(spark):
+    """All steps of the method: cells are stacked, names are taken apart by regexp_extract, and a day's variables stand side by side again."""
+    from panelspark.plans import registry
+
+    def steps(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    wide = spark.createDataFrame([(1, 2.0, None, 4, "x"), (2, None, 3.0, None, "y"), (2, 5.0, 6.0, 7, "y")], "u int, a_b_DOY_65 double, a_b_DOY_081 double, c_DOY_65 int, other string")
+    assert all(x in steps(reshape.unpivot_wide(wide, ["u"])) for x in ("stack(", "regexp_extract("))
+    days = reshape.unpivot_weather(wide, ["u"], ["c", "a_b", "d"])
+    assert [(c, t) for c, t in days.dtypes] == [("u", "int"), ("doy", "int"), ("c", "double"), ("a_b", "double"), ("d", "double")]
+    assert sorted(map(tuple, days.collect()), key=str) == sorted([(1, 65, 4.0, 2.0, None), (1, 81, None, None, None), (2, 65, None, None, None), (2, 81, None, 3.0, None), (2, 65, 7.0, 5.0, None), (2, 81, None, 6.0, None)], key=str)
+    plan = steps(registry.QUERIES["unpivot_weather"](spark, "/root/testdata/sf0.001"))
+    assert all(x in plan for x in ("stack(14, ", "regexp_extract("))
+
+
 def test_season_features_by_batches(spark):
     """No element of an array is met by itself; missing values of packed arrays are missing whatever they are."""
     obs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey AS unit", "dayofyear(l_shipdate) AS doy", "l_quantity AS v")
