@@ -118,8 +118,9 @@ def class_counts(labels: DataFrame, by: list[str], label: str, sampled: DataFram
     out = labels.groupBy(*by, label).agg(F.count("*").alias("n"))
     if sampled is None:
         return out
-    took = sampled.groupBy(*by, label).agg(F.count("*").alias("n_sampled"))
-    return out.join(took, [*by, label], "left").withColumn("n_sampled", F.coalesce("n_sampled", F.lit(0)))
+    took = sampled.groupBy(*by, label).agg(F.count("*").alias("n_sampled")).withColumnsRenamed({c: f"__key_{c}" for c in (*by, label)})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in (*by, label)])  # a missing class is one, too
+    return out.join(took, same, "left").select(*by, label, "n", F.coalesce("n_sampled", F.lit(0)).alias("n_sampled"))
 
 
 def dashboard_kpis(rec: DataFrame, by: list[str], unit: str) -> DataFrame:

@@ -115,7 +115,11 @@ def portable_draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
-    """Up to n rows of each class without replacement, by a seeded hash of the key."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary")), key)
+def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed: int, ties: list[str] | None = None, keyless_last: bool = False) -> DataFrame:
+    """Up to n rows of each class without replacement, by a seeded hash of the key; `keyless_last`: rows without a key come after all others.
+
+    Where keys repeat, `ties` say which rows come first; without them Spark may take any.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary"))
+    w = Window.partitionBy(label).orderBy(*([F.col(key).isNull()] if keyless_last else []), draw, F.col(key).asc_nulls_last(), *(ties or []))
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")

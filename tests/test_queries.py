@@ -41,6 +41,28 @@ def test_against_sql(spark, con, name):
     assert len(differing) <= len(got) // 500, differing[:3]  # digits at the edge of rounding
 
 
+def test_class_counts_of_missing_classes_and_keys(spark, tmp_path):
+    """NULL classes are classes, and rows without a key are drawn last, as in the SQL; keys don't repeat here, so it leaves nothing open."""
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT CASE WHEN i % 13 = 0 THEN NULL ELSE i END::BIGINT AS l_orderkey, 1::INTEGER AS l_linenumber, [NULL, 'F', 'O'][i % 3 + 1]::VARCHAR AS l_linestatus,
+        CASE WHEN i % 100 < 3 THEN NULL WHEN i % 5 = 0 THEN 'A' ELSE 'N' END AS l_returnflag FROM range(3000) r(i)) TO '{tmp_path}/lineitem.parquet'""")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got, want = registry.QUERIES["class_counts"](spark, str(tmp_path)).toPandas(), c.execute(registry.ORACLE_SQL["class_counts"]).df()
+    assert len(want) == 9 and want.n_sampled.min() > 0 and plain(got) == plain(want)
+
+
+def test_class_counts_repeat(spark):
+    """Rows that share a key are drawn in the same order, however they come."""
+    from panelspark.operators import metrics, windows
+
+    rows = [(str(k), "A", s) for k in range(20) for s in "FO"]
+    for some in (rows, rows[::-1]):
+        li = spark.createDataFrame(some, "key string, flag string, status string").coalesce(1)
+        for n in (3, 8, 11):
+            got = metrics.class_counts(li, ["status"], "flag", windows.balanced_sample(li, "flag", "key", n, 7, ["status"])).collect()
+            assert {r.status: (r.n, r.n_sampled) for r in got} == {"F": (20, (n + 1) // 2), "O": (20, n // 2)}
+
+
 def test_models_give_whole_results(spark):
     share = registry.QUERIES["gbt_importance"](spark, SF).toPandas().set_index("feature")
     assert len(share) == 4 and share.share.sum() == pytest.approx(1) and share.share["constant"] == 0 == share.n_splits["constant"]
